@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding
+from . import sharding, simhash
 from .common import read
 
 
@@ -12,6 +12,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 
 ORACLES: dict[str, str] = {}
