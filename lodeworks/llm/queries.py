@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, simhash
+from . import packing, sharding, simhash
 from .common import read
 
 
@@ -12,11 +12,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+}
 
 ORACLES: dict[str, str] = {}
