@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lines, packing, sharding, simhash
+from . import decontamination, lines, packing, rules, sharding, simhash
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP7_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos
@@ -64,6 +68,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
