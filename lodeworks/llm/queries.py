@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lines, packing, rules, sharding, simhash
+from . import decontamination, lines, packing, quality, rules, sharding, simhash
 from .common import read
 
 
@@ -43,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP7_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
