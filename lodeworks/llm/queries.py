@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lines, packing, quality, rules, sharding, simhash
+from . import chat, decontamination, lines, packing, quality, rules, secrets, sharding, simhash
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer file."""
     import public_tokenizers
@@ -28,6 +32,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(read(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = """
+WITH people AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'
+), headed AS (
+  SELECT c.conv_id, perspective, turn, role, coalesce(text, '') AS body,
+    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10)
+      WHEN role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user:' || coalesce(role, 'unknown') || '|>' || chr(10) END AS head
+  FROM conversations c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, head || body || chr(10) AS segment, length(head) + length(body) + 1 AS n_chars,
+    row_number() OVER w - 1 AS position,
+    sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) - length(head) - length(body) - 1 AS start
+  FROM headed
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(body))
+)
+SELECT conv_id, perspective, turn, CAST(position AS BIGINT) AS position, role, segment, CAST(start AS BIGINT) AS start,
+  CAST(n_chars AS BIGINT) AS n_chars,
+  CAST(CASE WHEN role = perspective THEN start + length(head) END AS BIGINT) AS mask_start,
+  CAST(CASE WHEN role = perspective THEN start + n_chars END AS BIGINT) AS mask_end
+FROM placed
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -68,12 +100,14 @@ GROUP BY doc_id
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secret_scans": op2_secret_scans,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op7_line_dedup": OP7_SQL}
