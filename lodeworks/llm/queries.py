@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, lines, packing, quality, rules, secrets, sharding, simhash
+from . import chat, decontamination, lines, packing, quality, rules, secrets, sharding, simhash, suffixes
 from .common import read
 
 
@@ -79,6 +79,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP7_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos
@@ -107,6 +112,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
