@@ -262,7 +262,23 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **b
     return _with_columns(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def good_only(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not rejected; a doc_id of several rows goes if one of them is rejected."""
-    gone = scored(docs, labels, **options).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` that ``scored`` keeps, with their columns as they are, in one scan without a shuffle."""
+    model = Model.train(training_rows(_with_columns(docs), labels, **bounds))
+    if model is None:
+        return docs
+    held, n = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
+    seen = {"lang": "string", "source": "string", "n_chars": "long"}
+    inputs = [F.col("text").cast("binary"), *[F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t) for c, t in seen.items()]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                made = [content_features(t.as_py() or b"") for t in b.column(n)]
+                meta = [metadata_features(*(c[i].as_py() for c in b.columns[n + 1 :])) for i in range(b.num_rows)]
+                score = held.value.score([s for s, _ in made], [w for _, w in made], meta)[2]
+                kept = b.filter(pa.array(score >= threshold))
+                yield pa.RecordBatch.from_arrays(kept.columns[:n], schema=pa.schema(list(b.schema)[:n]))
+
+    return docs.select("*", *[c.alias(f"_view_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, docs.schema)
