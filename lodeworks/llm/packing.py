@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import stored
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers, the first it meets; rarer ones are encoded each time.
-REMEMBERED_WORDS = 500_000
+#: Words met twice or more whose ids a worker remembers; rarer ones are encoded each time.
+REMEMBERED_WORDS = 400_000
+#: Hashes of words met once that a worker keeps to notice the second time.
+NOTICED_WORDS = 1_000_000
 RANK_BITS = 44
 
 _loaded: dict[str, "WordIds"] = {}
@@ -33,22 +35,60 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.met = Tokenizer.from_file(path), {}, set()
+        self.mark = self._encode(self.MARK)
+        self.ends = {b"": b"", b".": self._encode("."), b",": self._encode(",")}
+
+    MARK = "|"
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Rare words are encoded as one text with a mark between them, cut again at the mark's id.
+
+        Only a word that holds the mark itself could yield that id; such words go one by one.
+        """
+        made, plain = {}, []
+        for w in words:
+            if b"|" in w:
+                made[w] = self._encode(w.decode())
+            else:
+                plain.append(w)
+        ids = self._encode(f" {self.MARK} ".join(w.decode() for w in plain))
+        cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.mark, "<u4")[0]) * 4).tolist()
+        made.update(zip(plain, map(ids.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(ids)]))))
+        return made
 
     def ids(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
+        """The ids of a text. It is lower-cased first unless it could hold a special token's name, or marks that
+        combine with a letter, where lower case before the tokenizer's own normal form might change the ids."""
+        plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+        words, known = (text.lower() if plain else text).split(), self.known
         found = list(map(known.get, words))
-        if None in found:
-            new = list({w for w, x in zip(words, found) if x is None})
-            made: dict[bytes, bytes] = {}
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                made.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded))
-            if len(known) + len(made) <= REMEMBERED_WORDS:
-                known.update(made)
-            found = [made[w] if x is None else x for w, x in zip(words, found)]
-        return b"".join(found)
+        if None not in found:
+            return b"".join(found)
+        # A full stop or comma after a letter, at a word's end, is a token of its own: only the stem is looked up.
+        parts = {w: (w[:-1], w[-1:]) if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else (w, b"") for w, x in zip(words, found) if x is None}
+        new = list({stem for stem, _ in parts.values() if stem not in known})
+        made: dict[bytes, bytes] = {}
+        for at in range(0, len(new), 4096):
+            made.update(self._encode_words(new[at : at + 4096]))
+        get, ends = (lambda s: made.get(s) or known.get(s, b"")), self.ends
+        whole = {w: get(stem) + ends[end] for w, (stem, end) in parts.items()}
+        if len(known) < REMEMBERED_WORDS:
+            met = self.met
+            if len(met) > NOTICED_WORDS:
+                met.clear()
+            for w, x in [*made.items(), *whole.items()]:
+                h = hash(w)
+                if h in met:
+                    known[w] = x
+                else:
+                    met.add(h)
+        elif self.met:
+            self.met = set()
+        return b"".join([whole[w] if x is None else x for w, x in zip(words, found)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
