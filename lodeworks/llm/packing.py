@@ -20,6 +20,7 @@ REMEMBERED_WORDS = 400_000
 #: Hashes of words met once that a worker keeps to notice the second time.
 NOTICED_WORDS = 1_000_000
 RANK_BITS = 44
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _loaded: dict[str, "WordIds"] = {}
 
@@ -37,7 +38,6 @@ class WordIds:
 
         self.tokenizer, self.known, self.met = Tokenizer.from_file(path), {}, set()
         self.mark = self._encode(self.MARK)
-        self.ends = {b"": b"", b".": self._encode("."), b",": self._encode(",")}
 
     MARK = "|"
 
@@ -60,22 +60,29 @@ class WordIds:
         made.update(zip(plain, map(ids.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(ids)]))))
         return made
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """A word's stem and the marks after it, where the stem ends in a letter: the tokenizer keeps them apart."""
+        stem = word.rstrip(MARKS)
+        return (stem, word[len(stem) :]) if stem and 97 <= stem[-1] <= 122 else (word, b"")
+
     def ids(self, text: bytes) -> bytes:
         """The ids of a text. It is lower-cased first unless it could hold a special token's name, or marks that
         combine with a letter, where lower case before the tokenizer's own normal form might change the ids."""
         plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
         words, known = (text.lower() if plain else text).split(), self.known
         found = list(map(known.get, words))
-        if None not in found:
+        rare = [i for i, x in enumerate(found) if x is None]
+        if not rare:
             return b"".join(found)
-        # A full stop or comma after a letter, at a word's end, is a token of its own: only the stem is looked up.
-        parts = {w: (w[:-1], w[-1:]) if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else (w, b"") for w, x in zip(words, found) if x is None}
-        new = list({stem for stem, _ in parts.values() if stem not in known})
+        missing = {words[i] for i in rare}
+        parts = {w: self._parts(w) if plain else (w, b"") for w in missing}
+        new = list({part for both in parts.values() for part in both if part and part not in known})
         made: dict[bytes, bytes] = {}
         for at in range(0, len(new), 4096):
             made.update(self._encode_words(new[at : at + 4096]))
-        get, ends = (lambda s: made.get(s) or known.get(s, b"")), self.ends
-        whole = {w: get(stem) + ends[end] for w, (stem, end) in parts.items()}
+        get = lambda s: made[s] if s in made else known.get(s, b"")
+        whole = {w: get(stem) + get(tail) for w, (stem, tail) in parts.items()}
         if len(known) < REMEMBERED_WORDS:
             met = self.met
             if len(met) > NOTICED_WORDS:
@@ -88,7 +95,9 @@ class WordIds:
                     met.add(h)
         elif self.met:
             self.met = set()
-        return b"".join([whole[w] if x is None else x for w, x in zip(words, found)])
+        for i in rare:
+            found[i] = whole[words[i]]
+        return b"".join(found)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
