@@ -2,69 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Characters that separate words in every operator here: space and \x09-\x0D.
-SPACE = " \t\n\x0b\f\r"
-
-_made: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
+from ..scratch import discard, free_shuffles, new_path, release_scratch, scratch_dir, stored
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+__all__ = ["SPACE", "connected_components", "discard", "free_shuffles", "new_path", "read", "release_scratch", "scratch_dir", "stored"]
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _made:
-        _made.remove(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a ``stored`` table that no lazy result still reads."""
-    files = df.inputFiles()
-    for path in [p for p in _made if any(os.path.basename(p) in f for f in files[:1])]:
-        drop_path(df.sparkSession, path)
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table made so far; call it when the results that read them were consumed."""
-    for path in list(_made):
-        drop_path(spark, path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Characters that separate words in every operator here: space and \x09-\x0D.
+SPACE = " \t\n\x0b\f\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
