@@ -29,7 +29,7 @@ def hunks(diffs: DataFrame) -> DataFrame:
     count = F.regexp_extract("x", HUNK, 2)
     n = F.when(count == "", 1).otherwise(count.cast("int"))
     first = F.regexp_extract("x", HUNK, 1).cast("int")
-    file = F.element_at(F.filter("f", lambda f: f["i"] < F.col("pos")), -1)
+    file = F.try_element_at(F.filter("f", lambda f: f["i"] < F.col("pos")), F.lit(-1))
     return head.select(
         "diff_id",
         F.col("pos").alias("hunk"),
