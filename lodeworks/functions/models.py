@@ -1,0 +1,83 @@
+"""Seams for models: embedders and re-rankers, built in or plugged in."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .text import PREFIXES
+from .vectors import BUCKETS, hash_embedding
+
+
+class Embedder(Protocol):
+    """Adds unit vectors to rows, and embeds one query on the driver."""
+
+    def fingerprint(self) -> str: ...
+
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame: ...
+
+    def query(self, spark, text: str) -> list[float]: ...
+
+
+class HashEmbedder:
+    """The built-in embedder: hashed word counts, as a column expression."""
+
+    dim = BUCKETS
+
+    def fingerprint(self) -> str:
+        return f"hash-{BUCKETS}|prefix=none"
+
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        return rows.withColumn(out, F.transform(hash_embedding(F.col(text)), lambda x: x.cast("float")))
+
+    def query(self, spark, text: str) -> list[float]:
+        return list(spark.range(1).select(hash_embedding(F.lit(text)).alias("v")).first()[0])
+
+
+class ModelEmbedder:
+    """A Python model over lists of texts, loaded once a worker and fed in Arrow batches."""
+
+    _loaded: dict[str, Callable] = {}
+
+    def __init__(self, name: str, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], scheme: str = "bge", batch: int = 64) -> None:
+        self.name, self.load, self.scheme, self.batch = name, load, scheme, batch
+
+    def fingerprint(self) -> str:
+        return f"{self.name}|prefix={self.scheme}"
+
+    def _model(self) -> Callable:
+        return self._loaded.get(self.name) or self._loaded.setdefault(self.name, self.load())
+
+    def _unit(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        v = np.asarray(self._model()(texts), dtype=np.float64).reshape(len(texts), -1)
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        return (v / np.where(n == 0, 1, n)).tolist()
+
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        names, at, me = rows.columns, rows.columns.index(text), self
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in it:
+                for start in range(0, whole.num_rows, me.batch):
+                    b = whole.slice(start, me.batch)
+                    vectors = me._unit([PREFIXES[me.scheme][1] + t for t in b.column(at).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, out])
+
+        return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out}` array<float>")
+
+    def query(self, spark, text: str) -> list[float]:
+        return self._unit([PREFIXES[self.scheme][0] + text])[0]
+
+
+def load_reranker(load: Callable[[], Callable[[str, list[str]], Sequence[float]]], notify: Callable[[str], None] = lambda m: None):
+    """The re-ranker, or None where it cannot be loaded: retrieval then keeps its fused order."""
+    try:
+        return load()
+    except Exception as e:
+        notify(f"re-ranking is off: {e}")
+        return None

@@ -27,14 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write
+    writer = df.write if compression is None else df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -1 +1 @@
-
+"""Sources and sinks: file trees, version control, syntax trees, snapshots."""

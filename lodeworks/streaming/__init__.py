@@ -1 +1 @@
-
+"""Continuous refresh of an index."""
