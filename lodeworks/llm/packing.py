@@ -173,33 +173,39 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) ->
 
     Full pieces stand alone. The linear program's uses are rounded down and cut to what is left of each size;
     the rest, a share that shrinks as counts grow, is filled largest piece first, each time with the largest
-    pieces that still fit, and used as often as the counts allow.
+    pieces that still fit, and used as often as the counts allow. Where counts are too small for rounding to
+    pay, filling everything that way needs fewer sequences, and is returned.
     """
-    left = {s: n for s, n in counts.items() if n}
-    made: list[tuple[Counter, int]] = []
-
-    def use(config: Counter, times: int) -> None:
-        made.append((config, times))
-        for s, k in config.items():
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
-
-    if capacity in left:
-        use(Counter({capacity: 1}), left[capacity])
+    rest = {s: n for s, n in counts.items() if n and s != capacity}
+    full = [(Counter({capacity: 1}), counts[capacity])] if counts.get(capacity) else []
+    left, made = dict(rest), []
     if left:
         for config, times in sorted(configuration_lp(left, capacity, rounds), key=lambda x: -x[1]):
             whole = min([int(times), *(left.get(s, 0) // k for s, k in config.items())])
             if whole:
-                use(config, whole)
+                _use(config, whole, left, made)
+    _fill(left, capacity, made)
+    filled: list[tuple[Counter, int]] = []
+    _fill(dict(rest), capacity, filled)
+    return full + min(made, filled, key=lambda m: sum(t for _, t in m))
+
+
+def _use(config: Counter, times: int, left: dict[int, int], made: list[tuple[Counter, int]]) -> None:
+    made.append((config, times))
+    for s, k in config.items():
+        left[s] -= k * times
+        if not left[s]:
+            del left[s]
+
+
+def _fill(left: dict[int, int], capacity: int, made: list[tuple[Counter, int]]) -> None:
     while left:
         config, space = Counter(), capacity
         for s in sorted(left, reverse=True):
             k = min(left[s], space // s)
             if k:
                 config[s], space = k, space - k * s
-        use(config, min(left[s] // k for s, k in config.items()))
-    return made
+        _use(config, min(left[s] // k for s, k in config.items()), left, made)
 
 
 def segments(configs: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
