@@ -103,6 +103,51 @@ GROUP BY doc_id
 """
 
 
+#: CRC-32 from its polynomial: a table of 256 remainders, then one step a byte.
+OP1_SQL = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT doc_id, source, length(x) // 2 + 1 AS size, xor(list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM d, tab
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('17:' || doc_id)) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS total
+  FROM (SELECT *, coalesce('s' || source, 'n') AS stratum FROM b)
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rank + 1)::DOUBLE / (2 * total), stratum, rank) - 1 AS at_, count(*) OVER () AS n FROM r
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(at_ * 16 // n AS INT) AS shard,
+  CAST(at_ - ((at_ * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM p
+"""
+
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+), f AS (
+  SELECT s, min(doc_id) AS first_id FROM w GROUP BY s
+), r AS (
+  SELECT w.doc_id, i, i > lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) + 50 AS apart FROM w JOIN f USING (s) WHERE first_id < w.doc_id
+), g AS (
+  SELECT doc_id, i, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run
+), gaps AS (
+  SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(sum(z - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
+  sha256(unhex(coalesce(string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') || substr(x, 2 * coalesce(max(z), 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gaps USING (doc_id) GROUP BY d.doc_id, n, x
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scans": op2_secret_scans,
@@ -116,4 +161,9 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op1_sharding": OP1_SQL,
+    "op5_chat_formatting": OP5_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
+}
