@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,12 @@ LENGTH = 50
 GRAM = 24
 #: Windows of one string at most, strings of one collection at least, and strings of an anchor from which its
 #: windows are compared one by one instead.
-STRIDE, COLLECTION, CROWDED = 32, 16_384, 4_096
+STRIDE, COLLECTION, CROWDED = 32, 512, 4_096
+
+#: Pairs of anchor and text that a task sorts at once.
+PAIRS = 1 << 20
+#: Bytes of text whose strings are made at once, besides the last text.
+TEXT_BYTES = 1 << 19
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SHIFT = [np.uint64(x) for x in (29, 32)]
@@ -66,7 +72,7 @@ def column_transform(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.nda
     n = len(strings)
     data = np.frombuffer(b"".join(strings), np.uint8)
     kinds, codes = np.unique(data, return_inverse=True)
-    codes = (codes + 1).astype(np.uint8 if len(kinds) < 255 else np.uint16)
+    codes = np.append(codes + 1, 0).astype(np.uint8 if len(kinds) < 255 else np.uint16)
     size = np.array([len(s) for s in strings])
     end = np.cumsum(size)
     bwt = np.where(size > 0, codes[np.maximum(end - 1, 0)], 0).astype(codes.dtype)
@@ -133,6 +139,8 @@ def window_lows(strings: list[bytes], lows: np.ndarray, length: int = LENGTH) ->
 
 def _encode(lows: np.ndarray) -> bytes:
     """Runs of equal values as (length, value) pairs."""
+    if (lows == lows[0]).all():
+        return struct.pack("<qq", len(lows), lows[0])
     a, b = runs(lows)
     return np.column_stack((b - a, lows[a])).astype("<i8").tobytes()
 
@@ -145,99 +153,139 @@ def _short(md5_hex: Column) -> Column:
     return F.conv(F.substring(md5_hex, 1, 15), 16, 10).cast("long")
 
 
-def _shared_anchors(docs: DataFrame) -> DataFrame:
-    """``(d, hs)``: for each text (60 bits of its MD5), its anchors that a different text has, too."""
+class SharedPairs:
+    """Finds the anchors of two texts or more in a stream of (anchor, text) pairs.
+
+    Kept are one pair for each anchor seen in one text so far, and the anchors known to be shared; pairs of
+    shared anchors leave as soon as they come, so an anchor that very many texts have takes no memory.
+    """
+
+    def __init__(self) -> None:
+        self.h = self.d = self.shared = np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of shared anchors among these and those kept."""
+        h, d = np.concatenate((self.h, h)), np.concatenate((self.d, d))
+        if not len(h):
+            return h, d
+        order = np.argsort(h)
+        h, d = h[order], d[order]
+        a, z = runs(h)
+        first = h[a]
+        many = (np.minimum.reduceat(d, a) != np.maximum.reduceat(d, a)) | np.isin(first, self.shared)
+        self.h, self.d = first[~many], d[a[~many]]
+        self.shared = np.union1d(self.shared, first[many])
+        out = np.repeat(many, z - a)
+        return h[out], d[out]
+
+
+def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
+    """``(d, hs)``: for each text (60 bits of its MD5), its anchors that a different text has, too.
+
+    Pairs travel as packed blobs, one for each bucket of anchors and ``PAIRS`` pairs read. There are so many
+    buckets that a bucket's different anchors are about ``PAIRS``, whatever the size of the input.
+    """
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // (PAIRS * (LENGTH - GRAM) // 2)))
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            h, d = np.concatenate(hs), np.concatenate(ds)
+            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            pairs = np.column_stack((h[order], d[order])).tobytes()
+            a, z = runs(bucket[order])
+            blobs = [pairs[16 * i : 16 * k] for i, k in zip(a.tolist(), z.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][a]), pa.array(blobs, pa.binary())], names=["p", "pairs"])
+
+        hs, ds, n = [], [], 0
         for b in it:
-            hs, ds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for t in b.column(0):
                 text = t.as_py()
-                if len(text) >= LENGTH:
-                    a = anchors(text)
-                    h = np.unique(a[runs(a)[0]])
-                    hs.append(h)
-                    ds.append(np.full(len(h), int(hashlib.md5(text).hexdigest()[:15], 16)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ds))], names=["h", "d"])
+                a = anchors(text)
+                h = np.unique(a[runs(a)[0]])
+                hs.append(h)
+                ds.append(np.full(len(h), int(hashlib.md5(text).hexdigest()[:15], 16)))
+                n += len(h)
+                if n >= PAIRS:
+                    yield flush()
+                    hs, ds, n = [], [], 0
+        if n:
+            yield flush()
 
     def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted; a group's first text waits until a second one shows, so memory does not grow with it.
-        last = None  # anchor, text last seen, whether a second text was seen
+        def flush() -> pa.RecordBatch:
+            pairs = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
+            h, d = state.add(pairs[:, 0], pairs[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], names=["d", "h"])
+
+        at, state, held, n = None, SharedPairs(), [], 0
         for b in it:
-            h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(h):
-                continue
-            if last is not None and not last[2]:
-                h, d = np.concatenate(([last[0]], h)), np.concatenate(([last[1]], d))
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-            if last is not None and last[2] and h[0] == last[0] and d[0] == last[1]:
-                new[0] = False
-            a, z = runs(h)
-            many = np.add.reduceat(new.astype(int), a) > 1
-            if last is not None and last[2] and h[0] == last[0]:
-                many[0] = True
-            keep = new & np.repeat(many, z - a)
-            last = (h[-1], d[-1], bool(many[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], names=["d", "h"])
-
-    rows = docs.select("text").mapInArrow(emit, "h long, d long")
-    pairs = rows.repartition(F.col("h")).sortWithinPartitions("h", "d").mapInArrow(shared, "d long, h long")
-    return pairs.groupBy("d").agg(F.collect_list("h").alias("hs"))
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if p != at or n >= 16 * PAIRS:
+                    if held:
+                        yield flush()
+                    held, n = [], 0
+                    if p != at:
+                        at, state = p, SharedPairs()
+                held.append(blob.as_py())
+                n += len(held[-1])
+        if held:
+            yield flush()
+
+    rows = docs.select("text").mapInArrow(emit, "p long, pairs binary")
+    pairs = rows.repartition(buckets, "p").sortWithinPartitions("p").mapInArrow(shared, "d long, h long")
+    return pairs.groupBy("d").agg(F.collect_set("h").alias("hs"))
 
 
 def _strings(docs: DataFrame) -> DataFrame:
     """Runs of windows with one shared anchor, as strings: ``(h, sh, id, low, start, windows, string)``."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):
-                text = b.column(2)[i].as_py()
-                a = anchors(text)
-                first, end = runs(a)
-                keep = np.isin(a[first], b.column(3)[i].values.to_numpy())
-                rows = [
-                    (h, s, min(STRIDE, z - s))
-                    for h, f, z in zip(a[first[keep]].tolist(), first[keep].tolist(), end[keep].tolist())
-                    for s in range(f, z, STRIDE)
-                ]
-                if rows:
-                    h, s, w = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h, pa.int64()),
-                            pa.array([b.column(0)[i].as_py()] * len(rows), pa.binary()),
-                            pa.array([b.column(1)[i].as_py()] * len(rows), pa.int64()),
-                            pa.array(s, pa.int32()),
-                            pa.array(w, pa.int32()),
-                            pa.array([text[x : x + k + LENGTH - 1] for x, k in zip(s, w)], pa.binary()),
-                        ],
-                        names=["h", "id", "low", "start", "windows", "string"],
-                    )
-
-    found = _batched(docs.select("id", "low", "text", "hs"), emit, "h long, id binary, low long, start int, windows int, string binary")
-    return found.withColumn("sh", F.xxhash64("string"))
-
-
-def _batched(df: DataFrame, emit, schema: str, rows: int = 20_000) -> DataFrame:
-    """``mapInArrow`` whose small output batches are joined to larger ones."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in emit(it):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return df.mapInArrow(run, schema)
+        for whole in it:
+            size = np.cumsum([0, *(len(t.as_py()) for t in whole.column(2))]) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), whole.num_rows]
+            for at, end_at in zip(cuts, cuts[1:]):
+                if at == end_at:
+                    continue
+                b = whole.slice(at, end_at - at)
+                made, base, texts = [], 0, []
+                for i in range(b.num_rows):
+                    text = b.column(2)[i].as_py()
+                    a = anchors(text)
+                    first, end = runs(a)
+                    keep = np.isin(a[first], b.column(3)[i].values.to_numpy())
+                    first, end = first[keep], end[keep]
+                    parts = -(-(end - first) // STRIDE)  # longer runs are cut
+                    turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                    start = np.repeat(first, parts) + STRIDE * turn
+                    windows = np.minimum(STRIDE, np.repeat(end, parts) - start)
+                    made.append((a[start], start, windows, start + base, np.full(len(start), i)))
+                    texts.append(text)
+                    base += len(text)
+                h, start, windows, place, row = (np.concatenate(c) for c in zip(*made))
+                size = windows + LENGTH - 1
+                ends = np.cumsum(size)
+                bytes_at = np.arange(int(size.sum())) + np.repeat(place - (ends - size), size)
+                data = np.frombuffer(b"".join(texts), np.uint8)[bytes_at]
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                strings = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h), b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)),
+                        pa.array(windows.astype(np.int32)), strings,
+                    ],
+                    names=["h", "id", "low", "start", "windows", "string"],
+                )
+
+    schema = "h long, id binary, low long, start int, windows int, string binary"
+    return docs.select("id", "low", "text", "hs").mapInArrow(emit, schema).withColumn("sh", F.xxhash64("string"))
 
 
 def _lows(strings: DataFrame) -> DataFrame:
     """``(h, sh, lows)``: for each different string, the smallest document of each of its windows, as runs."""
-    each = stored(strings.groupBy("h", "sh", "string").agg(F.min("low").alias("low")), "suffix-strings")
+    each = stored(strings.groupBy("h", "sh", "string").agg(F.min("low").alias("low")), "suffix-strings", compression="zstd")
+    free_shuffles(strings.sparkSession)
     crowded = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("h"), "suffix-crowded")
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +296,7 @@ def _lows(strings: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(found, pa.binary())], names=["h", "sh", "lows"])
 
         def alone(row):
-            return _encode(np.full(len(row[2]) - LENGTH + 1, row[3]))
+            return struct.pack("<qq", len(row[2]) - LENGTH + 1, row[3])
 
         rows, group, single = [], [], []
         for b in it:
@@ -262,7 +310,7 @@ def _lows(strings: DataFrame) -> DataFrame:
                     if len(rows) >= COLLECTION:
                         yield flush(rows)
                         rows = []
-                    if len(single) >= COLLECTION:
+                    if len(single) >= 16_384:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*single)], names=["h", "sh", "lows"])
                         single = []
                 group.append(row)
@@ -279,6 +327,9 @@ def _lows(strings: DataFrame) -> DataFrame:
     out = ordered.mapInArrow(solve, schema)
     if dense is not None:
         out = out.unionByName(_dense_lows(dense, schema))
+    out = stored(out, "suffix-lows")
+    discard(each)
+    free_shuffles(strings.sparkSession)
     return out
 
 
@@ -306,7 +357,7 @@ def _removals(strings: DataFrame, lows: DataFrame) -> DataFrame:
             ids, a, z = [], [], []
             for i, low, start, code in zip(*(b.column(k).to_pylist() for k in range(4))):
                 at = start
-                for n, m in np.frombuffer(code, "<i8").reshape(-1, 2).tolist():
+                for n, m in struct.iter_unpack("<qq", code):
                     if m < low:
                         ids.append(i), a.append(at), z.append(at + n + LENGTH - 1)
                     at += n
@@ -352,27 +403,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= LENGTH))
-    shared = stored(_shared_anchors(usable), "suffix-anchors")
-    lows = stored(usable.groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").cast("long").alias("low")), "suffix-texts")
+    texts = usable.groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").cast("long").alias("low"), F.sum(F.length("text")).alias("n"))
+    lows = stored(texts, "suffix-texts")
+    shared = stored(_shared_anchors(usable, lows.agg(F.sum("n")).first()[0] or 0), "suffix-anchors")
     free_shuffles(spark)
     wanted = lows.join(shared, _short(F.col("md5")) == F.col("d")).select(F.unhex("md5").alias("id"), "low", "hs")
-    texts = usable.withColumn("id", _text_id()).join(wanted, "id").where(F.col("doc_id") == F.col("low"))
-    strings = stored(_strings(texts), "suffix-rows")
+    # Copies of a text spread over tasks by their doc_id: only the first one meets the text's row.
+    mine = usable.withColumn("id", _text_id()).withColumn("low", F.col("doc_id").cast("long"))
+    texts = mine.join(wanted, ["id", "low"])
+    strings = stored(_strings(texts), "suffix-rows", compression="zstd")
     free_shuffles(spark)
-    spans = stored(_removals(strings, stored(_lows(strings), "suffix-lows")), "suffix-spans")
+    spans = stored(_removals(strings, _lows(strings)), "suffix-spans")
     discard(strings)
     free_shuffles(spark)
-    about = lows.select(F.unhex("md5").alias("id"), "low").join(spans, "id", "left")
-    joined = docs.withColumn("id", _text_id()).join(about, "id", "left").select("doc_id", "text", "low", "spans")
+    about = lows.select(F.unhex("md5").alias("id"), "low", F.lit(True).alias("first")).join(spans, "id", "left")
+    named = docs.withColumn("id", _text_id()).withColumn("low", F.col("doc_id").cast("long"))
+    joined = named.join(about, ["id", "low"], "left").select("doc_id", "text", "first", "spans")
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             made = []
-            for d, t, low, s in zip(*(b.column(k) for k in range(4))):
-                text, low = t.as_py(), low.as_py()
-                if low is None or d.as_py() is None:
+            for d, t, first, s in zip(*(b.column(k) for k in range(4))):
+                text = t.as_py()
+                if d.as_py() is None or len(text) < LENGTH:
                     made.append((text, 0, 0, len(text)))
-                elif d.as_py() > low:
+                elif not first.as_py():  # a copy of a smaller document
                     made.append((b"", len(text), 1, len(text)))
                 else:
                     made.append((*cut(text, [(x["a"], x["z"]) for x in s.as_py() or ()]), len(text)))
