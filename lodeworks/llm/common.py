@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..scratch import discard, free_shuffles, new_path, release_scratch, scratch_dir, stored
 
-__all__ = ["SPACE", "connected_components", "discard", "free_shuffles", "new_path", "read", "release_scratch", "scratch_dir", "stored"]
+__all__ = ["SPACE", "connected_components", "discard", "fresh", "free_shuffles", "new_path", "read", "release_scratch", "scratch_dir", "stored"]
 
 #: Characters that separate words in every operator here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
@@ -16,6 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` bears it in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of ``edges(src, dst)``: rows ``(node, component)``.
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import SPACE, discard, stored
+from .common import SPACE, discard, fresh, stored
 
 _STRIP = SPACE.encode()
 #: Keys that every document must be held against are broadcast up to this many (16 bytes each), else joined.
@@ -115,7 +115,8 @@ def frequent_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, fanou
 def drop_frequent_lines(
     docs: DataFrame, threshold: int = 10, batches: int = 4, fanout: int = 4, least: int = 1, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
-    """``docs`` with frequent lines taken out of ``text``, plus ``_n_lines`` and ``_n_dropped``.
+    """``docs`` with frequent lines taken out of ``text``, plus ``_n_lines`` and ``_n_dropped`` (with more
+    underscores if ``docs`` has such columns).
 
     A line's key is the line with white space stripped at both ends and A-Z lower-cased. Keys of at least
     ``least`` code points found in ``threshold`` rows or more lose all their lines everywhere; the other lines
@@ -129,6 +130,8 @@ def drop_frequent_lines(
     null doc_id is a document like any other; an empty table gives no rows; other columns pass unchanged.
     """
     spark, columns = docs.sparkSession, docs.columns
+    total, lost = fresh("_n_lines", columns), fresh("_n_dropped", columns)
+    owner, gone_name = fresh("_id", columns), fresh("_gone", columns)
     frequent = frequent_lines(docs, threshold, batches, fanout, least)
     at = {c: i for i, c in enumerate(columns)}["text"]
 
@@ -146,11 +149,11 @@ def drop_frequent_lines(
         cols = [b.column(i) for i in range(len(columns))]
         cols[at] = pa.array(texts, pa.binary())
         return pa.RecordBatch.from_arrays(
-            [*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "_n_lines", "_n_dropped"]
+            [*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, total, lost]
         )
 
     binary = docs.withColumn("text", F.col("text").cast("binary"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in binary.dtypes) + ", _n_lines long, _n_dropped long"
+    schema = ", ".join(f"`{c}` {t}" for c, t in binary.dtypes) + f", {total} long, {lost} long"
     if frequent.count() <= broadcast_keys:
         held = spark.sparkContext.broadcast(frozenset(bytes(r["h"]) for r in frequent.collect()))
         discard(frequent)
@@ -170,18 +173,18 @@ def drop_frequent_lines(
                     hashes.extend(found)
                     ids.extend([i] * len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.binary())], names=["_id", "h"]
+                    [b.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.binary())], names=[owner, "h"]
                 )
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        own = binary.select("doc_id", "text").mapInArrow(hashed, f"_id {kind}, h binary").join(frequent, "h", "left_semi")
-        own = own.groupBy("_id").agg(F.collect_set("h").alias("_gone"))
+        own = binary.select("doc_id", "text").mapInArrow(hashed, f"{owner} {kind}, h binary").join(frequent, "h", "left_semi")
+        own = own.groupBy(owner).agg(F.collect_set("h").alias(gone_name))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 gone = b.column(len(columns))
                 yield output(b, lambda i: frozenset(gone[i].as_py() or ()))
 
-        joined = binary.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*columns, "_gone")
+        joined = binary.join(own, F.col("doc_id").eqNullSafe(F.col(owner)), "left").select(*columns, gone_name)
         out = joined.mapInArrow(run, schema)
     return out.withColumn("text", F.col("text").cast("string"))

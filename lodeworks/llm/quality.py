@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import fresh
+
 #: Labelled and unlabelled documents that training looks at, at most: chosen by a hash of doc_id at every size.
 LABELLED_ROWS, POOL_ROWS = 6_000, 3_000
 HASH_BITS = 20
@@ -281,4 +283,4 @@ def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                 kept = b.filter(pa.array(score >= threshold))
                 yield pa.RecordBatch.from_arrays(kept.columns[:n], schema=pa.schema(list(b.schema)[:n]))
 
-    return docs.select("*", *[c.alias(f"_view_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, docs.schema)
+    return docs.select("*", *[c.alias(fresh(f"_view_{i}", docs.columns)) for i, c in enumerate(inputs)]).mapInArrow(run, docs.schema)

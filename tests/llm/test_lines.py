@@ -51,5 +51,14 @@ def test_settled_hashes_are_left_out_and_runs_stay_sorted(spark):
         assert hs == sorted(hs)
 
 
+@pytest.mark.parametrize("broadcast", [lines.BROADCAST_KEYS, 0])
+def test_clashing_columns(spark, broadcast):
+    rows = [(i, f"same\nown {i}", i, "g", 7, 8) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _gone string, _n_lines int, _N_dropped int")
+    got = lines.drop_frequent_lines(df, broadcast_keys=broadcast)
+    assert got.columns == [*df.columns, "_n_lines_", "_n_dropped_"]
+    assert sorted(map(tuple, got.collect())) == [(i, f"own {i}", i, "g", 7, 8, 2, 1) for i in range(12)]
+
+
 def test_empty(nothing):
     assert lines.drop_frequent_lines(nothing).count() == 0
