@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,8 @@ def release_scratch(spark: SparkSession) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that are no longer referenced; its cleaner works on its own thread."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
