@@ -222,17 +222,21 @@ def call_sites(files: DataFrame) -> DataFrame:
 
 
 def symbols_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols with ids in the order of path and place, and the calls of ``operators.graph``.
+    """Symbols with dense ids in a fixed order of files and places, and the calls of ``operators.graph``.
 
-    An id is the number of definitions in earlier files plus the place in its own: a running sum over one row a
-    file, joined back by path.
+    An id is the number of definitions in earlier files plus the place in its own. Files are ordered by the MD5 of
+    their path: running totals over 4,096 cells of it, then within each cell, so no task orders all files.
     """
     from pyspark.sql import Window as W
 
     defs = definitions(files)
-    per_file = defs.groupBy("path").agg(F.count("*").alias("n"))
-    # One narrow row a file with definitions: file counts, not contents, pass through the single ordered task.
-    before = per_file.select("path", (F.sum("n").over(W.orderBy("path")) - F.col("n")).alias("base"))
+    per_file = defs.groupBy("path").agg(F.count("*").alias("n")).withColumn("cell", F.substring(F.md5("path"), 1, 3))
+    cells = per_file.groupBy("cell").agg(F.sum("n").alias("in_cell"))
+    starts = cells.select("cell", (F.sum("in_cell").over(W.orderBy("cell")) - F.col("in_cell")).alias("start"))
+    inside = W.partitionBy("cell").orderBy(F.md5("path"), "path")
+    before = per_file.join(F.broadcast(starts), "cell").select(
+        "path", (F.col("start") + F.sum("n").over(inside) - F.col("n")).alias("base")
+    )
     symbols = defs.join(before, "path").select(
         (F.col("base") + F.col("ordinal")).alias("id"),
         F.element_at(F.split("qualified", "\\."), -1).alias("name"),
