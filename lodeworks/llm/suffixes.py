@@ -21,8 +21,8 @@ STRIDE, COLLECTION, CROWDED = 32, 512, 4_096
 
 #: Pairs of anchor and text that a task sorts at once.
 PAIRS = 1 << 20
-#: Bytes of text whose strings are made at once, besides the last text.
-TEXT_BYTES = 1 << 19
+#: Bytes of text whose strings are made at once, besides the last text, and whose anchors are.
+TEXT_BYTES, TOGETHER = 1 << 19, 1 << 15
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SHIFT = [np.uint64(x) for x in (29, 32)]
@@ -55,6 +55,29 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     return (np.minimum(h[: len(h) - rest], h[rest:]) if rest else h).view(np.int64)
 
 
+def anchors_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """``anchors`` of each text (of ``LENGTH`` bytes at least), worked out over many short texts at once."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+            size += len(texts[end])
+            end += 1
+        whole, start = anchors(b"".join(texts[at:end])), 0
+        for text in texts[at:end]:  # windows that span two texts are passed over
+            yield whole[start : start + len(text) - LENGTH + 1]
+            start += len(text)
+        at = end
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, of which there is one at least."""
+    known = np.sort(known)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last place of each run of equal values."""
     cut = np.flatnonzero(values[1:] != values[:-1]) + 1
@@ -97,9 +120,9 @@ def column_transform(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.nda
         fresh = np.zeros(len(bwt) + len(live), bool)
         fresh[new] = True
         next_symbol = np.where(size[live] > j, codes[np.maximum(end[live] - j - 1, 0)], 0)
-        grown, prefixes = np.empty(len(fresh), bwt.dtype), np.zeros(len(fresh) + 1, np.uint8)
-        grown[~fresh], grown[new] = bwt, next_symbol
-        prefixes[:-1][~fresh], prefixes[new] = lcp[:-1], common
+        grown, prefixes, kept = np.empty(len(fresh), bwt.dtype), np.zeros(len(fresh) + 1, np.uint8), ~fresh
+        grown[kept], grown[new] = bwt, next_symbol
+        prefixes[:-1][kept], prefixes[new] = lcp[:-1], common
         prefixes[following] = follow
         bwt, lcp = grown, prefixes
         place[live] = new
@@ -145,11 +168,8 @@ def _encode(lows: np.ndarray) -> bytes:
     return np.column_stack((b - a, lows[a])).astype("<i8").tobytes()
 
 
-def _text_id() -> Column:
-    return F.unhex(F.md5("text"))
-
-
-def _short(md5_hex: Column) -> Column:
+def _text_id(md5_hex: Column) -> Column:
+    """60 bits of a text's MD5: with the smallest doc_id of the text, its name in all tables here."""
     return F.conv(F.substring(md5_hex, 1, 15), 16, 10).cast("long")
 
 
@@ -192,16 +212,16 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
             h, d = np.concatenate(hs), np.concatenate(ds)
             bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            pairs = np.column_stack((h[order], d[order])).tobytes()
+            h, d = h[order], d[order]
             a, z = runs(bucket[order])
-            blobs = [pairs[16 * i : 16 * k] for i, k in zip(a.tolist(), z.tolist())]
+            # Anchors, then texts: those repeat, which the shuffle's compression notices side by side only.
+            blobs = [h[i:k].tobytes() + d[i:k].tobytes() for i, k in zip(a.tolist(), z.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][a]), pa.array(blobs, pa.binary())], names=["p", "pairs"])
 
         hs, ds, n = [], [], 0
         for b in it:
-            for t in b.column(0):
-                text = t.as_py()
-                a = anchors(text)
+            texts = b.column(0).to_pylist()
+            for text, a in zip(texts, anchors_of(texts)):
                 h = np.unique(a[runs(a)[0]])
                 hs.append(h)
                 ds.append(np.full(len(h), int(hashlib.md5(text).hexdigest()[:15], 16)))
@@ -214,8 +234,8 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
 
     def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            pairs = np.frombuffer(b"".join(held), "<i8").reshape(-1, 2)
-            h, d = state.add(pairs[:, 0], pairs[:, 1])
+            columns = [np.frombuffer(x, "<i8").reshape(2, -1) for x in held]
+            h, d = state.add(*(np.concatenate([c[k] for c in columns]) for k in (0, 1)))
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], names=["d", "h"])
 
         at, state, held, n = None, SharedPairs(), [], 0
@@ -238,7 +258,7 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def _strings(docs: DataFrame) -> DataFrame:
-    """Runs of windows with one shared anchor, as strings: ``(h, sh, id, low, start, windows, string)``."""
+    """Runs of windows with one shared anchor, as strings: ``(h, sh, d, low, start, windows, string)``."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -248,19 +268,16 @@ def _strings(docs: DataFrame) -> DataFrame:
                 if at == end_at:
                     continue
                 b = whole.slice(at, end_at - at)
-                made, base, texts = [], 0, []
-                for i in range(b.num_rows):
-                    text = b.column(2)[i].as_py()
-                    a = anchors(text)
+                made, base, texts = [], 0, b.column(2).to_pylist()
+                for i, (text, a) in enumerate(zip(texts, anchors_of(texts))):
                     first, end = runs(a)
-                    keep = np.isin(a[first], b.column(3)[i].values.to_numpy())
+                    keep = _among(a[first], b.column(3)[i].values.to_numpy())
                     first, end = first[keep], end[keep]
                     parts = -(-(end - first) // STRIDE)  # longer runs are cut
                     turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                     start = np.repeat(first, parts) + STRIDE * turn
                     windows = np.minimum(STRIDE, np.repeat(end, parts) - start)
                     made.append((a[start], start, windows, start + base, np.full(len(start), i)))
-                    texts.append(text)
                     base += len(text)
                 h, start, windows, place, row = (np.concatenate(c) for c in zip(*made))
                 size = windows + LENGTH - 1
@@ -275,11 +292,11 @@ def _strings(docs: DataFrame) -> DataFrame:
                         pa.array(h), b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)),
                         pa.array(windows.astype(np.int32)), strings,
                     ],
-                    names=["h", "id", "low", "start", "windows", "string"],
+                    names=["h", "d", "low", "start", "windows", "string"],
                 )
 
-    schema = "h long, id binary, low long, start int, windows int, string binary"
-    return docs.select("id", "low", "text", "hs").mapInArrow(emit, schema).withColumn("sh", F.xxhash64("string"))
+    schema = "h long, d long, low long, start int, windows int, string binary"
+    return docs.select("d", "low", "text", "hs").mapInArrow(emit, schema).withColumn("sh", F.xxhash64("string"))
 
 
 def _lows(strings: DataFrame) -> DataFrame:
@@ -350,22 +367,24 @@ def _dense_lows(dense: DataFrame, schema: str) -> DataFrame:
 
 
 def _removals(strings: DataFrame, lows: DataFrame) -> DataFrame:
-    """``(id, spans)``: byte ranges of a text covered by windows of smaller documents."""
+    """``(d, low, spans)``: byte ranges of a text covered by windows of smaller documents."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, a, z = [], [], []
-            for i, low, start, code in zip(*(b.column(k).to_pylist() for k in range(4))):
-                at = start
+            row, a, z = [], [], []
+            for i, (low, at, code) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
                 for n, m in struct.iter_unpack("<qq", code):
                     if m < low:
-                        ids.append(i), a.append(at), z.append(at + n + LENGTH - 1)
+                        row.append(i), a.append(at), z.append(at + n + LENGTH - 1)
                     at += n
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["id", "a", "z"])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(1).take(row), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["d", "low", "a", "z"]
+            )
 
-    joined = strings.select("h", "sh", "id", "low", "start").join(lows, ["h", "sh"]).select("id", "low", "start", "lows")
-    rows = joined.mapInArrow(emit, "id binary, a int, z int")
-    return rows.groupBy("id").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    joined = strings.select("h", "sh", "d", "low", "start").join(lows, ["h", "sh"]).select("d", "low", "start", "lows")
+    rows = joined.mapInArrow(emit, "d long, low long, a int, z int")
+    return rows.groupBy("d", "low").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -407,18 +426,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lows = stored(texts, "suffix-texts")
     shared = stored(_shared_anchors(usable, lows.agg(F.sum("n")).first()[0] or 0), "suffix-anchors")
     free_shuffles(spark)
-    wanted = lows.join(shared, _short(F.col("md5")) == F.col("d")).select(F.unhex("md5").alias("id"), "low", "hs")
+    wanted = lows.withColumn("d", _text_id(F.col("md5"))).join(shared, "d").select("d", "low", "hs")
     # Copies of a text spread over tasks by their doc_id: only the first one meets the text's row.
-    mine = usable.withColumn("id", _text_id()).withColumn("low", F.col("doc_id").cast("long"))
-    texts = mine.join(wanted, ["id", "low"])
+    name = {"d": _text_id(F.md5("text")), "low": F.col("doc_id").cast("long")}
+    texts = usable.withColumns(name).join(wanted, ["d", "low"])
     strings = stored(_strings(texts), "suffix-rows", compression="zstd")
     free_shuffles(spark)
     spans = stored(_removals(strings, _lows(strings)), "suffix-spans")
     discard(strings)
     free_shuffles(spark)
-    about = lows.select(F.unhex("md5").alias("id"), "low", F.lit(True).alias("first")).join(spans, "id", "left")
-    named = docs.withColumn("id", _text_id()).withColumn("low", F.col("doc_id").cast("long"))
-    joined = named.join(about, ["id", "low"], "left").select("doc_id", "text", "first", "spans")
+    about = lows.select(_text_id(F.col("md5")).alias("d"), "low", F.lit(True).alias("first")).join(spans, ["d", "low"], "left")
+    joined = docs.withColumns(name).join(about, ["d", "low"], "left").select("doc_id", "text", "first", "spans")
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
