@@ -775,3 +775,47 @@ def name_dataset(spark, sf_dir):
 def scaffold_round_robin(spark, sf_dir):
     found = evaluate.scaffold(symbol_rows(spark, sf_dir))
     return found.select(F.col("place").cast("long").alias("place"), "path", "start_line", "end_line", "symbol")
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as Python files of at most 100 functions, three lines each."""
+    p = read(spark, sf_dir, "part")
+    body = F.concat(F.lit("def part_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    return size_"), F.col("p_size").cast("string"), F.lit("(x)\n\n"))
+    path = F.concat(F.lit("f"), F.expr("p_partkey div 100").cast("string"), F.lit(".py"))
+    rows = p.groupBy(path.alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("r"))
+    return rows.select("path", F.lit("python").alias("lang"), F.array_join(F.transform("r", lambda x: x["b"]), "").alias("content"))
+
+
+SQL_FUNCTIONS = """WITH functions AS (
+  SELECT 'f' || (p_partkey // 100) || '.py' AS path, 'part_' || p_partkey AS name, 'size_' || p_size AS callee,
+    row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS k
+  FROM part
+) """
+
+
+@query(
+    SQL_FUNCTIONS
+    + """SELECT path, CAST(3 * k + 1 AS INT) AS start_line, CAST(3 * k + 2 AS INT) AS end_line, name AS symbol,
+    'def ' || name || '(x):' || chr(10) || '    return ' || callee || '(x)' AS text FROM functions"""
+)
+def ast_chunks(spark, sf_dir):
+    from .sources import syntax
+
+    return syntax.chunks(source_rows(spark, sf_dir)).select("path", "start_line", "end_line", "symbol", "text")
+
+
+@query(SQL_FUNCTIONS + "SELECT path, name AS qualified, 'callable' AS kind, CAST(3 * k + 1 AS INT) AS start_line, CAST(3 * k + 2 AS INT) AS end_line FROM functions")
+def ast_symbols(spark, sf_dir):
+    from .sources import syntax
+
+    symbols, _ = syntax.symbols_and_calls(source_rows(spark, sf_dir))
+    return symbols.select("path", "qualified", "kind", "start_line", "end_line")
+
+
+@query(SQL_FUNCTIONS + "SELECT path, name AS caller, callee, CAST(3 * k + 2 AS INT) AS line FROM functions")
+def ast_calls(spark, sf_dir):
+    from .sources import syntax
+
+    symbols, calls = syntax.symbols_and_calls(source_rows(spark, sf_dir))
+    by = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("caller"))
+    return calls.join(by, "caller_id").select("path", "caller", "callee", "line")
