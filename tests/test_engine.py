@@ -154,7 +154,7 @@ def test_service_and_command_line(spark, repo, capsys):
     (repo / "set.jsonl").write_text('# mine\n\n{"query": "who mints keys", "path": "core/keys.py", "start_line": 5, "end_line": 6, "_symbol": "x"}\n')
     assert cli.run(spark, ["eval", root, "--kind", "both", "--curated", str(repo / "set.jsonl"), "--json", "--fail-under", "mrr=0.1", "--check-mode", "lexical"]) == 0
     report = {r["mode"]: r for r in json.loads(capsys.readouterr().out.splitlines()[-1])}
-    assert report["lexical"]["recall_at_k"] >= 0.5 and report["hybrid"]["n"] == 6
+    assert report["lexical"]["recall_at_k"] >= 0.5 and report["hybrid"]["n"] == 5
     assert cli.run(spark, ["eval", root, "--fail-under", "mrr=1.01"]) == 1 and cli.run(spark, ["eval", root, "--fail-under", "nonsense=1"]) == 2
     capsys.readouterr()
     assert cli.run(spark, ["eval", root, "--scaffold"]) == 0

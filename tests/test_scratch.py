@@ -21,9 +21,9 @@ print("fine")
 """
 
 
-def test_own_folder_only_where_none_is_set():
+def test_own_folder_only_where_none_is_set(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    run = subprocess.run([sys.executable, "-c", SCRIPT], cwd=root, capture_output=True, text=True, timeout=120)
+    run = subprocess.run([sys.executable, "-c", SCRIPT], cwd=root, capture_output=True, text=True, timeout=120, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
     assert run.stdout.strip().endswith("fine"), run.stderr[-2000:]
 
 
