@@ -19,6 +19,8 @@ CAPACITY = 2048
 REMEMBERED_WORDS = 400_000
 #: Hashes of words met once that a worker keeps to notice the second time.
 NOTICED_WORDS = 1_000_000
+#: Share of a size's pieces that the linear program may leave to the filling.
+COVER_ERROR = 0.02
 RANK_BITS = 44
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -126,8 +128,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The multiset of sizes of the highest total price that fits: unbounded knapsack by dynamic programming."""
+def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the highest total price in each space up to ``capacity``, the
+    size put in last (-1: none), and how many of the sizes fit."""
     value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -136,6 +139,12 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) ->
             got = value[c - sizes[:k]] + prices[:k]
             best = int(got.argmax())
             value[c], last[c] = got[best], best
+    return value, last, fits
+
+
+def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
+    """The multiset of sizes of the highest total price that fits."""
+    _, last, _ = knapsack(sizes, prices, capacity)
     found, c = Counter(), capacity
     while last[c] >= 0:
         found[int(sizes[last[c]])] += 1
@@ -143,51 +152,65 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) ->
     return found
 
 
-def configuration_lp(counts: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.5) -> list[tuple[Counter, float]]:
-    """A fractional cover of all pieces by few full configurations: ``[(sizes, times)]``.
+def configuration_lp(
+    counts: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.125, rate: float = 0.5, error: float = COVER_ERROR
+) -> list[tuple[Counter, float]]:
+    """A fractional cover of the pieces by few full configurations: ``[(sizes, times)]``.
 
-    Multiplicative weights: each size has a weight that falls as it is served; a round prices one piece of size
-    s at weight over count, takes the configuration of the highest price, and uses it until the size that it
-    serves fastest has gained ``step`` of its count. Uses are scaled so that the average size is covered once.
+    Multiplicative weights: a size's weight starts at the tokens it holds and falls as it is served, so a piece is
+    priced at its length times exp(-``rate`` x how far its size is served beyond the average), whether the size
+    is rare or common. The least served size leads: the rest of its sequence is the configuration of the highest
+    price, of several such the one whose sizes lack most, used until a size has gained ``step`` of its count or is
+    served in full. Nothing is served beyond its count. ``rounds`` is how often the knapsack is solved anew, not
+    when to stop: that is when every size is covered but for ``error`` of its count.
     """
     sizes = np.array(sorted(counts))
     need = np.array([counts[s] for s in sizes], float)
     served, uses = np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        prices = np.exp(-(served - served.min())) / need * sizes.mean()
-        chosen = best_configuration(sizes, prices, capacity)
-        if not chosen:
-            break
-        at = np.searchsorted(sizes, list(chosen))
-        taken = np.array(list(chosen.values()), float)
-        times = step * float((need[at] / taken).min())
-        served[at] += times * taken / need[at]
-        key = tuple(sorted(chosen.items()))
+    every, turn = max(1, int(len(sizes) / step / max(1, rounds))), 0
+    while (served < 1 - error - 1e-9).any():
+        wanting = served < 1 - 1e-9
+        if turn % every == 0:
+            average = float(served @ (need * sizes)) / float(need @ sizes)
+            prices = sizes * np.exp(-rate * (served - average))
+            value, _, fits = knapsack(sizes, np.where(wanting, prices, 0.0), capacity)
+        turn += 1
+        room = np.where(wanting, np.minimum(step, 1 - served) * need, 0.0)
+        lead = int(served.argmin())
+        taken, space = np.zeros(len(sizes)), capacity - sizes[lead]
+        taken[lead] = 1
+        while k := fits[space]:
+            got = np.where(wanting[:k], value[space - sizes[:k]] + prices[:k], -1.0)
+            if (top := got.max()) < 0:
+                break
+            best = np.flatnonzero(got >= top * (1 - 1e-12))
+            pick = int(best[(room[best] / (taken[best] + 1)).argmax()])
+            taken[pick] += 1
+            space -= sizes[pick]
+        at = np.flatnonzero(taken)
+        times = float((room[at] / taken[at]).min())
+        served[at] += times * taken[at] / need[at]
+        key = tuple(zip(sizes[at].tolist(), taken[at].astype(int).tolist()))
         uses[key] = uses.get(key, 0.0) + times
-    total = float(served @ (need * sizes)) / float(need @ sizes) if uses else 1.0
-    return [(Counter(dict(k)), v / max(total, 1e-9)) for k, v in uses.items()]
+    return [(Counter(dict(k)), v) for k, v in uses.items()]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[Counter, int]]:
     """Integral configurations that hold every piece once: ``[(sizes, times)]``.
 
-    Full pieces stand alone. The linear program's uses are rounded down and cut to what is left of each size;
-    the rest, a share that shrinks as counts grow, is filled largest piece first, each time with the largest
-    pieces that still fit, and used as often as the counts allow. Where counts are too small for rounding to
-    pay, filling everything that way needs fewer sequences, and is returned.
+    Full pieces stand alone. The linear program's uses are rounded down; what that and the program's stated error
+    leave, a share that shrinks as counts grow, is filled largest piece first, each time with the largest pieces
+    that still fit, and used as often as the counts allow.
     """
-    rest = {s: n for s, n in counts.items() if n and s != capacity}
-    full = [(Counter({capacity: 1}), counts[capacity])] if counts.get(capacity) else []
-    left, made = dict(rest), []
+    left = {s: n for s, n in counts.items() if n and s != capacity}
+    made = [(Counter({capacity: 1}), counts[capacity])] if counts.get(capacity) else []
     if left:
         for config, times in sorted(configuration_lp(left, capacity, rounds), key=lambda x: -x[1]):
-            whole = min([int(times), *(left.get(s, 0) // k for s, k in config.items())])
+            whole = min([int(times + 1e-6), *(left.get(s, 0) // k for s, k in config.items())])
             if whole:
                 _use(config, whole, left, made)
     _fill(left, capacity, made)
-    filled: list[tuple[Counter, int]] = []
-    _fill(dict(rest), capacity, filled)
-    return full + min(made, filled, key=lambda m: sum(t for _, t in m))
+    return made
 
 
 def _use(config: Counter, times: int, left: dict[int, int], made: list[tuple[Counter, int]]) -> None:

@@ -48,6 +48,28 @@ def test_knapsack_and_plan():
     assert packing.plan({}, 10) == []
 
 
+def test_program_covers_every_size_and_places_most_pieces():
+    rng, cap = random.Random(4), 512
+    counts = {s: 1 + int(4_000_000 / (s + 20) ** 1.5 * rng.random()) for s in range(1, cap)}
+    covered = Counter()
+    for config, times in packing.configuration_lp(counts, cap):
+        assert times > 0 and sum(s * k for s, k in config.items()) <= cap
+        for s, k in config.items():
+            covered[s] += k * times
+    assert all((1 - packing.COVER_ERROR) * n - 1e-6 <= covered[s] <= n + 1e-6 for s, n in counts.items())
+    least = sum(s * n for s, n in counts.items()) / cap
+    assert sum(t for _, t in packing.plan(counts, cap)) <= least * 1.01 + 1
+    placed, held = [], Counter()
+    filling, packing._fill = packing._fill, lambda left, capacity, made: placed.extend(made)
+    try:
+        packing.plan(counts, cap)
+    finally:
+        packing._fill = filling
+    for config, times in placed:
+        held.update({s: s * k * times for s, k in config.items()})
+    assert sum(held.values()) >= 0.8 * least * cap
+
+
 @pytest.mark.parametrize("capacity", [2048, 16])
 def test_pack_holds_every_token_once(odd, odd_documents, capacity):
     whole = Tokenizer.from_file(PATH)
