@@ -17,24 +17,53 @@ HASH_WORDS = frozenset("blob build checksum commit digest etag guid hash id md5
 SAMPLE_WORDS = frozenset("changeme demo dummy example fake foo here insert mock placeholder redacted replace sample test todo your xxx".split())
 SAMPLE_PATHS = frozenset("doc docs example examples fixture fixtures mock mocks sample samples spec test tests".split())
 
-CANDIDATE = re.compile(
-    r"(?i:\b(?P<name>[A-Za-z_.-]{0,40}(?:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credential)s?)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?)"
-    r"(?P<value>[^\s\"'<>,;]{6,})"
-    r"|(?<![A-Za-z0-9+/_=.@-])(?P<bare>[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/_@-])"
+#: An assignment to a value of six characters or more, a name that asks for one whatever it holds, and bare runs.
+ASSIGNED = re.compile(r"[:=]{1,2}>?\s{0,3}[\"']?(?=[^\s\"'<>,;]{6})")
+VALUE = re.compile(r"[^\s\"'<>,;]{6,}")
+SECRET_NAME = re.compile(
+    r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|signing|encryption|master|account)[_.-]?key|auth|credential)"
+    r"s?(?:[0-9_.-].*|[A-Z][a-z].*)?$"
 )
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_@-])")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 THRESHOLD = 0.5
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_-=.$%!@#*&?(){}[]~^:\\|`"
 _CLASS = {c: i for i, c in enumerate(ALPHABET)}
 
 
+def _name(text: str, end: int) -> str:
+    """The name, of any length, before the assignment sign at ``end``; a quote and three blanks may lie between."""
+    low = max(0, end - 3)
+    while end > low and text[end - 1].isspace():
+        end -= 1
+    end -= end > 0 and text[end - 1] in "\"'"
+    start = end
+    while start > 0 and text[start - 1] in NAME:
+        start -= 1
+    return text[start:end]
+
+
+def _named(text: str) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        at, name = m.end(), _name(text, m.start())
+        if SECRET_NAME.search(name):
+            start, at = at, VALUE.match(text, at).end()
+            yield start, at, name.lower()
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """``(start, end, name)`` of values that may be secrets; name is the assigned name or empty."""
-    for m in CANDIDATE.finditer(text):
-        kind = "value" if m.group("value") else "bare"
-        value = m.group(kind)
-        if kind == "value" or any(c.isdigit() for c in value):
-            yield m.start(kind), m.end(kind), (m.group("name") or "").lower()
+    named, signs = list(_named(text)), {m.end(): m.start() for m in ASSIGNED.finditer(text)}
+    found, k = [], 0
+    for m in BARE.finditer(text):
+        start, end = m.span()
+        while k < len(named) and named[k][1] <= start:
+            k += 1
+        if (k == len(named) or named[k][0] >= end) and any(c.isdigit() for c in m.group()):
+            found.append((start, end, _name(text, signs[start]).lower() if start in signs else ""))
+    yield from sorted(named + found)
 
 
 def neighbours(text: str, start: int, end: int) -> list[str]:
@@ -195,7 +224,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[dict]:
 def scan(docs: DataFrame, findings: Sequence[dict] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Every candidate in every whole text: ``(doc_id, start, end, name, value, secret_score, is_secret)``.
 
-    Candidates are values assigned to a name like token or password, and long runs of key characters with a digit.
+    Candidates are values assigned to a name that holds a word like token or password, also with a suffix (token_value,
+    secret_key, password2), and long runs of key characters with a digit wherever a run begins, so after "=" too.
     The forest weighs length, entropy, character transitions, dictionary coverage, the name, the path (the source
     column) and neighbouring words; it is trained on ``findings`` (made-up ones by default), whose number is the
     bound on what the driver holds. One scan, no shuffle. start and end count characters.
