@@ -94,7 +94,7 @@ class Service:
             "tests": diff.tests_to_run(nodes),
         }
 
-    # Answers as text -----------------------------------------------------------
+    # Answers as text: lists are whole and counts are theirs; only chunks of code are held to a budget ---------
 
     def _hits_text(self, hits: DataFrame, header: str) -> str:
         rows = budget.blocks(hits, len(header)).orderBy("rank").collect()  # a ranked list of k
@@ -123,9 +123,8 @@ class Service:
         return model(INSTRUCTIONS, f"Question: {question}\n\nCode chunks:\n\n{context}")
 
     @staticmethod
-    def _names(rows: DataFrame, most: int = 200) -> list[str]:
-        listed = rows.limit(most + 1).collect()
-        return [f"{r['qualified']}  {r['path']}:{r['start_line']}-{r['end_line']}" for r in listed[:most]] + ["…"] * (len(listed) > most)
+    def _names(rows: DataFrame) -> list[str]:
+        return [f"{r['qualified']}  {r['path']}:{r['start_line']}-{r['end_line']}" for r in rows.collect()]
 
     def get_definition(self, name: str) -> str:
         wrong = self.refresh()
@@ -135,7 +134,7 @@ class Service:
         wrong = self.refresh()
         if wrong:
             return wrong
-        rows = self.callers(name).limit(201).collect()
+        rows = self.callers(name).collect()
         return f"{len(rows)} call sites of {name}:\n" + "\n".join(f"{r['caller']}  {r['path']}:{r['line']}" for r in rows)
 
     def find_callees(self, name: str) -> str:
@@ -143,12 +142,12 @@ class Service:
         if wrong:
             return wrong
         inside, outside = self.callees(name)
-        names = [r["callee"] for r in outside.limit(201).collect()]
+        names = [r["callee"] for r in outside.collect()]
         return "\n".join([f"{name} calls:", *self._names(inside), "external: " + (", ".join(names) or "none")])
 
     @staticmethod
     def _nodes_text(nodes: DataFrame, title: str) -> str:
-        rows = nodes.orderBy("depth", "path", "call_line", "node_key").limit(201).collect()
+        rows = nodes.orderBy("depth", "path", "call_line", "node_key").collect()
         if not rows:
             return f"{title}: nothing found."
         out = [f"{title}: {len(rows)} found, {sum(r['uncertain'] for r in rows)} uncertain" + (", cut off by depth" if any(r["truncated"] for r in rows) else "")]
@@ -169,11 +168,11 @@ class Service:
             found = self.diff_impact(rev or None, staged, depth)
         except git.GitError as e:
             return f"git: {e}"
-        paths = lambda key: [r["path"] for r in found[key].select("path").distinct().orderBy("path").limit(11).collect()]
+        paths = lambda key: [r["path"] for r in found[key].select("path").distinct().orderBy("path").collect()]
         stale = paths("stale")
         if stale:
             return "The index is older than these changed files; index again first: " + ", ".join(stale)
-        tests = [r["test"] for r in found["tests"].limit(201).collect()]
+        tests = [r["test"] for r in found["tests"].orderBy("test").collect()]
         return "\n".join(
             [
                 "Changed: " + (", ".join(paths("changed")) or "nothing"),

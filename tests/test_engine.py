@@ -219,3 +219,47 @@ def test_catalogue_against_sql(spark):
         assert sorted(have) == cols, name
         want = sorted("|".join(norm(dict(zip(have, r))[c]) for c in cols) for r in cur.fetchall())
         assert got == want, name
+
+
+class Listed(Service):
+    """A service over given results."""
+
+    def __init__(self, **found):
+        self.found = found
+
+    def refresh(self):
+        return None
+
+    def callers(self, name):
+        return self.found["callers"]
+
+    def callees(self, name):
+        return self.found["symbols"], self.found["outside"]
+
+    def diff_impact(self, rev=None, staged=False, depth=3):
+        return self.found
+
+
+def test_answers_list_everything_and_count_it(spark):
+    n = 450
+    rows = spark.range(n).select(F.format_string("n%03d", "id").alias("x"), F.col("id").cast("int").alias("line"))
+    symbols = rows.select(F.col("x").alias("qualified"), F.concat("x", F.lit(".py")).alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    last = F.col("line") == n - 1
+    nodes = rows.select(
+        F.lit(1).alias("depth"), F.concat("x", F.lit(".py")).alias("path"), F.col("line").alias("call_line"), F.col("x").alias("node_key"),
+        F.col("x").alias("qualified"), last.alias("uncertain"), last.alias("truncated"), F.lit(True).alias("is_test"), F.array("x").alias("chain"),
+    )
+    files_ = symbols.select("path")
+    found = {"callers": rows.select(F.col("x").alias("caller"), F.col("x").alias("path"), "line"), "symbols": symbols, "outside": rows.select(F.col("x").alias("callee"))}
+    found |= {"changed": files_, "unmapped": files_, "stale": files_.limit(0), "nodes": nodes, "tests": rows.select(F.concat(F.lit("t::"), "x").alias("test"))}
+    s = Listed(**found)
+    callers = s.find_callers("hub").splitlines()
+    assert callers[0].startswith(f"{n} call sites") and len(callers) == n + 1
+    callees = s.find_callees("hub").splitlines()
+    assert len(callees) == n + 2 and callees[-1].count("n") >= n and "n449" in callees[-1]
+    text = s.impact_of_changes()
+    assert f"Impact: {n} found, 1 uncertain, cut off by depth" in text
+    lines = {x.split(":")[0]: x for x in text.splitlines()}
+    assert lines["Tests to run"].count("t::") == n and lines["Changed"].count(".py") == n and lines["Changed but not covered by any symbol"].count(".py") == n
+    s.found["stale"] = files_
+    assert s.impact_of_changes().count(".py") == n
