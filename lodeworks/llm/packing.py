@@ -3,103 +3,152 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import stored
 
 CAPACITY = 2048
-#: Words met twice or more whose ids a worker remembers; rarer ones are encoded each time.
-REMEMBERED_WORDS = 400_000
-#: Hashes of words met once that a worker keeps to notice the second time.
-NOTICED_WORDS = 1_000_000
+#: Words from which a worker's young generation of remembered words is full.
+REMEMBERED_WORDS = 300_000
+#: Bytes of text whose words are looked up together, and words that the tokenizer is handed at once.
+TOGETHER, ENCODED_WORDS = 1 << 23, 4096
 #: Share of a size's pieces that the linear program may leave to the filling.
 COVER_ERROR = 0.02
 RANK_BITS = 44
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Small letters of ASCII and Latin-1, which normal form and lower case leave as they are.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 _loaded: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Token ids of white-space-delimited words as little-endian 32-bit bytes, encoded once a word.
+    """Token ids of white-space-delimited words as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins what white space separates, so a text's ids are those of its
-    words in turn. Only ASCII white space splits here; the tokenizer itself splits at the rest.
+    words in turn. Only ASCII white space splits here; the tokenizer itself splits at the rest. Words are
+    remembered in two generations: when the young one is full it becomes the old one, whose words come back as they
+    are met, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.met = Tokenizer.from_file(path), {}, set()
-        self.mark = self._encode(self.MARK)
-
     MARK = "|"
 
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers as pre
+
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.mark = self._encode(self.tokenizer, self.MARK)
+        # The same merges without normal form and pattern, which leave words of small letters as they are.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Rare words are encoded as one text with a mark between them, cut again at the mark's id.
+    @staticmethod
+    def _encode(tokenizer, text: str) -> bytes:
+        return array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-        Only a word that holds the mark itself could yield that id; such words go one by one.
-        """
-        made, plain = {}, []
+    @staticmethod
+    def _cut(ids: bytes, ends: np.ndarray, gap: int = 0) -> Iterator[bytes]:
+        """``ids`` up to each of the places ``ends``; the next part begins ``gap`` ids after it."""
+        ends = 4 * ends
+        return map(ids.__getitem__, map(slice, [0, *(ends[:-1] + 4 * gap).tolist()], ends.tolist()))
+
+    def _encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Words are encoded as one text. Words of small letters have one id that ends a word; the others are parted
+        by a mark whose id only a word that holds the mark itself could yield; such words go one by one."""
+        simple, plain, made = [], [], {}
         for w in words:
-            if b"|" in w:
-                made[w] = self._encode(w.decode())
-            else:
-                plain.append(w)
-        ids = self._encode(f" {self.MARK} ".join(w.decode() for w in plain))
-        cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.mark, "<u4")[0]) * 4).tolist()
-        made.update(zip(plain, map(ids.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(ids)]))))
+            (simple if LETTERS(w) else plain).append(w)
+        for at in range(0, len(simple), ENCODED_WORDS):
+            part = simple[at : at + ENCODED_WORDS]
+            ids = self._encode(self.letters, b" ".join(part).decode())
+            made.update(zip(part, self._cut(ids, np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)))
+        made.update((w, self._encode(self.tokenizer, w.decode())) for w in plain if b"|" in w)
+        plain = [w for w in plain if b"|" not in w]
+        for at in range(0, len(plain), ENCODED_WORDS):
+            part = plain[at : at + ENCODED_WORDS]
+            ids = self._encode(self.tokenizer, b" | ".join(part).decode())
+            found = np.frombuffer(ids, "<u4")
+            marks = np.flatnonzero(found == np.frombuffer(self.mark, "<u4")[0])
+            made.update(zip(part, self._cut(ids, np.append(marks, len(found)), 1)))
         return made
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word's stem and the marks after it, where the stem ends in a letter: the tokenizer keeps them apart."""
-        stem = word.rstrip(MARKS)
-        return (stem, word[len(stem) :]) if stem and 97 <= stem[-1] <= 122 else (word, b"")
+    def _learn(self, words: list[bytes], plain: bool) -> dict[bytes, bytes]:
+        """The ids of different words that are not known, remembered from now on. A plain word whose marks follow a
+        small letter is its stem's ids and theirs: the tokenizer keeps them apart."""
+        known, old = self.known, self.old
+        made = {w: old[w] for w in words if w in old} if old else {}
+        new = [w for w in words if w not in made] if made else words
+        if plain:
+            stems = [w.rstrip(MARKS) for w in new]
+            cut = [bool(s) and 97 <= s[-1] <= 122 and len(s) < len(w) for w, s in zip(new, stems)]
+            marked, stems = list(compress(new, cut)), list(compress(stems, cut))
+            tails = [w[len(s) :] for w, s in zip(marked, stems)]
+            whole = {x for x in chain(stems, set(tails)) if x not in known}
+            whole.update(w for w, c in zip(new, cut) if not c)
+            made.update(self._encode_words(whole))
+            known.update(made)
+            made.update(zip(marked, [known[s] + known[t] for s, t in zip(stems, tails)]))
+        else:
+            made.update(self._encode_words(new))
+        known.update(made)
+        return made
+
+    def _ids(self, texts: pa.Array, plain: bool, end: bytes) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts in turn, each followed by ``end``, and where each text's ids stop, in bytes."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known, self.old = {}, self.known
+        texts = texts.view(pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
+        if missing:
+            made = self._learn(missing, plain)
+            found = [made[w] if x is None else x for w, x in zip(words, found)]
+        found.append(end)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        at = np.insert(coded.indices.to_numpy(), ends, len(words))  # each text's words, then the end
+        size, start = size[at], start[at]
+        until = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start - until + size, size) + np.arange(until[-1])]
+        return ids.tobytes(), 4 * until[ends + np.arange(len(ends))]
 
     def ids(self, text: bytes) -> bytes:
-        """The ids of a text. It is lower-cased first unless it could hold a special token's name, or marks that
-        combine with a letter, where lower case before the tokenizer's own normal form might change the ids."""
-        plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
-        words, known = (text.lower() if plain else text).split(), self.known
-        found = list(map(known.get, words))
-        rare = [i for i, x in enumerate(found) if x is None]
-        if not rare:
-            return b"".join(found)
-        missing = {words[i] for i in rare}
-        parts = {w: self._parts(w) if plain else (w, b"") for w in missing}
-        new = list({part for both in parts.values() for part in both if part and part not in known})
-        made: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            made.update(self._encode_words(new[at : at + 4096]))
-        get = lambda s: made[s] if s in made else known.get(s, b"")
-        whole = {w: get(stem) + get(tail) for w, (stem, tail) in parts.items()}
-        if len(known) < REMEMBERED_WORDS:
-            met = self.met
-            if len(met) > NOTICED_WORDS:
-                met.clear()
-            for w, x in [*made.items(), *whole.items()]:
-                h = hash(w)
-                if h in met:
-                    known[w] = x
-                else:
-                    met.add(h)
-        elif self.met:
-            self.met = set()
-        for i in rare:
-            found[i] = whole[words[i]]
-        return b"".join(found)
+        return next(self.each(pa.array([text], pa.binary())))
+
+    def each(self, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+        """The ids of each text, followed by ``end``. A text is lower-cased first unless it could hold a special
+        token's name, or marks that combine with a letter, where lower case before the tokenizer's own normal form
+        might change the ids."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+        for at, z in zip(cuts, cuts[1:]):
+            part = texts.slice(at, z - at)
+            odd = [any(x in t for x in (b"<|", b"\xcc", b"\xcd")) for t in part.to_pylist()]
+            turns = {}
+            for kind in set(odd):
+                made, until = self._ids(part.filter(pa.array(odd if kind else [not x for x in odd])), not kind, end)
+                turns[kind] = map(made.__getitem__, map(slice, [0, *until[:-1].tolist()], until.tolist()))
+            for kind in odd:
+                yield next(turns[kind])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -110,8 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = words.ids(t.as_py() or b"") + end
+            for i, ids in enumerate(words.each(b.column(1), end)):
                 for start in range(0, len(ids), 4 * capacity):
                     part = ids[start : start + 4 * capacity]
                     at.append(i)
@@ -125,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
