@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..scratch import discard, free_shuffles, new_path, release_scratch, scratch_dir, stored
+from ..scratch import discard, drop_path, free_shuffles, new_path, release_scratch, scratch_dir, stored
 
-__all__ = ["SPACE", "connected_components", "discard", "fresh", "free_shuffles", "new_path", "read", "release_scratch", "scratch_dir", "stored"]
+__all__ = ["SPACE", "connected_components", "discard", "drop_run", "fresh", "free_shuffles", "new_path", "ordered_buckets", "read", "release_scratch", "scratch_dir", "sorted_run", "stored"]
 
 #: Characters that separate words in every operator here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
@@ -24,6 +27,34 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession):
+    """Plans made within take a bucket of one file as sorted, as it was written."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def sorted_run(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed and sorted by ``key``, one file a bucket where ``df`` is dealt
+    out by it into ``buckets``, and read it again in its order. ``drop_run`` deletes it."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    with ordered_buckets(spark):
+        df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table).sortWithinPartitions(key)
+    out.run_table, out.run_path = table, path
+    return out
+
+
+def drop_run(run: DataFrame) -> None:
+    run.sparkSession.sql(f"DROP TABLE IF EXISTS {run.run_table}")
+    drop_path(run.sparkSession, run.run_path)
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of ``edges(src, dst)``: rows ``(node, component)``.
 

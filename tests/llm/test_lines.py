@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.llm import lines
+from lodeworks.llm.common import ordered_buckets, stored
+from lodeworks.llm.queries import OP7_SQL
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -51,6 +53,45 @@ def test_settled_hashes_are_left_out_and_runs_stay_sorted(spark):
         assert hs == sorted(hs)
 
 
+def test_batches_meet_runs_as_they_lie_through_three_levels(spark):
+    runs, want = lines.LineRuns(spark, threshold=5, fanout=2), Counter()
+    make = lambda rows: spark.createDataFrame([(b"%03d" % k, n) for k, n in rows], "h binary, n long")
+    for batch in range(9):
+        rows = [(k, 1 + (k + batch) % 2) for k in range(batch, 120, 1 + batch % 3)]
+        for k, n in rows:
+            want[k] += n
+        runs.add(make(rows))
+    assert [len(x) for x in runs.levels] == [1, 0, 0, 1] and runs.compactions == 7
+    with ordered_buckets(spark):
+        plan = runs.unsettled(stored(make([(1, 1)]), "batch"))._jdf.queryExecution().executedPlan().toString()
+        # The batch alone is dealt out and sorted; both runs are read bucket by bucket, as sorted.
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Bucketed: true") == 2
+        merged = runs.frequent()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert {int(bytes(r.h)) for r in merged.collect()} == {k for k, n in want.items() if n >= 5}
+    runs.drop()
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    import duckdb
+
+    rows = [(7, "same\nown")] * 10 + [(None, f"bare\nx{i}") for i in range(10)] + [(100 + i, f"many\nown {i}") for i in range(10)] + [(100, "many\nmany\nsame")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text, r._n_lines, r._n_dropped) for r in lines.drop_frequent_lines(docs).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(7, "same\nown", 2, 0)] * 10 + [(None, f"x{i}", 2, 1) for i in range(10)] + [(100 + i, f"own {i}", 2, 1) for i in range(10)] + [(100, "same", 3, 2)], key=str
+    )
+    held = duckdb.connect()
+    held.register("documents", docs.where("doc_id is not null").toArrow())
+    plainly = {r[0]: r[1:3] for r in held.execute(OP7_SQL).fetchall()}
+    total = {}
+    for i, _, n, lost in got:
+        if i is not None:
+            total[i] = (total.get(i, (0, 0))[0] + n, total.get(i, (0, 0))[1] + lost)
+    assert total == plainly
+
+
 @pytest.mark.parametrize("broadcast", [lines.BROADCAST_KEYS, 0])
 def test_clashing_columns(spark, broadcast):
     rows = [(i, f"same\nown {i}", i, "g", 7, 8) for i in range(12)]
