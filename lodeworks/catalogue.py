@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import text as T, vectors as V
 from .operators import budget, chunking, diff, evaluate, fusion, graph, lexical, snapshot, spans, traverse, vectors
+from .scratch import stored
 
 QUERY = "Therein that andThe station of 1984 antiHTTPIn reon"
 K = 10
@@ -285,8 +286,8 @@ SQL_ITEM_TERMS = f"(SELECT item_id, unnest({sql_tokens('text')}) AS term FROM be
 def bm25_batch(spark, sf_dir):
     rows = lexical_rows(spark, sf_dir)
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    postings = lexical.term_frequencies(rows, "chunk_id", F.col("body"))
-    found = lexical.batch_topk(postings, lexical.document_lengths(rows, "chunk_id", F.col("body")), items, "chunk_id", 5)
+    postings = stored(lexical.term_frequencies(rows, "chunk_id", F.col("body")), "postings")
+    found = lexical.batch_topk(postings, lexical.lengths_of(postings, rows, "chunk_id"), items, "chunk_id", 5)
     return found.select("item_id", "chunk_id", _round("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -686,8 +687,8 @@ def _eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, items = lexical_rows(spark, sf_dir), _eval_items(spark, sf_dir)
     depth, _ = fusion.evaluation_pools(K, rerank=False)
-    postings = lexical.term_frequencies(rows, "chunk_id", F.col("body"))
-    lex = lexical.batch_topk(postings, lexical.document_lengths(rows, "chunk_id", F.col("body")), items, "chunk_id", depth)
+    postings = stored(lexical.term_frequencies(rows, "chunk_id", F.col("body")), "postings")
+    lex = lexical.batch_topk(postings, lexical.lengths_of(postings, rows, "chunk_id"), items, "chunk_id", depth)
     embedded = chunk_rows(spark, sf_dir).select("chunk_id", V.hash_embedding(F.col("text")).alias("v"))
     q = items.select(F.col("item_id").alias("query_id"), V.hash_embedding(F.col("query")).alias("vector"))
     vec = vectors.batch_topk(embedded, "chunk_id", "v", q, depth).withColumnRenamed("query_id", "item_id")

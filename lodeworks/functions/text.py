@@ -37,18 +37,55 @@ def subwords(run: Column) -> Column:
     return F.regexp_extract_all(run, F.lit(SUBWORD), F.lit(0))
 
 
+#: A run of several parts, or of letters and digits: not of one case, nor capitalised, nor all digits.
+MIXED = f"(?<![A-Za-z0-9])(?!(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?![A-Za-z0-9])){RUN}"
+#: Set after mixed runs so that the others, most of all runs, are known without another look.
+MARK = "\x01"
+
+
 def tokenize(text: Column) -> Column:
     """Every alphanumeric run in lower case, each camelCase run followed by its parts; order and repeats are kept."""
 
     def expand(run: Column) -> Column:
+        bare = F.rtrim(run, F.lit(MARK))
         parts = lambda p: F.when(
-            F.size(p) > 1, F.concat(F.array(F.lower(run)), F.transform(p, lambda x: F.lower(x)))
-        ).otherwise(F.array(F.lower(run)))
-        # Runs of one case and no digit have a single part; they are most of all runs.
-        plain = run.rlike("^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$")
-        return F.when(plain, F.array(F.lower(run))).otherwise(let(subwords(run), parts))
+            F.size(p) > 1, F.concat(F.array(F.lower(bare)), F.transform(p, lambda x: F.lower(x)))
+        ).otherwise(F.array(F.lower(bare)))
+        return F.when(run.endswith(MARK), let(subwords(bare), parts)).otherwise(F.array(F.lower(run)))
+
+    marked = F.regexp_replace(text, MIXED, "$0" + MARK)
+    return F.flatten(F.transform(F.regexp_extract_all(marked, F.lit(f"{RUN}{MARK}?"), F.lit(0)), expand))
+
+
+def token_counts(text: Column, terms: list[str]) -> Column:
+    """``(dl, t0, t1, …)``: how many tokens a text has, and how many of them are each term, without listing them.
+
+    A term counts where it is a run, in any case, or a part of a mixed run.
+    """
+    mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(MIXED), F.lit(0)), subwords_of_several))
+    whole = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
+    runs = F.regexp_extract_all(text, F.lit(f"(?i)(?<![A-Za-z0-9])(?:{whole})(?![A-Za-z0-9])"), F.lit(0))
+
+    def counted(parts: Column) -> Column:
+        found = F.concat(runs, F.filter(parts, lambda p: F.lower(p).isin(terms)))
+        return let(
+            F.transform(found, lambda x: F.lower(x)),
+            lambda f: F.struct(
+                (F.regexp_count(text, F.lit(RUN)) + F.size(parts)).cast("long").alias("dl"),
+                *[occurrences(f, t).cast("long").alias(f"t{i}") for i, t in enumerate(terms)],
+            ),
+        )
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), expand))
+    return let(mixed, counted)
+
+
+def occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
+def subwords_of_several(run: Column) -> Column:
+    """The parts of a run that has two or more of them."""
+    return let(subwords(run), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array().cast("array<string>")))
 
 
 def identifier_words(name: Column) -> Column:
@@ -90,10 +127,6 @@ def embedding_text(path: Column, start: Column, end: Column, symbol: Column, tex
     return F.concat(locator(path, start, end, symbol), F.lit("\n"), text)
 
 
-def prefixed(text: Column, scheme: str, query: bool) -> Column:
-    return F.concat(F.lit(PREFIXES[scheme][0 if query else 1]), text)
-
-
 def lines(text: Column) -> Column:
     """The lines of a text, broken where Python's splitlines breaks it, without a final empty one."""
     parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")

@@ -25,13 +25,11 @@ def hash_embedding(text: Column, buckets: int = BUCKETS) -> Column:
     if buckets != 256:
         raise ValueError("a bucket is the last byte of the MD5")
     words = F.filter(F.split(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), "\\s+"), lambda w: w != "")
-    # The buckets as one string of marked hex pairs: a bucket's count is what replacing its pair takes away.
-    marks = F.array_join(F.transform(words, lambda w: F.concat(F.lit(","), F.substring(F.md5(w), -2, 2))), "")
-    pairs = F.array(*[F.lit(f",{b:02x}") for b in range(buckets)])
-    counts = let(
-        marks,
-        lambda s: F.transform(
-            pairs, lambda b: (F.length(s) - F.length(F.replace(s, b, F.lit("")))).cast("double") / F.lit(3.0)
-        ),
-    )
-    return let(counts, normalized)
+    # A word is twice its bucket; one odd mark a bucket is sorted in among them. Mark b has b marks before it, so its
+    # place tells how many words lie in the buckets up to b.
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), -2, 2), 16, 10).cast("int") * 2)
+    marks = F.array(*[F.lit(2 * b + 1) for b in range(buckets)])
+    places = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+    upto = lambda p: F.transform(p, lambda x, b: x - b)
+    counts = lambda n: F.transform(n, lambda x, b: (x - F.when(b > 0, F.get(n, b - 1)).otherwise(0)).cast("double"))
+    return let(let(let(F.array_sort(F.concat(hashed, marks)), places), upto), lambda n: let(counts(n), normalized))

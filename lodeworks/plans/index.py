@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.models import Embedder, HashEmbedder
-from ..functions.text import embedding_text
+from ..functions.text import embedding_text, lexical_text
+from ..operators import lexical
 from ..operators.snapshot import replace_paths, snapshot_diff
 from ..scratch import stored
 from ..sources import syntax
@@ -32,9 +33,10 @@ def build_index(
 ) -> dict[str, int]:
     """Bring the index of ``repo`` up to date; returns counts of files added, changed and deleted, and chunks embedded.
 
-    Only files whose hash differs from the manifest are read, chunked and embedded; their old chunks, and those of
-    files that are gone, are left out. A new embedder, or ``full``, starts over. The call graph is rebuilt whole
-    whenever something changed, since a name may resolve anew anywhere. All tables become visible together.
+    Only files whose hash differs from the manifest are parsed, once each, chunked, embedded and put into the inverted
+    index; old rows of theirs, and of files that are gone, are left out. A new embedder, or ``full``, starts over. The
+    call graph is made anew from all extracted rows whenever something changed, since a name may resolve anew
+    anywhere. All tables become visible together.
     """
     embedder = embedder or HashEmbedder()
     store = Store(spark, index_dir(repo))
@@ -48,22 +50,33 @@ def build_index(
     status = stored(snapshot_diff(base, manifest), "index-status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     report = {k: counts.get(k, 0) for k in ("added", "changed", "deleted")} | {"embedded": 0}
-    missing_graph = graph and "symbols" not in now.get("tables", {})
-    if old is not None and not any(report.values()) and not missing_graph:
+    missing = [t for t in ("extracted", "postings", *(("symbols",) if graph else ())) if t not in now.get("tables", {})]
+    if old is not None and not any(report.values()) and not missing:
         progress("nothing changed")
         return report
-    fresh_paths = status.where("status in ('added', 'changed')").select("path")
-    chunks = with_ids(syntax.chunks(files.join(fresh_paths, "path", "left_semi")))
+    if missing and missing != ["symbols"]:  # an index of an earlier layout
+        old, status = None, stored(snapshot_diff(manifest.limit(0), manifest), "index-status")
+    changed = files.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
+    rows = stored(syntax.extracted(changed), "index-extracted")
+    chunks = with_ids(syntax.chunks_of(rows, changed))
     text = embedding_text(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("text"))
     fresh = stored(embedder.add(chunks.withColumn("_embed", text), "_embed", "embedding").drop("_embed"), "index-fresh")
+    body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
+    postings = stored(lexical.inverted(fresh.withColumn("_body", body), "chunk_id", F.col("_body")), "index-postings")
+    fresh = fresh.join(lexical.lengths_of(postings, fresh, "chunk_id"), "chunk_id")
     report["embedded"] = fresh.count()
     progress(f"{report['embedded']} chunks embedded")
     if old is not None:
         gone = status.where("status in ('changed', 'deleted')").select("path")
-        fresh = replace_paths(store.require("chunks"), gone, fresh.select(store.require("chunks").columns))
-    tables = {"manifest": manifest, "chunks": fresh}
+        before = store.require("chunks")
+        dropped = before.join(gone, "path", "left_semi").select("chunk_id")
+        kept = store.require("postings").join(dropped, "chunk_id", "left_anti")
+        postings = kept.select(postings.columns).unionByName(postings)
+        rows = replace_paths(store.require("extracted"), gone, rows)
+        fresh = replace_paths(before, gone, fresh.select(before.columns))
+    tables = {"manifest": manifest, "chunks": fresh, "extracted": rows, "postings": postings}
     if graph:
-        tables["symbols"], tables["calls"] = syntax.symbols_and_calls(files)
+        tables["symbols"], tables["calls"] = syntax.graph_of(rows)
     # Written from the published tables, so under new names before the pointer moves.
-    store.publish(tables, embedder.fingerprint())
+    store.publish(tables, embedder.fingerprint(), folders={"postings": "slot"}, order={"postings": ["slot", "term"]})
     return report

@@ -14,8 +14,8 @@ from ..sources.store import Store
 MODES = ("hybrid", "vector", "lexical")
 
 
-def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None, mode: str, depth: int) -> DataFrame:
-    """``(chunk_id, score, fused_rank)`` of the ``depth`` best chunks in one mode."""
+def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None, mode: str, depth: int, postings: DataFrame | None = None) -> DataFrame:
+    """``(chunk_id, score, fused_rank)`` of the ``depth`` best chunks in one mode: by stored postings, where given."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     by = F.desc(F.round("score", 9))
@@ -23,8 +23,11 @@ def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None,
     if mode != "lexical":
         lists.append(fusion.ranked(vectors.topk(chunks, "chunk_id", "embedding", query_vector, depth), "chunk_id", by))
     if mode != "vector":
-        body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
-        lists.append(fusion.ranked(lexical.topk(chunks, "chunk_id", body, query, depth), "chunk_id", by))
+        if postings is not None:
+            found = lexical.postings_topk(postings, chunks.select("chunk_id", "dl"), "chunk_id", query, depth)
+        else:
+            found = lexical.topk(chunks, "chunk_id", lexical_text(F.col("path"), F.col("symbol"), F.col("text")), query, depth)
+        lists.append(fusion.ranked(found, "chunk_id", by))
     if len(lists) == 1:
         return lists[0].withColumnRenamed("rank", "fused_rank")
     return fusion.rrf(lists, "chunk_id")
@@ -49,20 +52,20 @@ def retrieve(
     embedder = embedder or HashEmbedder()
     depth, pool = fusion.pools(k, reranker is not None)
     vector = embedder.query(spark, query) if mode != "lexical" else None
-    best = first_stage(chunks, query, vector, mode, depth)
+    best = first_stage(chunks, query, vector, mode, depth, store.read("postings"))
     columns = ["rank", "score", "path", "lang", "start_line", "end_line", "symbol", "text"]
     if reranker is None:
         best = best.where(F.col("fused_rank") <= k).withColumnRenamed("fused_rank", "rank")
         hits = chunks.join(F.broadcast(best), "chunk_id")
     else:
-        candidates = chunks.drop("embedding").join(F.broadcast(best.where(F.col("fused_rank") <= pool).drop("score")), "chunk_id")
+        candidates = chunks.drop("embedding", "dl").join(F.broadcast(best.where(F.col("fused_rank") <= pool).drop("score")), "chunk_id")
         candidates = candidates.withColumn("_doc", lexical_text(F.col("path"), F.col("symbol"), F.col("text"))).withColumn("score", F.lit(0.0))
         hits = fusion.rerank_with(candidates, "_doc", query, reranker, pool, k, "chunk_id")
     hits = hits.select(*columns)
     symbols, calls = store.read("symbols"), store.read("calls")
     if expand and symbols is not None and calls is not None:
         edges = graph.edges(graph.resolve_calls(calls.drop("lang"), symbols))
-        more = graph.expand_hits(hits, symbols, edges, chunks.drop("embedding", "lang"))
+        more = graph.expand_hits(hits, symbols, edges, chunks.drop("embedding", "lang", "dl"))
         langs = chunks.select("path", "lang").distinct()
         more = more.join(langs, "path").select(
             (F.col("place") + k).alias("rank"), F.lit(0.0).alias("score"), "path", "lang", "start_line", "end_line", "symbol", "text"

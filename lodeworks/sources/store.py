@@ -1,4 +1,4 @@
-"""Snapshots of an index: Parquet tables in a folder of their own, published by one pointer file."""
+"""Snapshots of an index: Parquet tables in a folder of their own, published by numbered pointer files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .files import read_text
 
-TABLES = ("manifest", "chunks", "symbols", "calls")
+TABLES = ("manifest", "chunks", "extracted", "postings", "symbols", "calls")
+#: Pointer files are numbered; the highest number is what is published.
+POINTER = "CURRENT-"
 
 
 class NotIndexed(RuntimeError):
@@ -21,29 +23,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write aside, then rename: readers see the old pointer or the new one."""
+def _write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write aside, then rename to a name that is not taken: a reader sees the whole file or none."""
     fs, p = _fs(spark, path)
     aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(aside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(aside, p)
+    if not fs.rename(aside, p):
+        fs.delete(aside, False)
+        raise RuntimeError(f"{path} was published by someone else meanwhile")
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbered pointer files, the newest first."""
+        fs, p = _fs(self.spark, self.root)
+        names = [str(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(((int(n[len(POINTER) :]), n) for n in names if n.startswith(POINTER) and n[len(POINTER) :].isdigit()), reverse=True)
+
     def pointer(self) -> dict:
-        """What is published; an unreadable pointer counts as none."""
-        text = read_text(self.spark, f"{self.root}/CURRENT")
-        try:
-            return json.loads(text) if text else {}
-        except ValueError:
-            return {}
+        """What is published: the newest pointer that can be read, else nothing."""
+        for _, name in self._pointers():
+            text = read_text(self.spark, f"{self.root}/{name}")
+            try:
+                return json.loads(text) if text else {}
+            except ValueError:
+                continue
+        return {}
 
     def read(self, table: str) -> DataFrame | None:
         where = self.pointer().get("tables", {}).get(table)
@@ -55,18 +65,29 @@ class Store:
             raise NotIndexed(f"no {table} in {self.root}: build the index first")
         return found
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str) -> None:
-        """Write all tables under new names, then move the pointer; tables not given stay as they are published."""
-        now = self.pointer()
+    def publish(
+        self, tables: dict[str, DataFrame], fingerprint: str, folders: dict[str, str] | None = None, order: dict[str, list[str]] | None = None
+    ) -> None:
+        """Write all tables under new names, then a pointer of the next number; tables not given stay as published.
+
+        The pointer is never overwritten, so a reader finds the old state or the new one. The state before stays for
+        those who read it still; older ones are deleted. ``folders``: the column by which a table is dealt into folders.
+        """
+        numbered, now, stamp = self._pointers(), self.pointer(), uuid.uuid4().hex
         placed = dict(now.get("tables", {}))
-        stamp = uuid.uuid4().hex
         for name, df in tables.items():
-            ordered = df.sortWithinPartitions("path") if "path" in df.columns else df
-            ordered.write.parquet(f"{self.root}/{name}-{stamp}")
+            by = (order or {}).get(name, ["path"] if "path" in df.columns else [])
+            folder = (folders or {}).get(name)
+            ordered = (df.repartition(folder) if folder else df).sortWithinPartitions(*by) if by else df
+            writer = ordered.write.partitionBy(folder) if folder else ordered.write
+            writer.parquet(f"{self.root}/{name}-{stamp}")
             placed[name] = f"{name}-{stamp}"
-        _write_text(self.spark, f"{self.root}/CURRENT", json.dumps({"fingerprint": fingerprint, "tables": placed}))
-        for name in tables:
-            old = now.get("tables", {}).get(name)
-            if old:
-                fs, p = _fs(self.spark, f"{self.root}/{old}")
-                fs.delete(p, True)
+        number = numbered[0][0] + 1 if numbered else 1
+        _write_new(self.spark, f"{self.root}/{POINTER}{number:08d}", json.dumps({"fingerprint": fingerprint, "tables": placed, "before": now.get("tables", {})}))
+        held = {*placed.values(), *now.get("tables", {}).values()}
+        for name in {*now.get("before", {}).values()} - held:
+            fs, p = _fs(self.spark, f"{self.root}/{name}")
+            fs.delete(p, True)
+        for _, name in numbered[1:]:
+            fs, p = _fs(self.spark, f"{self.root}/{name}")
+            fs.delete(p, False)

@@ -1,44 +1,31 @@
-"""Definitions, chunks and calls of source files, by the standard parser for Python and by braces elsewhere."""
+"""Definitions, chunks and calls of source files, by the standard parser for Python and by braces elsewhere.
+
+A file is parsed once: ``extracted`` gives all three as arrays of one row, which an index keeps for files that stay
+as they are.
+"""
 
 from __future__ import annotations
 
 import ast
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.chunking import MAX_LINES, OVERLAP, WINDOW, heuristic_chunks
+from ..scratch import stored
+from . import braces
+from .braces import BRACED, Definition
 
-CHUNK_SCHEMA = "path string, lang string, start_line int, end_line int, symbol string, text string"
-DEF_SCHEMA = "path string, lang string, qualified string, kind string, start_line int, end_line int, ordinal int"
-CALL_SCHEMA = "path string, lang string, callee string, line int, ordinal int, caller int"
-BRACED = {"javascript", "typescript", "rust", "java", "csharp", "cpp", "go"}
-
-_CONTAINER = re.compile(r"^\s*(?:(?:export|default|public|private|protected|internal|static|abstract|final|pub(?:\([^)]*\))?|sealed)\s+)*(?:class|interface|struct|enum|trait|impl(?:<[^>]*>)?|namespace|mod|module|type)\s+([A-Za-z_]\w*)")
-_CALLABLE = re.compile(
-    r"^\s*(?:(?:export|default|public|private|protected|internal|static|abstract|final|async|override|virtual|inline|pub(?:\([^)]*\))?|unsafe|const)\s+)*"
-    r"(?:(?:function\*?|fn)\s+([A-Za-z_$]\w*)|func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"
-    r"|(?:const|let|var)\s+([A-Za-z_$]\w*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"
-    r"|(?:[A-Za-z_][\w<>\[\],:*&\s]*\s+[*&]?)?([A-Za-z_$]\w*)\s*\([^;]*\)\s*(?:const\s*)?(?:throws\s[\w,\s.]+)?(?::\s*[^;{]+|->\s*[^;{]+)?\{)"
-)
-_CALL = re.compile(r"([A-Za-z_$]\w*)\s*\(")
-_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
-# Words before a parenthesis that call nothing.
-_NO_CALL = frozenset("if for while switch catch return function func fn sizeof match else do new class struct and or not in".split())
-
-
-@dataclass
-class Definition:
-    qualified: str
-    kind: str
-    start: int  # lines from 1; decorators belong to a chunk, not to the definition
-    end: int
-    top: int  # with decorators
-    inner: int | None  # line of the first definition inside
-    nested: bool  # inside a callable
+CHUNK = "array<struct<start_line: int, end_line: int, symbol: string, text: string>>"
+DEFINITION = "array<struct<qualified: string, kind: string, start_line: int, end_line: int>>"
+CALL = "array<struct<callee: string, line: int, caller: int>>"
+_ROW = {
+    "chunks": pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("symbol", pa.string()), ("text", pa.string())])),
+    "definitions": pa.list_(pa.struct([("qualified", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])),
+    "calls": pa.list_(pa.struct([("callee", pa.string()), ("line", pa.int32()), ("caller", pa.int32())])),
+}
 
 
 def python_definitions(tree: ast.Module) -> list[Definition]:
@@ -74,69 +61,36 @@ def python_calls(tree: ast.Module) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], x[2]))
 
 
-def _blanked(text: str) -> list[str]:
-    """The lines of a text with comments and strings as spaces."""
-    return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text).split("\n")
-
-
-def braced_definitions(text: str) -> list[Definition]:
-    """Definitions of a brace language: a heading line, up to the brace that closes it."""
-    rows = _blanked(text)
-    found: list[Definition] = []
-    open_defs: list[tuple[int, Definition]] = []
-    depth = 0
-    for n, row in enumerate(rows, 1):
-        box = _CONTAINER.match(row)
-        call = None if box else _CALLABLE.match(row)
-        name = box.group(1) if box else next(filter(None, call.groups()), None) if call else None
-        if name and name not in _NO_CALL:
-            scope = [d.qualified for _, d in open_defs][-1:]
-            one = Definition(".".join([*scope, name]), "container" if box else "callable", n, n, n, None, any(d.kind == "callable" for _, d in open_defs))
-            for _, d in open_defs:
-                d.inner = d.inner or n
-            found.append(one)
-            if "{" in row or not row.rstrip().endswith(";"):
-                open_defs.append((depth, one))
-        for c in row:
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                while open_defs and depth <= open_defs[-1][0]:
-                    open_defs.pop()[1].end = n
-    for _, d in open_defs:
-        d.end = max(d.end, d.start)
-    return found
-
-
-def braced_calls(text: str, definitions: list[Definition]) -> list[tuple[str, int, int]]:
-    heads = {(d.start, d.qualified.rsplit(".", 1)[-1]) for d in definitions}
-    return [
-        (m.group(1), n, m.start())
-        for n, row in enumerate(_blanked(text), 1)
-        for m in _CALL.finditer(row)
-        if m.group(1) not in _NO_CALL and (n, m.group(1)) not in heads
-    ]
+def innermost(definitions: list[Definition], lines: list[int]) -> list[int]:
+    """For each line, the smallest definition around it (of equals the first), -1 outside all."""
+    edges = sorted({1, *(d.start for d in definitions), *(d.end + 1 for d in definitions)})
+    owner = [-1] * len(edges)
+    # Larger ones first, so that smaller ones paint over them; of equals the first paints last.
+    for i in sorted(range(len(definitions)), key=lambda i: (definitions[i].start - definitions[i].end, -i)):
+        d = definitions[i]
+        for k in range(bisect_right(edges, d.start) - 1, bisect_right(edges, d.end)):
+            owner[k] = i
+    return [owner[bisect_right(edges, n) - 1] for n in lines]
 
 
 def parse(lang: str, text: str) -> tuple[list[Definition], list[tuple[str, int, int]]] | None:
-    """Definitions and calls of one file, or None where it cannot be parsed."""
+    """Definitions and calls ``(name, line, definition or -1)`` of one file, or None where it cannot be parsed."""
     if lang == "python":
         try:
             tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError):
             return None
-        return python_definitions(tree), python_calls(tree)
+        found, calls = python_definitions(tree), python_calls(tree)
+        return found, [(name, line, by) for (name, line, _), by in zip(calls, innermost(found, [c[1] for c in calls]))]
     if lang in BRACED:
-        found = braced_definitions(text)
-        return found, braced_calls(text, found)
+        parsed = braces.parse(lang, text)
+        return parsed.definitions, parsed.calls
     return None
 
 
-def file_chunks(lang: str, text: str) -> list[tuple[int, int, str, str]]:
+def file_chunks(definitions: list[Definition], text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, symbol, text)``: callables whole, headers of containers, and what lies loose between them."""
-    parsed = parse(lang, text)
-    if not parsed or not parsed[0]:
+    if not definitions:
         return []
     rows = text.splitlines()
     out: list[tuple[int, int, str, str]] = []
@@ -152,7 +106,7 @@ def file_chunks(lang: str, text: str) -> list[tuple[int, int, str, str]]:
                 name = symbol + (" (part)" if len(whole) > MAX_LINES else "")
                 out.append((start + at, start + at + len(part) - 1, name, "\n".join(part)))
 
-    for d in parsed[0]:
+    for d in definitions:
         if d.nested:
             continue
         if "." not in d.qualified:
@@ -175,61 +129,71 @@ def file_chunks(lang: str, text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: x[:2])
 
 
-def _rows(files: DataFrame, make, schema: str) -> DataFrame:
-    """A row function over ``(path, lang, content)`` as an Arrow map; ``make`` yields what follows path and lang."""
+def extract(lang: str, text: str) -> tuple[list, list, list]:
+    """Chunks, definitions and calls of one file; calls name their definition by its place among those given."""
+    found, calls = parse(lang, text) or ([], [])
+    place, symbols = {-1: -1}, []
+    for i, d in enumerate(found):
+        if d.graph:
+            place[i] = len(symbols)
+            symbols.append(d)
+    return (
+        [dict(zip(("start_line", "end_line", "symbol", "text"), c)) for c in file_chunks(found, text)],
+        [{"qualified": d.qualified, "kind": d.kind, "start_line": d.start, "end_line": d.end} for d in symbols],
+        [{"callee": name, "line": line, "caller": place[by]} for name, line, by in calls],
+    )
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """``(path, lang, chunks, definitions, calls)``: one row, and one parse, a file of ``files(path, lang, content)``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        kinds = {"string": pa.string(), "int": pa.int32()}
-        types = [kinds[c.split()[1]] for c in schema.split(", ")]
         for b in it:
-            rows = [
-                (p, lang, *row)
-                for p, lang, t in zip(*(b.column(k).to_pylist() for k in range(3)))
-                for row in make(lang, t or "")
-            ]
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            made = [extract(lang, text or "") for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(_ROW.values())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["path", "lang", *_ROW])
 
+    schema = f"path string, lang string, chunks {CHUNK}, definitions {DEFINITION}, calls {CALL}"
     return files.select("path", "lang", "content").mapInArrow(run, schema)
 
 
+def chunks_of(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks of extracted ``rows``; of ``files`` without any, by lines and openings."""
+    by_syntax = rows.select("path", "lang", F.explode("chunks").alias("c")).select("path", "lang", "c.*")
+    plain = rows.where(F.size("chunks") == 0).select("path")
+    return by_syntax.unionByName(heuristic_chunks(files.join(plain, "path", "left_semi")))
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """Chunks of ``files(path, lang, content)``: by syntax where a file has definitions, by lines otherwise."""
-    by_syntax = _rows(files, file_chunks, CHUNK_SCHEMA)
-    parsed = by_syntax.select("path").distinct()
-    return by_syntax.unionByName(heuristic_chunks(files.join(parsed, "path", "left_anti")))
+    return chunks_of(extracted(files), files)
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    def make(lang: str, text: str):
-        for k, d in enumerate((parse(lang, text) or ((), ()))[0]):
-            yield d.qualified, d.kind, d.start, d.end, k
+def definitions(rows: DataFrame) -> DataFrame:
+    """``(path, lang, ordinal, qualified, kind, start_line, end_line)`` of extracted ``rows``."""
+    return rows.select("path", "lang", F.posexplode("definitions").alias("ordinal", "d")).select("path", "lang", "ordinal", "d.*")
 
-    return _rows(files, make, DEF_SCHEMA)
 
-
-def call_sites(files: DataFrame) -> DataFrame:
+def call_sites(rows: DataFrame) -> DataFrame:
     """Calls with the ordinal of the innermost definition around them in their file, -1 outside all."""
+    return rows.select("path", "lang", F.posexplode("calls").alias("ordinal", "c")).select("path", "lang", "ordinal", "c.*")
 
-    def make(lang: str, text: str):
-        found, calls = parse(lang, text) or ((), ())
-        for k, (name, line, _) in enumerate(calls):
-            around = [(d.end - d.start, -i) for i, d in enumerate(found) if d.start <= line <= d.end]
-            yield name, line, k, -min(around)[1] if around else -1
 
-    return _rows(files, make, CALL_SCHEMA)
+def symbols_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and calls of ``files(path, lang, content)``, each parsed once."""
+    return graph_of(stored(extracted(files), "extracted"))
 
 
-def symbols_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols with dense ids in a fixed order of files and places, and the calls of ``operators.graph``.
+def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols with dense ids in a fixed order of files and places, and the calls of ``operators.graph``, from
+    extracted ``rows``.
 
     An id is the number of definitions in earlier files plus the place in its own. Files are ordered by the MD5 of
     their path: running totals over 4,096 cells of it, then within each cell, so no task orders all files.
     """
     from pyspark.sql import Window as W
 
-    defs = definitions(files)
+    defs = definitions(rows)
     per_file = defs.groupBy("path").agg(F.count("*").alias("n")).withColumn("cell", F.substring(F.md5("path"), 1, 3))
     cells = per_file.groupBy("cell").agg(F.sum("n").alias("in_cell"))
     starts = cells.select("cell", (F.sum("in_cell").over(W.orderBy("cell")) - F.col("in_cell")).alias("start"))
@@ -247,7 +211,7 @@ def symbols_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "end_line",
         "lang",
     )
-    calls = call_sites(files).join(before, "path", "left").select(
+    calls = call_sites(rows).join(before, "path", "left").select(
         F.xxhash64("path", "ordinal").alias("call_id"),
         F.when(F.col("caller") >= 0, F.col("base") + F.col("caller")).otherwise(-1).cast("long").alias("caller_id"),
         "callee",
