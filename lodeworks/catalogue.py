@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import text as T, vectors as V
 from .operators import budget, chunking, diff, evaluate, fusion, graph, lexical, snapshot, spans, traverse, vectors
-from .scratch import stored
+from .scratch import spread, stored
 
 QUERY = "Therein that andThe station of 1984 antiHTTPIn reon"
 K = 10
@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: ``(chunk_id, path, symbol, lang, text)``."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
     return d.select(F.col("doc_id").alias("chunk_id"), path.alias("path"), F.col("lang").alias("symbol"), "lang", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -15,10 +15,14 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where it is unset, a local folder serves a
+    session that runs in one process; on a cluster no folder of one machine can, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
     # The setting cannot be changed in a running session, so the folder made for it is remembered here.
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -42,6 +46,15 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, comp
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer parts than there are; a table of enough parts stays as it lies.
+
+    For work that costs far more than a row's way through a shuffle, on small tables of one row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
