@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, fresh, stored
 
 BITS, HALF, SEED = 64, 32, 42
 
@@ -33,16 +33,19 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs(doc_id, text)``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, *carried: str) -> DataFrame:
+    """``(doc_id, fp, *carried)`` for every row of ``docs(doc_id, text, …)``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(values.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *carried]
+            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, fp long" + "".join(f", `{c}` {kinds[c]}" for c in carried)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carried).mapInArrow(run, schema)
 
 
 def _half(fp: Column, segment: int) -> Column:
@@ -129,6 +132,18 @@ def _dense_links(table: DataFrame, probes: DataFrame) -> DataFrame:
     return _verified(t, probes.select("key", "fp", F.explode(near).alias("key2")), "key", "key2")
 
 
+def _components(marked: DataFrame, distance: int, dense: int) -> DataFrame:
+    """``marked(doc_id, fp, …)`` with component_id."""
+    vertices = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-vertices")
+    member = connected_components(links(vertices.select("fp"), distance, dense), "simhash")
+    member = stored(member, "simhash-members")
+    rooted = vertices.join(member, vertices.fp == member.node, "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("root")
+    )
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(rooted.join(lows, "root").select("fp", "component_id"), "fp").select(*marked.columns, "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, dense: int = 64) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -138,22 +153,20 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, dense: i
 
     Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id is
     fingerprinted and linked but is no candidate for component_id, which is null where a component has no other;
-    repeated rows come out once each; an empty table gives no rows; extra columns are ignored.
+    repeated rows come out once each; ties of fingerprints are one component; a text of any length is read whole,
+    in parts of bounded memory; an empty table gives no rows; extra columns are ignored.
     """
-    marked = stored(fingerprints(docs, width), "simhash-fp")
-    vertices = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-vertices")
-    member = connected_components(links(vertices.select("fp"), distance, dense), "simhash")
-    member = stored(member, "simhash-members")
-    rooted = vertices.join(member, vertices.fp == member.node, "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("root")
-    )
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    found = near_duplicates(docs, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _components(stored(fingerprints(docs, width), "simhash-fp"), distance, dense)
+
+
+def keep_one(docs: DataFrame, distance: int = 3, width: int = 3, dense: int = 64) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their component, columns as they are; rows without a doc_id
+    stay. A row is judged by its own text: of two texts under one doc_id each goes only where it is itself near a
+    document with a smaller id. Rows that share the smallest doc_id all stay. Else as ``near_duplicates``."""
+    # A text's hash, made by the scan itself, tells the rows of a doc_id apart without keeping texts.
+    own = fresh("_own", docs.columns)
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = stored(fingerprints(hashed.select("doc_id", "text", own), width, own), "simhash-fp")
+    found = _components(marked, distance, dense)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id", own).distinct()
+    return hashed.join(gone, ["doc_id", own], "left_anti").select(docs.columns)

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from lodeworks.llm import quality
 
@@ -59,3 +61,59 @@ def test_logistic_regression_finds_the_optimum():
     w, b = quality.fit_logistic(x, y, np.ones(400), 1e-3, 2000)
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (p - y) / 400 + 1e-3 * w).max() < 1e-4 and abs((p - y).mean()) < 1e-4
+
+
+def plain_best(docs, seen, model, taken, most):
+    """The surest of all unlabelled rows, one by one."""
+    import pyarrow as pa
+
+    rows = {}
+    for i, text, lang, source, n, _ in docs:
+        if i not in seen:
+            one = quality.encoded(pa.RecordBatch.from_pylist([{"text": text.encode(), "lang": lang, "source": source, "n_chars": n}]), 0, model)
+            rows[one["sig"][0].as_py()] = one
+    chosen = {}
+    for v in (0, 1):
+        for label in (1.0, 0.0):
+            ranked = []
+            for sig, one in rows.items():
+                p = round(float(model.sure(quality.Rows.of(one), v)[0]), 9)
+                sure = p if label else round(1 - p, 9)
+                if sig not in taken and sure >= quality.CONFIDENT:
+                    ranked.append((-sure, sig))
+            for sure, sig in sorted(ranked)[:most]:
+                if sig not in chosen or (sure, v) < chosen[sig][:2]:
+                    chosen[sig] = (sure, v, label)
+    made = [{**rows[s].to_pylist()[0], "view": v, "label": label, "sure": -sure} for s, (sure, v, label) in chosen.items()]
+    return pa.Table.from_pylist(made, pa.schema([*quality._FEATURES.items(), ("view", pa.int32()), ("label", pa.float64()), ("sure", pa.float64())]))
+
+
+def test_rounds_against_brute_force(spark, monkeypatch):
+    rows, labels = corpus(700, 5)
+    rows += [(9000 + i, rows[600][1], "en", rows[600][3], rows[600][4], "copy") for i in range(40)]  # copies count once
+    docs, seen = spark.createDataFrame(rows, DOCS).repartition(6), spark.createDataFrame(labels[:350], LABELS)
+    real, args = quality.Model.train, []
+    monkeypatch.setattr(quality.Model, "train", lambda self, r, y, best, rounds=3: args.append((r, y)) or real(self, r, y, best, rounds))
+    model, features = quality.co_trained(quality._with_columns(docs), seen, taught=25)
+    x, y = args[0]
+    plain = real(quality.Model(model.columns, model.names), x, y, lambda m, taken: plain_best(rows, set(range(350)), m, taken, 25))
+    assert sorted(plain.exchanged) == sorted(model.exchanged) and {v for _, v, *_ in model.exchanged} == {0, 1}
+    assert len({s for _, _, s, *_ in model.exchanged}) == len(model.exchanged)
+    for v in (0, 1):
+        assert np.allclose(plain.views[v].w, model.views[v].w)
+    assert model.report["held out, after"] >= 0.9 and min(model.both) > 0
+    # Scores of all rows by dense features.
+    table = features.toArrow()
+    scores = model.score(quality.Rows.of(table))
+    for v in (0, 1):
+        view, (a, b) = model.views[v], model.scaled[v]
+        dense = quality.Rows.of(table).dense(v, len((model.columns, model.names)[v]))
+        assert np.allclose(scores[v], quality.sigmoid(a * ((dense - view.mean) / view.scale @ view.w + view.b) + b))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
+def test_both_views_give_and_take_on_the_drivers_tables(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    model, _ = quality.co_trained(quality._with_columns(read("documents")), read("labels"))
+    assert {(v, kept) for _, v, _, _, kept in model.exchanged} >= {(0, True), (1, True)}
+    assert min(model.both) > 0 and model.report["held out, after"] >= 0.99
