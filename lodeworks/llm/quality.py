@@ -244,6 +244,13 @@ _FEATURES = {
 _FEATURE_SCHEMA = "sig long, shape array<double>, layout array<double>, words array<int>, meta array<int>"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds the words of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def encoded(batch: pa.RecordBatch, at: int, model: Model) -> pa.RecordBatch:
     """Features by the model's places of rows whose text, lang, source and n_chars are the columns from ``at`` on."""
     import xxhash
@@ -276,7 +283,7 @@ def labelled_rows(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        for b in batches:
+        for b in slices(batches):
             made = []
             for t, lang, source, n in zip(*(b.column(k).to_pylist() for k in range(4))):
                 shape, hashed = content_features(t or b"")
@@ -368,7 +375,7 @@ def co_trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = encoded(b, 1, held.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], names=["doc_id", *_FEATURES])
 
@@ -444,7 +451,7 @@ def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     inputs = [F.col("text").cast("binary"), *[F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t) for c, t in seen.items()]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept = b.filter(pa.array(held.value.score(Rows.of(encoded(b, n, held.value)))[2] >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:n], schema=pa.schema(list(b.schema)[:n]))
 
