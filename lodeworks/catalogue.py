@@ -527,15 +527,15 @@ def impact(spark, sf_dir):
     return found.select("root_id", "node_key", "symbol_id", "qualified", "path", "call_line", "depth", "uncertain", "is_test")
 
 
-@query(SQL_GRAPH + sql_impact(SQL_ROOT, 2) + "SELECT node_key, depth, array_to_string(chain, ' > ') AS chain FROM nodes")
+@query(SQL_GRAPH + sql_impact(SQL_ROOT, 3) + "SELECT node_key, depth, array_to_string(chain, ' > ') AS chain FROM nodes")
 def impact_chain(spark, sf_dir):
-    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 2)
+    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 3)
     return found.select("node_key", "depth", F.array_join("chain", " > ").alias("chain"))
 
 
-@query(SQL_GRAPH + sql_impact(SQL_ROOT, 3) + "SELECT node_key, qualified, depth, array_to_string(chain, ' > ') AS chain FROM nodes WHERE is_test")
+@query(SQL_GRAPH + sql_impact(SQL_ROOT, 4) + "SELECT node_key, qualified, depth, array_to_string(chain, ' > ') AS chain FROM nodes WHERE is_test")
 def tests_for(spark, sf_dir):
-    found = traverse.tests_for(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 3)
+    found = traverse.tests_for(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 4)
     return found.select("node_key", "qualified", "depth", F.array_join("chain", " > ").alias("chain"))
 
 
@@ -820,3 +820,105 @@ def ast_calls(spark, sf_dir):
     symbols, calls = syntax.symbols_and_calls(source_rows(spark, sf_dir))
     by = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("caller"))
     return calls.join(by, "caller_id").select("path", "caller", "callee", "line")
+
+
+#: Six lines a part in each language: a container's line, a callable's four, an end. Go's methods stand by themselves.
+#: Braces in comments, strings, characters, templates and raw strings are traps.
+SNIPPETS = {
+    "javascript": ("js", "class Box_{n} {{ // {{\n  part_{n}(x) {{\n    const s = `}} ${{x}} {{`;\n    return size_{m}(x);\n  }}\n}}\n"),
+    "typescript": ("ts", "export class Box_{n} {{\n  part_{n}(x: string): Array<{{a: number}}> {{\n    const s = '}}' + /[{{]/.source;\n    return size_{m}(x);\n  }}\n}}\n"),
+    "rust": ("rs", "impl<'a> Box_{n}<'a> {{ /* {{ /* */ */\n    fn part_{n}(&self, x: &'a str) -> u8 {{\n        let s = ('{{', r#\"}} \" {{\"#);\n        size_{m}(x)\n    }}\n}}\n"),
+    "java": ("java", "class Box_{n} {{\n  int part_{n}(int x) throws E {{\n    String s = \"{{\" + '{{';\n    return size_{m}(x);\n  }}\n}}\n"),
+    "csharp": ("cs", "class Box_{n} {{\n  public int part_{n}(int x) {{\n    var s = @\"{{\"\"\";\n    return size_{m}(x);\n  }}\n}}\n"),
+    "cpp": ("cpp", "struct Box_{n} {{\n  int part_{n}(int x) const {{\n    auto s = R\"({{)\";\n    return size_{m}(x);\n  }}\n}};\n"),
+    "go": ("go", "// {{\nfunc (b *Box) part_{n}(x interface{{}}) int {{\n\ts := `{{`\n\treturn size_{m}(x)\n}}\n\n"),
+}
+
+
+def brace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of at most 100 snippets, each file in one of the brace languages."""
+    p = read(spark, sf_dir, "part").withColumn("file", F.expr("p_partkey div 100"))
+    path, lang, body = F.lit(None), F.lit(None), F.lit(None)
+    for i, (name, (ending, text)) in enumerate(SNIPPETS.items()):
+        pieces = text.replace("{n}", "\0n\0").replace("{m}", "\0m\0").format().split("\0")
+        filled = F.concat(*[F.col("p_partkey").cast("string") if x == "n" else F.col("p_size").cast("string") if x == "m" else F.lit(x) for x in pieces])
+        here = F.col("file") % len(SNIPPETS) == i
+        path = F.when(here, F.concat(F.lit("b"), F.col("file").cast("string"), F.lit("." + ending))).otherwise(path)
+        lang, body = F.when(here, name).otherwise(lang), F.when(here, filled).otherwise(body)
+    rows = p.groupBy(path.alias("path"), lang.alias("lang")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("r"))
+    return rows.select("path", "lang", F.array_join(F.transform("r", lambda x: x["b"]), "").alias("content"))
+
+
+SQL_BOXES = f"""WITH boxes AS (
+  SELECT 'b' || (p_partkey // 100) || '.' || {[e for e, _ in SNIPPETS.values()]!r}[(p_partkey // 100) % {len(SNIPPETS)} + 1] AS path,
+    p_partkey AS n, p_size AS m, 6 * (row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1) AS before
+  FROM part
+), parts AS (
+  SELECT *, CASE WHEN path LIKE '%.go' THEN '' ELSE 'Box_' || n || '.' END || 'part_' || n AS name FROM boxes
+) """
+
+
+@query(
+    SQL_BOXES
+    + """SELECT path, name AS qualified, 'callable' AS kind, CAST(before + 2 AS INT) AS start_line, CAST(before + 5 AS INT) AS end_line FROM parts
+    UNION ALL SELECT path, 'Box_' || n, 'container', CAST(before + 1 AS INT), CAST(before + 6 AS INT) FROM parts WHERE path NOT LIKE '%.go'"""
+)
+def brace_symbols(spark, sf_dir):
+    from .sources import syntax
+
+    symbols, _ = syntax.symbols_and_calls(brace_rows(spark, sf_dir))
+    return symbols.select("path", "qualified", "kind", "start_line", "end_line")
+
+
+@query(SQL_BOXES + "SELECT path, name AS caller, 'size_' || m AS callee, CAST(before + 4 AS INT) AS line FROM parts")
+def brace_calls(spark, sf_dir):
+    from .sources import syntax
+
+    symbols, calls = syntax.symbols_and_calls(brace_rows(spark, sf_dir))
+    by = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("caller"))
+    return calls.join(by, "caller_id").select("path", "caller", "callee", "line")
+
+
+@query(
+    SQL_BOXES
+    + """SELECT path, CAST(before + 2 AS INT) AS start_line, CAST(before + 5 AS INT) AS end_line, name AS symbol FROM parts
+    UNION ALL SELECT path, CAST(before + 1 AS INT), CAST(before + 1 AS INT), 'Box_' || n || ' (decl)' FROM parts WHERE path NOT LIKE '%.go'
+    UNION ALL SELECT path, CAST(before + 1 AS INT), CAST(before + 1 AS INT), '<module>' FROM parts WHERE path LIKE '%.go'"""
+)
+def brace_chunks(spark, sf_dir):
+    from .sources import syntax
+
+    return syntax.chunks(brace_rows(spark, sf_dir)).select("path", "start_line", "end_line", "symbol")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 'h' || (p_partkey // 50) || '.php' AS path, p_size * 4 + 2 AS n FROM part),
+    b AS (SELECT path, 'function part_' || p_partkey AS symbol, n, 2 + sum(n) OVER (PARTITION BY path ORDER BY p_partkey) - n AS start FROM p)
+    SELECT path, CAST(start AS INT) AS start_line, CAST(start + n - 1 AS INT) AS end_line, symbol FROM b WHERE n <= 120
+    UNION ALL SELECT path, CAST(start + i AS INT), CAST(start + least(i + 80, n) - 1 AS INT), symbol || ' (part)' FROM (SELECT *, unnest(range(0, n, 65)) AS i FROM b WHERE n > 120)
+    UNION ALL SELECT DISTINCT path, 1, 1, '<module-preamble>' FROM b"""
+)
+def heuristic_chunks(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    body = F.concat(F.lit("function part_"), F.col("p_partkey").cast("string"), F.lit("(x) {\n"), F.expr("repeat('  step;\\n', int(p_size) * 4)"), F.lit("}\n"))
+    path = F.concat(F.lit("h"), F.expr("p_partkey div 50").cast("string"), F.lit(".php"))
+    rows = p.groupBy(path.alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("r"))
+    files = rows.select("path", F.lit("php").alias("lang"), F.concat(F.lit("<?php\n"), F.array_join(F.transform("r", lambda x: x["b"]), "")).alias("content"))
+    return chunking.heuristic_chunks(files).select("path", "start_line", "end_line", "symbol")
+
+
+@query(
+    _with(SQL_LINES)
+    + """SELECT chunk_id, CAST(i + 1 AS INT) AS start_line, CAST(least(i + 80, len(l)) AS INT) AS end_line, md5(array_to_string(l[i + 1:i + 80], chr(10))) AS digest
+    FROM (SELECT chunk_id, l, unnest(range(0, len(l), 65)) AS i FROM lined)"""
+)
+def file_windows(spark, sf_dir):
+    rows = chunk_rows(spark, sf_dir).select("chunk_id", T.lines(F.col("text")).alias("lines"))
+    return chunking.windows(rows).select("chunk_id", "start_line", "end_line", F.md5("text").alias("digest"))
+
+
+@query(_with(SQL_CHUNKS) + "SELECT chunk_id, path FROM chunks WHERE path LIKE 'src1/%' OR path LIKE 'src2/%5'")
+def ignored_paths(spark, sf_dir):
+    from .sources.files import ignored
+
+    return chunk_rows(spark, sf_dir).select("chunk_id", "path").where(ignored(F.col("path"), ["src1/", "src2/*5"]))

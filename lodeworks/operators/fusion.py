@@ -77,3 +77,17 @@ def rerank_with(candidates: DataFrame, text: str, query: str, model: Callable[[s
     scored = first.select(*names, "_seen").mapInArrow(run, schema)
     order = W.orderBy(F.desc("score"), "fused_rank", key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rerank_batch(candidates: DataFrame, text: str, model: Callable[[str, list[str]], Sequence[float]], pool: int, k: int, key: str) -> DataFrame:
+    """The same for many queries: ``candidates(item_id, query, key, fused_rank, …)``, each item's pool at once in one task."""
+    kinds = dict(candidates.dtypes)
+    first = candidates.where(F.col("fused_rank") <= pool).select("item_id", "query", key, "fused_rank", F.substring(text, 1, RERANK_CHARS).alias("_seen"))
+
+    def run(table: pa.Table) -> pa.Table:
+        score = [float(x) for x in model(table["query"][0].as_py(), table["_seen"].to_pylist())]
+        return table.drop_columns(["query", "_seen"]).append_column("score", pa.array(score, pa.float64()))
+
+    scored = first.groupBy("item_id").applyInArrow(run, f"item_id {kinds['item_id']}, {key} {kinds[key]}, fused_rank {kinds['fused_rank']}, score double")
+    order = W.partitionBy("item_id").orderBy(F.desc("score"), "fused_rank", key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

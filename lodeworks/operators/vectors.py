@@ -15,18 +15,19 @@ BLOCK = 1024
 
 
 def topk(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:
-    """``(key, score)`` of the k vectors nearest to one query; only k rows leave a task."""
+    """``(key, score)`` of the k vectors nearest to one query; only k rows leave a task. Null vectors are passed over."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(key, dot(F.col(column), q).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    return vectors.where(F.col(column).isNotNull()).select(key, dot(F.col(column), q).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
 def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, key, score, rank)`` of the k vectors nearest to each of ``queries(query_id, vector)``.
 
     The queries go to the tasks in blocks of ``BLOCK``; a task keeps its k best of each by a matrix product per
-    Arrow batch, so what is shuffled is k rows a query and task, not a row a pair.
+    Arrow batch, so what is shuffled is k rows a query and task, not a row a pair. Null vectors are passed over.
     """
     spark, out = vectors.sparkSession, None
+    vectors, queries = vectors.where(F.col(column).isNotNull()), queries.where("vector is not null")
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))

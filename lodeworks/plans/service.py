@@ -112,9 +112,9 @@ class Service:
         wrong = self.refresh()
         return wrong or self._hits_text(self.search(question, clamp(k), expand=True), f"Context for {question!r}:\n{INSTRUCTIONS}")
 
-    def answer(self, question: str, k: int = 8, expand: bool = True, model: Callable[[str, str], str] | None = None) -> str:
+    def answer(self, question: str, k: int = 8, expand: bool = True, model: Callable[[str, str], str] | None = None, mode: str = "hybrid") -> str:
         """A model's answer from (instructions, prompt), or the retrieved context where there is no model."""
-        hits = self.search(question, k, expand=expand)
+        hits = self.search(question, k, mode, expand)
         if hits.isEmpty():
             return "No relevant code found."
         context = budget.context(hits).first()[0]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +35,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Spark deletes the shuffle files of what runs within when it ends: nothing reads them after a table is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     writer = df.write if compression is None else df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_dropped(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,11 +85,3 @@ def release_scratch(spark: SparkSession) -> None:
     """Delete every scratch table made so far; call it when the results that read them were consumed."""
     for path in list(_made):
         drop_path(spark, path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced; its cleaner works on its own thread."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)

@@ -211,6 +211,13 @@ class _Parser:
                 k += 1
             elif t == "[" and self.lang == "csharp":
                 k += 2
+            elif t == "template" and self.lang == "cpp":
+                k, angle = k + 1, 0
+                while k < len(h):
+                    angle += (self.word(h[k]) == "<") - (self.word(h[k]) == ">")
+                    k += 1
+                    if angle <= 0:
+                        break
             else:
                 break
         return h[k:]
@@ -453,7 +460,7 @@ class _Parser:
             if angle:
                 return
             k = j - (t[j].text == "::") if j >= 0 else -1
-        if k < 0 or t[k].kind != "word" or t[k].text in self.no_call:
+        if k < 0 or t[k].kind != "word" or t[k].text in self.no_call and not (k and t[k - 1].text in (".", "::", "?.")):
             return
         scope = self.scopes[-1]
         if scope.role == "types" or scope.role == "container" and not any(self.word(h) in ("=", "=>", "@") for h in self.heading):

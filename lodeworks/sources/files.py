@@ -164,11 +164,41 @@ def source_files(spark: SparkSession, root: str, with_content: bool = True) -> D
     before a byte is read. Content is UTF-8 with invalid bytes dropped; the hash is the SHA-256 of the bytes.
     """
     base = _qualified(spark, root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "content")
     apart = _set_apart(spark, base)
-    raw = raw.select("path", "length", "content")
-    if apart is not None:
-        raw = raw.unionByName(apart)
+    return _sources(spark, base, raw if apart is None else raw.unionByName(apart), with_content)
+
+
+def named_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The same for given relative paths; no other file is listed or read."""
+    base = _qualified(spark, root)
+    known = [n for n in names if n.rpartition(".")[2].lower() in LANGUAGES]
+    plain = [n for n in known if not any(part[0] in "_." for part in n.split("/") if part)]
+    raw = spark.createDataFrame([], "path string, length long, content binary")
+    if plain:
+        raw = spark.read.format("binaryFile").load([f"{base}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in plain]).select("path", "length", "content")
+    rest = sorted(set(known) - set(plain))
+    rows = [(f"{base}/{n}", len(content), bytearray(content)) for n in rest if (content := _read_bytes(spark, f"{base}/{n}")) is not None]
+    if rows:
+        raw = raw.unionByName(spark.createDataFrame(rows, raw.schema))
+    return _sources(spark, base, raw, True)
+
+
+def _read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A source file of at most ``MAX_BYTES``, read by the driver."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or fs.getFileStatus(p).getLen() > MAX_BYTES:
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def _sources(spark: SparkSession, base: str, raw: DataFrame, with_content: bool) -> DataFrame:
     path = F.regexp_replace(F.expr(f"substring(path, {len(base) + 2})"), "^/+", "")
     found = raw.where(F.col("length") <= MAX_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content")
     dirs = F.split("path", "/")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import lines
 from ..operators.diff import hunks
-from .files import INDEX_DIR, language, source_files
+from .files import INDEX_DIR, named_files
 
 
 class GitError(RuntimeError):
@@ -47,9 +47,8 @@ def changes(spark: SparkSession, repo: str, rev: str | None = None, staged: bool
     out = hunks(text).select("path", "start", "end", "deletion_only")
     if rev is None and not staged:
         names = [p.strip() for p in git(repo, "ls-files", "--others", "--exclude-standard").splitlines() if p.strip()]
-        new = spark.createDataFrame([(p,) for p in names], "path string").where(language(F.col("path")).isNotNull())
         n = F.size(lines(F.col("content")))
-        files = source_files(spark, repo).select("path", n.alias("n")).where("n > 0").join(new, "path", "left_semi")
+        files = named_files(spark, repo, names).select("path", n.alias("n")).where("n > 0")
         out = out.unionByName(
             files.select("path", F.lit(1).alias("start"), F.col("n").alias("end"), F.lit(0).alias("deletion_only"))
         )
