@@ -7,16 +7,16 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..scratch import discard, drop_path, free_shuffles, new_path, release_scratch, scratch_dir, stored
+from ..scratch import discard, drop_path, new_path, release_scratch, scratch_dir, shuffles_dropped, spread, stored
 
-__all__ = ["SPACE", "connected_components", "discard", "drop_run", "fresh", "free_shuffles", "new_path", "ordered_buckets", "read", "release_scratch", "scratch_dir", "sorted_run", "stored"]
+__all__ = ["SPACE", "connected_components", "discard", "drop_run", "fresh", "new_path", "ordered_buckets", "read", "release_scratch", "scratch_dir", "sorted_run", "stored"]
 
 #: Characters that separate words in every operator here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -43,7 +43,7 @@ def sorted_run(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as a table bucketed and sorted by ``key``, one file a bucket where ``df`` is dealt
     out by it into ``buckets``, and read it again in its order. ``drop_run`` deletes it."""
     spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
-    with ordered_buckets(spark):
+    with ordered_buckets(spark), shuffles_dropped(spark):
         df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     out = spark.table(table).sortWithinPartitions(key)
     out.run_table, out.run_path = table, path

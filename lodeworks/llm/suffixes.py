@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, free_shuffles, stored
+from .common import discard, stored
 
 LENGTH = 50
 #: Bytes of the grams whose smallest hash in a window is the window's anchor.
@@ -19,6 +19,9 @@ GRAM = 24
 #: windows are compared one by one instead.
 STRIDE, COLLECTION, CROWDED = 32, 512, 4_096
 
+#: Strings from which a window of crowded anchors counts as hot, and hot windows (50 bytes each) that go to all tasks
+#: at most; beyond, adaptive execution splits them.
+HOT_WINDOW, HOT_WINDOWS = 1_024, 100_000
 #: Pairs of anchor and text that a task sorts at once.
 PAIRS = 1 << 20
 #: Bytes of text whose strings are made at once, besides the last text, and whose anchors are.
@@ -84,19 +87,25 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)), np.concatenate((cut, [len(values)]))
 
 
-def column_transform(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
+def column_transform(strings: list[bytes], cap: int, symbol: str = "u1") -> tuple[np.ndarray, np.ndarray]:
     """The collection's Burrows-Wheeler transform (0: a string's begin) and capped common prefixes.
 
+    Strings are of bytes, or of byte pairs (``symbol`` ">u2"), which order the same.
+
     Round j inserts, for every string, the suffix of length j: its place follows from the rank of its first
     symbol among equal symbols of the transform so far; its common prefixes with both neighbours are one more
     than the least common prefix between that symbol's place and its previous and next occurrence. Each round
     passes over the transform and the prefixes once, in order, and writes both anew.
     """
     n = len(strings)
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    kinds, codes = np.unique(data, return_inverse=True)
-    codes = np.append(codes + 1, 0).astype(np.uint8 if len(kinds) < 255 else np.uint16)
-    size = np.array([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), symbol)
+    wide = data.dtype.itemsize
+    code = np.zeros(1 << 8 * wide, np.int32)
+    code[data] = 1
+    kinds = int(code.sum())
+    code = np.cumsum(code)  # small codes in the symbols' order
+    codes = np.append(code[data], 0).astype(np.uint8 if kinds < 255 else np.uint16)
+    size = np.array([len(s) for s in strings]) // wide
     end = np.cumsum(size)
     bwt = np.where(size > 0, codes[np.maximum(end - 1, 0)], 0).astype(codes.dtype)
     lcp, place = np.zeros(n + 1, np.uint8), np.arange(n)
@@ -137,9 +146,26 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def window_lows(strings: list[bytes], lows: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each window of each string, the smallest of ``lows`` over the strings that hold the same window."""
-    bwt, lcp = column_transform(strings, length)
-    n, size = len(strings), np.array([len(s) for s in strings])
+    """For each window of each string, the smallest of ``lows`` over the strings that hold the same window.
+
+    Windows of an even length are compared by byte pairs, a string's from its first byte and from its second: half the
+    rounds, over as many suffixes as there are bytes.
+    """
+    if length % 2:
+        return _window_lows(strings, lows, length, "u1")
+    halves = [s[: len(s) - len(s) % 2] for s in strings], [s[1 : len(s) - (len(s) - 1) % 2] for s in strings]
+    found = _window_lows([*halves[0], *halves[1]], np.concatenate((lows, lows)), length // 2, ">u2")
+    out = []
+    for even, odd in zip(found, found[len(strings) :]):
+        both = np.empty(len(even) + len(odd), np.int64)
+        both[0::2], both[1::2] = even, odd
+        out.append(both)
+    return out
+
+
+def _window_lows(strings: list[bytes], lows: np.ndarray, length: int, symbol: str) -> list[np.ndarray]:
+    bwt, lcp = column_transform(strings, length, symbol)
+    n, size = len(strings), np.array([len(s) for s in strings]) // np.dtype(symbol).itemsize
     order = np.argsort(bwt, kind="stable")
     step = np.empty(len(bwt), np.int64)
     step[order] = np.arange(len(bwt)) - (len(bwt) - int(np.count_nonzero(bwt))) + n
@@ -153,11 +179,12 @@ def window_lows(strings: list[bytes], lows: np.ndarray, length: int = LENGTH) ->
             g = group[at[live]]
             np.minimum.at(least, g, lows[live])
             seen.append((live, g))
-    out = [np.empty(max(0, k - length + 1), np.int64) for k in size]
+    windows = np.maximum(0, size - length + 1)
+    ends = np.cumsum(windows)
+    flat = np.empty(int(ends[-1]) if n else 0, np.int64)
     for back, (live, g) in enumerate(seen):
-        for i, m in zip(live.tolist(), least[g].tolist()):
-            out[i][len(out[i]) - 1 - back] = m
-    return out
+        flat[ends[live] - 1 - back] = least[g]
+    return np.split(flat, ends[:-1])
 
 
 def _encode(lows: np.ndarray) -> bytes:
@@ -203,22 +230,45 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
     """``(d, hs)``: for each text (60 bits of its MD5), its anchors that a different text has, too.
 
     Pairs travel as packed blobs, one for each bucket of anchors and ``PAIRS`` pairs read. There are so many
-    buckets that a bucket's different anchors are about ``PAIRS``, whatever the size of the input.
+    buckets that a bucket's different anchors are about ``PAIRS``, whatever the size of the input. Of an anchor that
+    several texts among those pairs have, two pairs go to its bucket, and the others, known to be shared, to any: so
+    an anchor of very many texts does not fill its bucket.
     """
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // (PAIRS * (LENGTH - GRAM) // 2)))
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
+        def flush(turn: int) -> pa.RecordBatch:
             h, d = np.concatenate(hs), np.concatenate(ds)
-            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            hs.clear(), ds.clear()
+            order = np.argsort(h)
+            a, z = runs(h[order])
+            by = d[order]
+            # Of each anchor one text travels, and another one if it has any; the rest is known to be shared here.
+            other = np.where(by != np.repeat(by[a], z - a), np.arange(len(by)), -1)
+            last = np.maximum.reduceat(other, a)
+            two = last >= 0
+            inner = np.repeat(two, z - a)
+            inner[a] = inner[last[two]] = False
+            known_h, known_d = h[order[inner]], by[inner]
+            sent = np.zeros(len(h), bool)
+            sent[order[a]] = sent[order[last[two]]] = True
+            del order, by, other, inner
+            h, d = h[sent], d[sent]
+            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, d = h[order], d[order]
-            a, z = runs(bucket[order])
-            # Anchors, then texts: those repeat, which the shuffle's compression notices side by side only.
-            blobs = [h[i:k].tobytes() + d[i:k].tobytes() for i, k in zip(a.tolist(), z.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[order][a]), pa.array(blobs, pa.binary())], names=["p", "pairs"])
-
-        hs, ds, n = [], [], 0
+            h, d, bucket = h[order], d[order], bucket[order]
+            first, last = runs(bucket)
+            places = bucket[first].tolist()
+            # Anchors, then texts in their turn: those repeat, which the shuffle's compression notices side by side only.
+            blobs = [h[i:k].tobytes() + d[i:k].tobytes() for i, k in zip(first.tolist(), last.tolist())]
+            kinds, part = [False] * len(blobs), PAIRS // 64
+            for k, i in enumerate(range(0, len(known_h), part)):  # spread over all buckets
+                blobs.append(known_h[i : i + part].tobytes() + known_d[i : i + part].tobytes())
+                places.append((turn * 64 + k * 7919 + len(known_h)) % buckets)
+                kinds.append(True)
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(kinds), pa.array(blobs, pa.binary())], names=["p", "shared", "pairs"])
+
+        hs, ds, n, turn = [], [], 0, 0
         for b in it:
             texts = b.column(0).to_pylist()
             for text, a in zip(texts, anchors_of(texts)):
@@ -227,10 +277,10 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
                 ds.append(np.full(len(h), int(hashlib.md5(text).hexdigest()[:15], 16)))
                 n += len(h)
                 if n >= PAIRS:
-                    yield flush()
-                    hs, ds, n = [], [], 0
+                    yield flush(turn)
+                    hs, ds, n, turn = [], [], 0, turn + 1
         if n:
-            yield flush()
+            yield flush(turn)
 
     def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -240,7 +290,11 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
 
         at, state, held, n = None, SharedPairs(), [], 0
         for b in it:
-            for p, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            for p, known, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if known:
+                    h, d = np.frombuffer(blob.as_py(), "<i8").reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], names=["d", "h"])
+                    continue
                 if p != at or n >= 16 * PAIRS:
                     if held:
                         yield flush()
@@ -252,7 +306,7 @@ def _shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(emit, "p long, pairs binary")
+    rows = docs.select("text").mapInArrow(emit, "p long, shared boolean, pairs binary")
     pairs = rows.repartition(buckets, "p").sortWithinPartitions("p").mapInArrow(shared, "d long, h long")
     return pairs.groupBy("d").agg(F.collect_set("h").alias("hs"))
 
@@ -302,7 +356,6 @@ def _strings(docs: DataFrame) -> DataFrame:
 def _lows(strings: DataFrame) -> DataFrame:
     """``(h, sh, lows)``: for each different string, the smallest document of each of its windows, as runs."""
     each = stored(strings.groupBy("h", "sh", "string").agg(F.min("low").alias("low")), "suffix-strings", compression="zstd")
-    free_shuffles(strings.sparkSession)
     crowded = stored(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("h"), "suffix-crowded")
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +399,6 @@ def _lows(strings: DataFrame) -> DataFrame:
         out = out.unionByName(_dense_lows(dense, schema))
     out = stored(out, "suffix-lows")
     discard(each)
-    free_shuffles(strings.sparkSession)
     return out
 
 
@@ -355,8 +407,15 @@ def _dense_lows(dense: DataFrame, schema: str) -> DataFrame:
     windows = dense.select(
         "h", "sh", "low", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("string") - LENGTH + 1), lambda i: F.substring(F.col("string"), i, F.lit(LENGTH)))).alias("at", "window")
     )
-    least = windows.groupBy("window").agg(F.min("low").alias("least"))
-    back = windows.join(least, "window").groupBy("h", "sh").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("all"))
+    least = stored(windows.groupBy("window").agg(F.min("low").alias("least"), F.count("*").alias("n")), "suffix-least")
+    # Windows of very many strings, where they are few, go to all tasks instead of gathering their strings in one.
+    hot = least.where(F.col("n") > HOT_WINDOW)
+    if hot.count() <= HOT_WINDOWS:
+        cold = windows.join(F.broadcast(hot.select("window")), "window", "left_anti").join(least.where(F.col("n") <= HOT_WINDOW).drop("n"), "window")
+        placed = cold.unionByName(windows.join(F.broadcast(hot.drop("n")), "window"))
+    else:
+        placed = windows.join(least.drop("n"), "window")
+    back = placed.groupBy("h", "sh").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("all"))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -403,6 +462,14 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, n
 
 
+def _ranked(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``low``, a long in the order of ``first``, whatever its type: equal ids share one."""
+    if texts.schema["first"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return texts.withColumn("low", F.col("first").cast("long"))
+    ids = texts.select("first").distinct().repartitionByRange("first").sortWithinPartitions("first")
+    return texts.join(stored(ids.withColumn("low", F.monotonically_increasing_id()), "suffix-ranks"), "first")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs(doc_id, text)``.
 
@@ -412,6 +479,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     windows meet; only anchors that two different texts have lead to strings at all. Within a collection the
     transform and common prefixes are built column by column. Copies of a whole text are one text to all this.
 
+    A document is smaller by its doc_id's own order, numbers as numbers and strings as strings. A text of any length is
+    cut into windows in bounded parts of the collection.
+
     Memory is bounded: a collection has at most ``COLLECTION + CROWDED`` strings of at most 81 bytes; an anchor
     with more strings is resolved window by window over all tasks.
 
@@ -419,24 +489,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows with the same doc_id do not affect each other; repeated rows come out once each; an empty table gives
     no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= LENGTH))
-    texts = usable.groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").cast("long").alias("low"), F.sum(F.length("text")).alias("n"))
-    lows = stored(texts, "suffix-texts")
+    texts = usable.groupBy(F.md5("text").alias("md5")).agg(F.min("doc_id").alias("first"), F.sum(F.length("text")).alias("n"))
+    lows = stored(_ranked(texts), "suffix-texts")
     shared = stored(_shared_anchors(usable, lows.agg(F.sum("n")).first()[0] or 0), "suffix-anchors")
-    free_shuffles(spark)
-    wanted = lows.withColumn("d", _text_id(F.col("md5"))).join(shared, "d").select("d", "low", "hs")
+    wanted = lows.withColumn("d", _text_id(F.col("md5"))).join(shared, "d").select("d", "first", "low", "hs")
     # Copies of a text spread over tasks by their doc_id: only the first one meets the text's row.
-    name = {"d": _text_id(F.md5("text")), "low": F.col("doc_id").cast("long")}
-    texts = usable.withColumns(name).join(wanted, ["d", "low"])
+    name = {"d": _text_id(F.md5("text")), "first": F.col("doc_id")}
+    texts = usable.withColumns(name).join(wanted, ["d", "first"])
     strings = stored(_strings(texts), "suffix-rows", compression="zstd")
-    free_shuffles(spark)
     spans = stored(_removals(strings, _lows(strings)), "suffix-spans")
     discard(strings)
-    free_shuffles(spark)
-    about = lows.select(_text_id(F.col("md5")).alias("d"), "low", F.lit(True).alias("first")).join(spans, ["d", "low"], "left")
-    joined = docs.withColumns(name).join(about, ["d", "low"], "left").select("doc_id", "text", "first", "spans")
+    about = lows.select(_text_id(F.col("md5")).alias("d"), "first", "low").join(spans, ["d", "low"], "left").select("d", "first", F.lit(True).alias("is_first"), "spans")
+    joined = docs.withColumns(name).join(about, ["d", "first"], "left").select("doc_id", "text", "is_first", "spans")
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
