@@ -30,8 +30,9 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     turns spreads over its blocks; offsets come from sums per block and role. Each turn is rendered once for each
     participant, which is the result's size. DataFrame functions only.
 
-    Defined results: a null text is an empty turn; a null role speaks as the user "unknown" and has no
-    perspective; system has none either, so a conversation of nothing else yields no rows; null turns come first;
+    Defined results: a null text is an empty turn; a text of any length is one segment; texts are passed as they are,
+    marks like those of the headers among them; a null role speaks as the user "unknown" and has no
+    perspective; turns alike in turn, role and text come in any order, which shows nowhere; system has none either, so a conversation of nothing else yields no rows; null turns come first;
     a null conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives no
     rows; extra columns are ignored.
     """

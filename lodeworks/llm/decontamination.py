@@ -159,7 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
     The documents are scanned once for every ``block_chars`` characters of benchmark text; nothing is shuffled.
 
-    Defined results: null and blank texts, on either side, match nothing; an item shorter than 1 / rate characters
+    Defined results: null and blank texts, on either side, match nothing; texts of any length are searched whole; of
+    equally near occurrences the first counts; an item shorter than 1 / rate characters
     must occur exactly; rows that are repeated, on either side, match each on their own; a null doc_id or item_id
     is passed on; empty tables give no rows; extra columns are ignored.
     """

@@ -22,16 +22,18 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 17, cells: int = 4
     nor the whole table is ever sorted by one task. Text never leaves the scan: only its size and CRC do.
 
     Defined results: a null text has size 1 and CRC 0; a null source is a stratum of its own, apart from the
-    empty string; rows that are equal in every column get different slots in an arbitrary, stored order; an
-    empty table gives no rows; extra columns of ``docs`` are ignored. Equal texts are not kept together.
+    empty string; rows without a doc_id are ordered by their size and CRC, so that many of them spread over the cells;
+    ties of the order are in that of doc_id, CRC and size; rows that are equal in every column get different slots in
+    an arbitrary, stored order; a text of any length is one row whose size and CRC are those of all its bytes; an empty
+    table gives no rows; extra columns of ``docs`` are ignored. Equal texts are not kept together: the law is one of
+    counts, and a group of copies with a third of all rows would break it.
     """
     base = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("stratum"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
-    ).withColumn("cell", F.expr(f"cast(conv(substring(h, 1, 8), 16, 10) as bigint) * {cells} div 4294967296"))
+    ).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("none"), "size", "text_crc32"))))).withColumn("cell", F.expr(f"cast(conv(substring(h, 1, 8), 16, 10) as bigint) * {cells} div 4294967296"))
     in_cell = W.partitionBy("stratum", "cell").orderBy("h", "doc_id", "text_crc32", "size")
     by_stratum = W.partitionBy("stratum")
     counts = (
