@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import discard, stored
+
 #: Words beside a value that speak for or against a secret, and path parts of sample material.
 SECRET_WORDS = frozenset(
     "access apikey api auth bearer client credential key passwd password private pwd secret session sign token "
@@ -40,8 +42,8 @@ LONG_RUN, CASE_CHANGES = 20, 4
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-ñü")
 WORD = re.compile(r"[A-Za-zñü]+|[0-9]+")
 THRESHOLD = 0.5
-#: The dictionary: words of four letters or more in this many documents at least, the most frequent ones first, at most
-#: so many (what each task holds).
+#: The dictionary: words of four letters or more in this many documents at least, the most frequent ones, at most so
+#: many (what each task holds).
 DICTIONARY_DOCS, DICTIONARY_WORDS = 5, 20_000
 #: Places in the given documents where labelled findings are planted for training, and characters around each.
 PLACES, AROUND = 1_000, 120
@@ -271,20 +273,35 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[dict]:
 
 
 def dictionary(docs: DataFrame) -> frozenset[str]:
-    """The corpus's words by document frequency, counted over all whole texts."""
+    """The corpus's words by document frequency, counted over all whole texts.
+
+    Eighths of powers of two part the frequencies; of these steps the highest go in whole as long as all their words
+    fit, so what comes to the driver is a few hundred counts and a bounded set of words, at every size.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zñüäöß-ÿ]{4,}"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= DICTIONARY_DOCS)
-    return frozenset(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).select("w").collect())
+    counts = stored(counts.withColumn("step", F.floor(8 * F.log2("n"))), "secret-words")
+    total, lowest = 0, None
+    for step, n in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > DICTIONARY_WORDS:
+            break
+        lowest = step
+    found = frozenset() if lowest is None else frozenset(r["w"] for r in counts.where(F.col("step") >= lowest).select("w").collect())
+    discard(counts)
+    return found
 
 
 def places(docs: DataFrame, most: int = PLACES) -> list[tuple[str, str]]:
-    """``(text, path)``: surroundings of bounded size in documents chosen by a hash, for findings to be planted in."""
+    """``(text, path)``: surroundings of bounded size in documents chosen by a hash, copies once, for findings to be
+    planted in. The share of hashes looked at follows the number of rows, so few rows reach the last step."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 2 * AROUND, F.lit(1))) + 1
     part = F.expr(f"substring(text, int(at), {2 * AROUND})")
-    rows = docs.where("length(text) > 0").select("text", source.alias("source"), at.alias("at"), F.xxhash64("text").alias("h"))
-    found = rows.select("h", part.alias("part"), "source").orderBy("h", "part", "source").limit(most).collect()
-    return [(r["part"], r["source"] or "") for r in found]
+    rows = docs.where("length(text) > 0").select("text", source.alias("source"), at.alias("at"), F.hash("text").cast("long").alias("h"))
+    share = max(1, docs.count() // (8 * most))
+    rows = rows.where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.min(F.struct(part.alias("part"), "source")).alias("r"))
+    return [(r["part"], r["source"] or "") for r in rows.orderBy("h").limit(most).select("r.*").collect()]
 
 
 def planted(findings: Sequence[dict], surroundings: Sequence[tuple[str, str]], seed: int = 5) -> list[dict]:
