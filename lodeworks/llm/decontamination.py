@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -12,8 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.1
-#: Characters of benchmark text that one scan of the documents searches; larger benchmarks take several scans.
-BLOCK_CHARS = 1_000_000
+#: Characters of benchmark text that are searched at once, and bytes of documents that a task holds against one such
+#: block after the other where there are several.
+BLOCK_CHARS, HELD_BYTES = 1_000_000, 64 << 20
 GRAM = 4
 
 _searchers: "OrderedDict[str, Searcher]" = OrderedDict()
@@ -157,54 +159,66 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     occurrences; each hit's surroundings are verified by Myers' bit-parallel distance. Before that, surroundings
     that share too few 4-grams with the item for any such occurrence are passed over, which loses none.
 
-    The documents are scanned once for every ``block_chars`` characters of benchmark text; nothing is shuffled.
+    The documents are scanned once; nothing is shuffled. A benchmark of over ``block_chars`` characters goes to the tasks
+    in blocks of that size, and a task holds up to ``HELD_BYTES`` of text against one block after the other.
 
     Defined results: null and blank texts, on either side, match nothing; texts of any length are searched whole; of
     equally near occurrences the first counts; an item shorter than 1 / rate characters
     must occur exactly; rows that are repeated, on either side, match each on their own; a null doc_id or item_id
     is passed on; empty tables give no rows; extra columns are ignored.
     """
-    spark, out = docs.sparkSession, None
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start int, end int"
-    for items in _blocks(benchmark, block_chars):
-        held, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
-            search = _searcher(name, held.value, rate).search
-            for b in batches:
-                at, rows = [], []
-                for i, t in enumerate(b.column(1)):
-                    for row in search(normal(t.as_py())):
-                        at.append(i)
-                        rows.append(row)
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(at, pa.int64())),
-                        pa.array(columns[0], item_type),
-                        *(pa.array(c, pa.int32()) for c in columns[1:]),
-                    ],
-                    names=["doc_id", "item_id", "distance", "start", "end"],
-                )
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = _sent(docs, benchmark, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _found(batches, 1, blocks, rate):
+            at = [i for i, rows in enumerate(found) for _ in rows]
+            columns = list(zip(*(row for rows in found for row in rows))) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *(pa.array(c, pa.int32()) for c in columns[1:])],
+                names=["doc_id", "item_id", "distance", "start", "end"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start int, end int")
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> list[tuple]:
+    """Each block of the benchmark as a broadcast, with a name of its own."""
+    context = docs.sparkSession.sparkContext
+    return [(context.broadcast(items), uuid.uuid4().hex) for items in _blocks(benchmark, block_chars)]
+
+
+def _found(batches: Iterator[pa.RecordBatch], at: int, blocks: list[tuple], rate: float, first: bool = False) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Batches with what is found in the text (column ``at``) of each row; ``first``: the first item only."""
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+        found = [[[] for _ in range(b.num_rows)] for b in held]
+        for sent, name in blocks:
+            search = _searcher(name, sent.value, rate).search
+            for b, rows in zip(held, found):
+                for t, row in zip(b.column(at), rows):
+                    if not (first and row):
+                        row.extend(islice(search(normal(t.as_py())), 1 if first else None))
+        yield from zip(held, found)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if len(blocks) == 1 or size >= HELD_BYTES:
+            yield from searched(held)
+            held, size = [], 0
+    if held:
+        yield from searched(held)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, by the rules of ``contaminated``; columns pass unchanged."""
-    spark, columns = docs.sparkSession, docs.columns
-    at = columns.index("text")
-    for items in _blocks(benchmark, block_chars):
-        held, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
-            search = _searcher(name, held.value, rate).search
-            for b in batches:
-                yield b.filter(pa.array([next(search(normal(t.as_py())), None) is None for t in b.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, blocks = docs.columns.index("text"), _sent(docs, benchmark, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _found(batches, at, blocks, rate, first=True):
+            yield b.filter(pa.array([not rows for rows in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -148,6 +148,25 @@ FROM d LEFT JOIN gaps USING (doc_id) GROUP BY d.doc_id, n, x
 """
 
 
+#: All of op8's columns but the learned verdict, which SQL cannot learn: tests hold the query against it.
+OP8_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM d),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times
+  FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))
+), r AS (
+  SELECT doc_id, count(DISTINCT at_) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at_ FROM g WHERE times > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]') GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scans": op2_secret_scans,

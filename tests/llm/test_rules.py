@@ -1,7 +1,13 @@
+import os
 import re
 from collections import Counter
 
+import pytest
+
 from lodeworks.llm import rules
+from lodeworks.llm.queries import OP8_BASE_SQL, op8_quality_rules
+
+DATA = "/root/testdata/sf0.01"
 
 LABELS = "doc_id long, quality int, toxic int, text string"
 
@@ -42,5 +48,26 @@ def test_learned_list_separates_and_reads_well(spark):
     assert "Python" not in rules.judge(docs, labels, learned=learned)._jdf.queryExecution().toString()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_query_against_sql_and_the_list_read_plainly(spark):
+    import duckdb
+
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rows = op8_quality_rules(spark, DATA).collect()
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    found = held.execute(OP8_BASE_SQL)
+    at = [[d[0] for d in found.description].index(n) for n in names]
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(tuple(r[i] for i in at) for r in found.fetchall())
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    learned = rules.learn(docs, labels)
+    features = [f"f_{k}" for k in rules.FEATURES]
+    stats = {r.doc_id: r.asDict() for r in rules.with_features(rules.statistics(docs)).select("doc_id", *features).collect()}
+    holds = lambda r, c: r[c[0]] <= c[2] if c[1] == "<=" else r[c[0]] > c[2]
+    for r in rows:
+        rejected = any(all(holds(stats[r.doc_id], c) for c in rule) for rule in learned.rules)
+        assert r.kept == (not r.base_failed and not rejected)
+
+
 def test_empty(nothing, spark):
     assert rules.judge(nothing, spark.createDataFrame([], LABELS)).count() == 0
