@@ -89,12 +89,21 @@ def _attribute(spec: str) -> Callable:
     return getattr(importlib.import_module(module), name)
 
 
+ONNX = "onnx:"
+
+
 def named_embedder(name: str | None, prefix: str | None = None, batch: int = 64) -> Embedder:
-    """``hash`` or nothing: the built-in one. ``module:function``: what that function returns, a model over lists of
-    texts, with a prefix scheme (bge unless told)."""
+    """``hash`` or nothing: the built-in one. ``onnx:folder``: a model file there. ``module:function``: what that function
+    returns, a model over lists of texts. Models go with a prefix scheme (bge unless told)."""
     if name in (None, "hash"):
         return HashEmbedder()
-    return ModelEmbedder(name, lambda: _attribute(name)(), prefix or "bge", batch)
+    scheme = prefix or "bge"
+    if name.startswith(ONNX):
+        from .onnx import embedder
+
+        folder, pooling = name.removeprefix(ONNX), "mean" if scheme == "e5" else "first"
+        return ModelEmbedder(name, lambda: embedder(folder, pooling), scheme, batch)
+    return ModelEmbedder(name, lambda: _attribute(name)(), scheme, batch)
 
 
 def overlap(query: str, texts: list[str]) -> list[float]:
@@ -106,7 +115,12 @@ def overlap(query: str, texts: list[str]) -> list[float]:
 
 
 def named_reranker(name: str) -> Callable[[str, list[str]], Sequence[float]]:
-    """``overlap``: shared tokens. ``module:function``: what that function returns, a model over (query, texts)."""
+    """``overlap``: shared tokens. ``onnx:folder``: a cross-encoder file there. ``module:function``: what that function
+    returns, a model over (query, texts)."""
+    if name.startswith(ONNX):
+        from .onnx import reranker
+
+        return reranker(name.removeprefix(ONNX))
     return overlap if name == "overlap" else _attribute(name)()
 
 
