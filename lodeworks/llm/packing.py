@@ -21,7 +21,7 @@ CAPACITY = 2048
 #: Words from which a worker's young generation of remembered words is full.
 REMEMBERED_WORDS = 300_000
 #: Bytes of text whose words are looked up together, and words that the tokenizer is handed at once.
-TOGETHER, ENCODED_WORDS = 1 << 23, 4096
+TOGETHER, ENCODED_WORDS = 1 << 22, 4096
 #: Share of a size's pieces that the linear program may leave to the filling.
 COVER_ERROR = 0.02
 RANK_BITS = 44
@@ -122,14 +122,18 @@ class WordIds:
             made = self._learn(missing, plain)
             found = [made[w] if x is None else x for w, x in zip(words, found)]
         found.append(end)
+        flat = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
         ends = np.cumsum(pc.list_value_length(lists).to_numpy())
         at = np.insert(coded.indices.to_numpy(), ends, len(words))  # each text's words, then the end
+        del texts, lists, coded, words, found
         size, start = size[at], start[at]
         until = np.cumsum(size)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start - until + size, size) + np.arange(until[-1])]
-        return ids.tobytes(), 4 * until[ends + np.arange(len(ends))]
+        start -= until - size
+        at = np.repeat(start, size)
+        at += np.arange(len(at))
+        return flat[at].tobytes(), 4 * until[ends + np.arange(len(ends))]
 
     def ids(self, text: bytes) -> bytes:
         return next(self.each(pa.array([text], pa.binary())))
@@ -149,6 +153,7 @@ class WordIds:
                 turns[kind] = map(made.__getitem__, map(slice, [0, *until[:-1].tolist()], until.tolist()))
             for kind in odd:
                 yield next(turns[kind])
+            pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -201,7 +206,7 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) ->
 
 
 def configuration_lp(
-    counts: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.125, rate: float = 0.5, error: float = COVER_ERROR
+    counts: dict[int, int], capacity: int, rounds: int = 1200, step: float = 0.125, rate: float = 0.5, error: float = COVER_ERROR
 ) -> list[tuple[Counter, float]]:
     """A fractional cover of the pieces by few full configurations: ``[(sizes, times)]``.
 
@@ -243,7 +248,7 @@ def configuration_lp(
     return [(Counter(dict(k)), v) for k, v in uses.items()]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[Counter, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 1200) -> list[tuple[Counter, int]]:
     """Integral configurations that hold every piece once: ``[(sizes, times)]``.
 
     Full pieces stand alone. The linear program's uses are rounded down; what that and the program's stated error
@@ -293,7 +298,7 @@ def segments(configs: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("key", "first", "base", "each", "offset"), table.T))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = 400, cells: int = 1024, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = 1200, cells: int = 1024, keep_ids: bool = False) -> DataFrame:
     """Place every piece of every document: ``(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)``.
 
     The histogram of lengths (at most ``capacity`` rows) goes to the driver, which solves the configuration

@@ -70,6 +70,20 @@ def test_program_covers_every_size_and_places_most_pieces():
     assert sum(held.values()) >= 0.8 * least * cap
 
 
+def test_the_program_makes_the_result():
+    rng, cap = random.Random(12), 1024
+    counts = {s: 25 * (1 + int(rng.random() * 6000 / (s + 30))) for s in range(1, cap)}
+    placed, filling = [], packing._fill
+    packing._fill = lambda left, capacity, made: placed.extend(made)
+    try:
+        packing.plan(counts, cap)
+    finally:
+        packing._fill = filling
+    tokens = sum(s * n for s, n in counts.items())
+    assert sum(s * k * times for config, times in placed for s, k in config.items()) >= 0.95 * tokens
+    assert sum(t for _, t in packing.plan(counts, cap)) <= tokens / cap * 1.001 + 1
+
+
 @pytest.mark.parametrize("capacity", [2048, 16])
 def test_pack_holds_every_token_once(odd, odd_documents, capacity):
     whole = Tokenizer.from_file(PATH)
