@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontamination, lines, packing, quality, rules, secrets, sharding, simhash, suffixes
 from .common import read
+from .hash_sql import xxh64
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +168,34 @@ SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lam
 FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
+#: Fingerprints from XXH64 written out, links by all pairs of different fingerprints, components by closure.
+OP4_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> '') AS ws FROM d
+), shingles AS (
+  SELECT doc_id, sh, count(*) AS n_times FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+  ) GROUP BY ALL
+), {xxh64("shingles", "sh", seed=42)}, bits AS (
+  SELECT doc_id, b, 2 * sum(n_times * (h >> b & 1)) > sum(n_times) AS one
+  FROM (SELECT doc_id, n_times, h, unnest(range(64))::UBIGINT AS b FROM shingles JOIN hashed USING (sh)) GROUP BY ALL
+), prints AS (
+  SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN (SELECT doc_id, bit_or(1::UBIGINT << b) FILTER (one) AS fp FROM bits GROUP BY doc_id) USING (doc_id)
+), f AS (
+  SELECT DISTINCT fp FROM prints
+), e AS (
+  SELECT p.fp AS a, q.fp AS b FROM f p JOIN f q ON p.fp <> q.fp AND bit_count(xor(p.fp, q.fp)) <= 3
+), reached AS (
+  SELECT fp, fp AS other FROM f UNION SELECT r.fp, e.b FROM reached r JOIN e ON e.a = r.other
+), named AS (
+  SELECT r.fp, min(p.doc_id) AS component_id FROM reached r JOIN prints p ON p.fp = r.other GROUP BY r.fp
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN named USING (fp)
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scans": op2_secret_scans,
@@ -182,6 +211,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
+    "op4_simhash_near_dedup": OP4_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_suffix_array_dedup": OP9_SQL,

@@ -1,6 +1,8 @@
 import itertools
+import os
 import random
 
+import pytest
 import xxhash
 
 from lodeworks.llm import simhash
@@ -110,3 +112,31 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_xxh64_as_sql():
+    import duckdb
+
+    from lodeworks.llm.hash_sql import xxh64
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab cé漢\n") for _ in range(n)) for n in [*range(0, 40), 63, 64, 65, 96, 200]]
+    held = duckdb.connect()
+    held.execute("CREATE TABLE t (s VARCHAR)")
+    held.executemany("INSERT INTO t VALUES (?)", [[x] for x in texts])
+    for seed in (0, 42):
+        got = dict(held.execute(f"WITH {xxh64('t', 's', seed)} SELECT s, h FROM hashed").fetchall())
+        assert got == {x: xxhash.xxh64_intdigest(x.encode(), seed=seed) for x in texts}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_query_against_sql(spark):
+    import duckdb
+
+    from lodeworks.llm.queries import OP4_SQL, op4_simhash_near_dedup
+
+    held = duckdb.connect()
+    held.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    want = held.execute(f"SELECT doc_id, fingerprint, component_id FROM ({OP4_SQL})").fetchall()
+    got = op4_simhash_near_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
