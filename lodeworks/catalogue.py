@@ -922,3 +922,20 @@ def ignored_paths(spark, sf_dir):
     from .sources.files import ignored
 
     return chunk_rows(spark, sf_dir).select("chunk_id", "path").where(ignored(F.col("path"), ["src1/", "src2/*5"]))
+
+
+@query(
+    _with(SQL_MANIFESTS)
+    + f""", status AS (SELECT path, {SQL_STATUS} AS status FROM before b FULL JOIN after a USING (path))
+    SELECT chunk_id, path, 'kept' AS state FROM chunks WHERE path IN (SELECT path FROM before) AND path NOT IN (SELECT path FROM status WHERE status IN ('changed', 'deleted'))
+    UNION ALL SELECT chunk_id, path, 'fresh' FROM (SELECT chunk_id, path FROM chunks UNION ALL SELECT chunk_id, path || '.new' FROM chunks)
+    WHERE path IN (SELECT path FROM status WHERE status IN ('added', 'changed'))"""
+)
+def incremental_refresh(spark, sf_dir):
+    before, after = manifests(spark, sf_dir)
+    status = snapshot.snapshot_diff(before, after)
+    rows = chunk_rows(spark, sf_dir).select("chunk_id", "path")
+    old = rows.join(before.select("path"), "path", "left_semi").withColumn("state", F.lit("kept"))
+    grown = rows.unionByName(rows.withColumn("path", F.concat("path", F.lit(".new"))))
+    fresh = grown.join(status.where("status in ('added', 'changed')"), "path", "left_semi").withColumn("state", F.lit("fresh"))
+    return snapshot.replace_paths(old, status.where("status in ('changed', 'deleted')"), fresh).select("chunk_id", "path", "state")

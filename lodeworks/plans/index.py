@@ -78,5 +78,5 @@ def build_index(
     if graph:
         tables["symbols"], tables["calls"] = syntax.graph_of(rows)
     # Written from the published tables, so under new names before the pointer moves.
-    store.publish(tables, embedder.fingerprint(), folders={"postings": "slot"}, order={"postings": ["slot", "term"]})
+    store.publish(tables, embedder.fingerprint(), folders={"postings": "slot"}, order={"postings": ["slot", "term", "chunk_id"]})
     return report

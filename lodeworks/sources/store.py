@@ -78,7 +78,8 @@ class Store:
         for name, df in tables.items():
             by = (order or {}).get(name, ["path"] if "path" in df.columns else [])
             folder = (folders or {}).get(name)
-            ordered = (df.repartition(folder) if folder else df).sortWithinPartitions(*by) if by else df
+            # Ranges of the whole order, so that neither a folder nor a frequent key is one task's.
+            ordered = (df.repartitionByRange(*by) if folder else df).sortWithinPartitions(*by) if by else df
             writer = ordered.write.partitionBy(folder) if folder else ordered.write
             writer.parquet(f"{self.root}/{name}-{stamp}")
             placed[name] = f"{name}-{stamp}"

@@ -73,8 +73,15 @@ def innermost(definitions: list[Definition], lines: list[int]) -> list[int]:
     return [owner[bisect_right(edges, n) - 1] for n in lines]
 
 
+def supported(lang: str) -> bool:
+    """Whether files of a language are read by syntax; others are chunked by their lines."""
+    return lang == "python" or lang in BRACED
+
+
 def parse(lang: str, text: str) -> tuple[list[Definition], list[tuple[str, int, int]]] | None:
     """Definitions and calls ``(name, line, definition or -1)`` of one file, or None where it cannot be parsed."""
+    if not supported(lang):
+        return None
     if lang == "python":
         try:
             tree = ast.parse(text)
@@ -82,10 +89,8 @@ def parse(lang: str, text: str) -> tuple[list[Definition], list[tuple[str, int,
             return None
         found, calls = python_definitions(tree), python_calls(tree)
         return found, [(name, line, by) for (name, line, _), by in zip(calls, innermost(found, [c[1] for c in calls]))]
-    if lang in BRACED:
-        parsed = braces.parse(lang, text)
-        return parsed.definitions, parsed.calls
-    return None
+    parsed = braces.parse(lang, text)
+    return parsed.definitions, parsed.calls
 
 
 def file_chunks(definitions: list[Definition], text: str) -> list[tuple[int, int, str, str]]:
