@@ -31,7 +31,7 @@ def test_window_lows():
 
 def plain(rows):
     first, out = {}, []
-    texts = sorted(((i, (t or "").encode()) for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0))
+    texts = sorted(((i, (t or "").encode()) for i, t in rows), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0]))
     for i, x in texts:
         if i is not None:
             for k in range(len(x) - 49):
@@ -64,6 +64,22 @@ def test_against_brute_force(spark, odd, odd_documents, nothing, crowded, monkey
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot_windows", [suffixes.HOT_WINDOWS, 0])
+def test_hot_passages_and_ids_of_any_type(spark, monkeypatch, hot_windows):
+    """Anchors of very many texts met before the shuffle, windows of very many strings, ids that are strings."""
+    for name, value in {"PAIRS": 64, "CROWDED": 3, "HOT_WINDOW": 2, "HOT_WINDOWS": hot_windows}.items():
+        monkeypatch.setattr(suffixes, name, value)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefg \n") for _ in range(n))
+    hot, warm = text(140), text(70)
+    rows = [(f"id{rng.randrange(10**6)}", text(rng.randrange(60)) + hot[rng.randrange(40) :] + text(rng.randrange(60))) for _ in range(80)]
+    rows += [(f"no{i}", text(50) + warm + text(30)) for i in range(2)] + [("a", text(200)), ("b", rows[5][1]), (None, hot), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect()]
+    want = plain([(i, t) for i, t in rows if i is not None]) + [(None, len(hot), 0, 0, hot.encode())]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in got) > 5000
+
+
 def test_shared_pairs_in_any_pieces():
     rng = random.Random(4)
     for _ in range(50):
