@@ -17,7 +17,9 @@ BLOCK = 1024
 def topk(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:
     """``(key, score)`` of the k vectors nearest to one query; only k rows leave a task. Null vectors are passed over."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.where(F.col(column).isNotNull()).select(key, dot(F.col(column), q).alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    # Null scores come last; dropped behind the limit, where the test does not work out a computed vector again.
+    best = vectors.select(key, dot(F.col(column), q).alias("score")).orderBy(F.desc_nulls_last(F.round("score", 9)), key).limit(k)
+    return best.where("score is not null")
 
 
 def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
@@ -27,7 +29,7 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
     Arrow batch, so what is shuffled is k rows a query and task, not a row a pair. Null vectors are passed over.
     """
     spark, out = vectors.sparkSession, None
-    vectors, queries = vectors.where(F.col(column).isNotNull()), queries.where("vector is not null")
+    queries = queries.where("vector is not null")
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
@@ -43,9 +45,10 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
             ids, q = held.value
             best, names = None, None
             for batch in it:
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                if not len(x):
+                batch = batch.filter(batch.column(1).is_valid())
+                if not batch.num_rows:
                     continue
+                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
                 score, keys = np.round(q @ x.T, 12), np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(q), 1))
                 if best is not None:
                     score, keys = np.hstack((best, score)), np.hstack((names, keys))

@@ -9,6 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table for each part it is spread into, at least.
+SPREAD_BYTES = 256 << 10
+
 _made: list[str] = []
 _own: dict[str, str] = {}
 
@@ -59,12 +62,15 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, comp
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has fewer parts than there are; a table of enough parts stays as it lies.
+    """A table just read over all cores, where it has fewer parts than there are and ``SPREAD_BYTES`` for each more.
 
-    For work that costs far more than a row's way through a shuffle, on small tables of one row group.
+    For work that costs far more than a row's way through a shuffle, on tables of few row groups; a table of enough
+    parts stays as it lies, and so does one too small to be worth it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(2 * cores, size // SPREAD_BYTES)
+    return df.repartition(parts) if df.rdd.getNumPartitions() < min(cores, parts) else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

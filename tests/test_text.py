@@ -153,3 +153,23 @@ def test_gate_and_floor(spark):
     assert got.a == pytest.approx(0.7 - 2 * math.sqrt(0.21 / 82)) and got.b == 0.7
     runs = spark.createDataFrame([("r", 1, "bge", 0.4), ("r", 0, "none", 0.4), ("s", 0, "e5", 0.2)], "repo string, place int, prefix string, mrr double")
     assert {r.repo: r.prefix for r in evaluate.best_prefix(runs).collect()} == {"r": "none", "s": "e5"}
+
+
+def test_null_vectors_are_passed_over(spark):
+    from lodeworks.operators import vectors
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id int, v array<double>")
+    assert [r.id for r in vectors.topk(rows, "id", "v", [1.0, 0.1], 3).collect()] == [1, 3]
+    asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "query_id int, vector array<double>")
+    assert [(r.query_id, r.id) for r in vectors.batch_topk(rows, "id", "v", asked, 3).orderBy("rank").collect()] == [(7, 3), (7, 1)]
+
+
+def test_token_counts_are_those_of_the_tokens(spark):
+    from lodeworks.functions import text as T
+
+    texts = ["parseHTTPResponse of the HTTP 42 ab12 x_y parse", "", "the THE The tHe", "K\u212a \x01the\x01 aB\x01", "no such thing"]
+    terms = ["the", "http", "parse", "12", "b", "42", "parsehttpresponse"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = rows.select("id", T.tokenize(F.col("t")).alias("tokens"), T.token_counts(F.col("t"), terms).alias("c")).collect()
+    for r in got:
+        assert r.c["dl"] == len(r.tokens) and [r.c[f"t{i}"] for i in range(len(terms))] == [r.tokens.count(x) for x in terms], texts[r.id]
