@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, lines, packing, quality, rules, secrets, sharding, simhash, suffixes
+from . import chat, decontamination, lines, mixing, packing, quality, rules, secrets, sharding, simhash, suffixes
 from .common import read
 from .hash_sql import xxh64
 
@@ -85,6 +85,43 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    weighted = mixing.quality_weights(docs, read(spark, sf_dir, "labels"), "weight")
+    return mixing.mix(weighted, "weight").drop("key")
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, avg(CASE WHEN quality = 1 AND coalesce(toxic, 0) <> 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w
+  FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')), 0) AS size,
+    -ln((('0x' || substr(md5('23:' || coalesce(doc_id::VARCHAR, 'none:' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52))
+      / coalesce(w, 1) AS key
+  FROM documents LEFT JOIN w USING (doc_id)
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS place FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - (sum(cap) OVER (ORDER BY place) - cap)) / sum(weight) OVER (ORDER BY place DESC) AS level FROM o
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(weight * (SELECT arg_min(level, place) FROM l WHERE level * weight < cap), cap)) AS target FROM l
+), e AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS epochs FROM t
+), p AS (
+  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, source, epochs::INT AS epochs,
+  (size * (epochs + CASE WHEN 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
+
+
 OP7_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos
@@ -207,6 +244,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -215,4 +253,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_suffix_array_dedup": OP9_SQL,
+    "op13_source_mixing": OP13_SQL,
 }
