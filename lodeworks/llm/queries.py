@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, lines, mixing, packing, quality, rules, secrets, sharding, simhash, suffixes
+from . import chat, decontamination, lines, mixing, packing, quality, rules, secrets, sharding, simhash, suffixes, whitening
 from .common import read
 from .hash_sql import xxh64
 
@@ -85,6 +85,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     weighted = mixing.quality_weights(docs, read(spark, sf_dir, "labels"), "weight")
@@ -244,6 +248,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_source_mixing": op13_source_mixing,
 }
 
