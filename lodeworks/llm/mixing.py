@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import fresh, stored
+from .common import stored
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -16,13 +16,11 @@ LEAST_QUALITY, MOST_QUALITY = 1 / 16, 16.0
 CELLS = 4096
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a weight in column ``name``: 2 for a document of quality 1 that is not toxic, 0.5 for one of quality 0
-    or a toxic one, 1 without a label; the mean where several labels share a doc_id."""
+def label_weights(labels: DataFrame) -> DataFrame:
+    """``(doc_id, weight)``: 2 for a document of quality 1 that is not toxic, 0.5 for one of quality 0 or a toxic one; the
+    mean where several labels share a doc_id."""
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 2.0).otherwise(0.5)
-    of, w = fresh("_of", docs.columns), fresh("_w", docs.columns)
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").alias(of)).agg(F.avg(good).alias(w))
-    return docs.join(known, F.col("doc_id") == F.col(of), "left").withColumn(name, F.coalesce(w, F.lit(1.0))).drop(of, w)
+    return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(good).alias("weight"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -51,7 +49,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
 
 def mix(
-    docs: DataFrame, quality: str | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 23, cells: int = CELLS
+    docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 23, cells: int = CELLS
 ) -> DataFrame:
     """How many words of each row of ``docs(doc_id, text, source)`` a mixture of the sources takes.
 
@@ -59,8 +57,9 @@ def mix(
     ``[^\\x20\\x09-\\x0D]+``; ``targets`` gives each source its target. A source is taken whole as often as its target
     holds its size (epochs); for the rest, its documents stand in the order of exponential keys -ln(u) / quality, u from
     the MD5 of seed and doc_id, and are taken once more as long as the sum of sizes before them, and half their own, is
-    within what remains. So a source is missed by half a document's size at most, a document of a higher ``quality``
-    (a column's name; 1 where there is none) stands earlier the more often, and the same rows are chosen in every run.
+    within what remains. So a source is missed by half a document's size at most, a document of a higher weight in
+    ``quality(doc_id, weight)``, one row a doc_id, stands earlier the more often (1 where there is none), and the same rows
+    are chosen in every run.
 
     Every text is read once, where it lies; what is shuffled is a row of numbers a document. Rows are summed by source
     and cell (``cells`` ranges of k / (1 + k) of the key k), sorted within their cell only, and placed by running totals
@@ -68,7 +67,7 @@ def mix(
 
     Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own, the last;
     rows without a doc_id are ordered by the MD5 of their text; rows of one doc_id are ordered by size and count each;
-    rows alike in id, size and key are summed before they are shuffled and the first of them taken; a quality that is
+    rows alike in id, size and key are summed before they are shuffled and the first of them taken; a weight that is
     null, not a number or not above 0 counts as 1 and others are held within 1/16 and 16; an empty table gives no rows;
     a text of any length is counted whole; extra columns are ignored.
     """
@@ -76,12 +75,15 @@ def mix(
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.md5(text)))
     # 52 bits, and a half, so that u is neither 0 nor 1.
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    w: Column = F.lit(1.0)
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), (-F.log(u)).alias("key"))
     if quality is not None:
-        q = F.col(quality).cast("double")
-        w = F.when(q.isNull() | F.isnan(q) | (q <= 0), 1.0).otherwise(F.greatest(F.lit(LEAST_QUALITY), F.least(q, F.lit(MOST_QUALITY))))
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("size"), (-F.log(u) / w).alias("key"))
-    base = base.withColumn("size", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long"))).withColumn("cell", F.floor(F.col("key") / (1 + F.col("key")) * cells).cast("int"))
+        # Met by rows of numbers, not by texts.
+        given = quality.select(F.col("doc_id").alias("_of"), F.col("weight").cast("double").alias("_w"))
+        odd = F.col("_w").isNull() | F.isnan("_w") | (F.col("_w") <= 0)
+        w: Column = F.when(odd, 1.0).otherwise(F.greatest(F.lit(LEAST_QUALITY), F.least("_w", F.lit(MOST_QUALITY))))
+        base = base.join(given, F.col("doc_id") == F.col("_of"), "left").withColumn("key", F.col("key") / w).drop("_of", "_w")
+    base = base.withColumn("cell", F.floor(F.col("key") / (1 + F.col("key")) * cells).cast("int"))
     # A null source joins like any other under a name of its own.
     base = stored(base.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     summed = base.groupBy("stratum", "source", "cell").agg(F.sum("size").alias("words"))

@@ -90,9 +90,8 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    weighted = mixing.quality_weights(docs, read(spark, sf_dir, "labels"), "weight")
-    return mixing.mix(weighted, "weight").drop("key")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return mixing.mix(docs, mixing.label_weights(labels)).drop("key")
 
 
 OP13_SQL = r"""

@@ -69,8 +69,9 @@ def test_targets_stop_and_are_shared_again(spark):
 def test_weights_order_documents_and_copies_spread(spark):
     rows = [(i, "w " * (i % 9 + 1), "s%d" % (i % 4 // 3), 4.0 if i % 2 else 0.25) for i in range(4000)]
     rows += [(None, "the same words", "s0", None)] * 500
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
-    got, out = found(mixing.mix(df, "q"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _w double")
+    weights = spark.createDataFrame([(i, q) for i, _, _, q in rows if i is not None] + [(9999, 3.0), (None, 5.0)], "doc_id long, weight double")
+    got, out = found(mixing.mix(df, weights))
     assert got == brute([(i, t, s, q or 1.0) for i, t, s, q in rows])
     of = {}
     for r in out:
@@ -84,10 +85,12 @@ def test_weights_order_documents_and_copies_spread(spark):
 
 
 def test_labels_give_weights(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, _w string")
-    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.weight for r in mixing.quality_weights(docs, labels, "weight").collect()}
-    assert got == {1: 2.0, 2: 1.25, 3: 1.0, None: 1.0}
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, 0), (3, None, 0), (4, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.weight for r in mixing.label_weights(labels).collect()} == {1: 2.0, 2: 1.25, 4: 0.5}
+    odd = spark.createDataFrame([(0, float("nan")), (1, -1.0), (2, None), (3, 1e9)], "doc_id long, weight double")
+    docs = spark.createDataFrame([(i, "a b", "s") for i in range(5)], "doc_id long, text string, source string")
+    keys, plain = ({r.doc_id: r.key for r in mixing.mix(docs, w).collect()} for w in (odd, None))
+    assert all(abs(keys[i] * (16 if i == 3 else 1) - plain[i]) < 1e-12 for i in range(5))
 
 
 def test_empty(nothing, spark):
