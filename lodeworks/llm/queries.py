@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, lines, mixing, packing, quality, rules, secrets, sharding, simhash, suffixes, whitening
+from . import chat, decontamination, lines, mixing, packing, prefix_trie, quality, rules, secrets, sharding, simhash, suffixes, whitening
 from .common import read
 from .hash_sql import xxh64
 
@@ -89,6 +89,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return mixing.mix(docs, mixing.label_weights(labels)).drop("key")
@@ -248,6 +252,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_source_mixing": op13_source_mixing,
 }
 
