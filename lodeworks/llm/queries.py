@@ -129,6 +129,38 @@ FROM p
 """
 
 
+OP12_SQL = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), v AS (
+  SELECT conv_id, turn, md5(coalesce(length(role), 0) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, octet_length(encode(coalesce(text, ''))) AS b
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(s ORDER BY turn NULLS FIRST, base64(unhex(s))) AS s, list(b ORDER BY turn NULLS FIRST, base64(unhex(s))) AS b FROM v GROUP BY conv_id
+), h AS (
+  SELECT conv_id, s, b, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) % 9 AS h
+  FROM c, tab
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(o.s[:h.h], []), h.s[h.h + 1:]) AS s, list_concat(coalesce(o.b[:h.h], []), h.b[h.h + 1:]) AS b
+  FROM h LEFT JOIN c o ON o.conv_id = h.conv_id - h.conv_id % 5
+), m AS (
+  SELECT conv_id, s[:d] AS node, d, len(s) AS n, coalesce(b[d], 0) AS bytes FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)
+), nodes AS (
+  SELECT node, d, min(conv_id) AS id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS sha
+  FROM m GROUP BY node, d
+), kids AS (
+  SELECT node[:-2] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), up AS (
+  SELECT node[:a] AS node, count(*) FILTER (k.n IS NULL) AS leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM (SELECT node, n_convs, bytes, unnest(range(d + 1)) AS a FROM nodes) x LEFT JOIN kids k USING (node) GROUP BY 1
+)
+SELECT n.id AS conv_id, n.d::BIGINT AS depth, p.id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, n.sha AS ends_sha256
+FROM nodes n LEFT JOIN kids k USING (node) JOIN up u USING (node) LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[:-2]
+"""
+
+
 OP7_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos
@@ -262,5 +294,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_suffix_array_dedup": OP9_SQL,
+    "op12_conversation_prefix_trie": OP12_SQL,
     "op13_source_mixing": OP13_SQL,
 }
