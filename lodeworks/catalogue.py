@@ -267,7 +267,7 @@ def idf(spark, sf_dir):
 
 @query(
     _with(SQL_CHUNKS, SQL_INDEX)
-    + f"SELECT chunk_id, path, round(score, 6) AS score FROM {sql_bm25(SQL_ONE_QUERY)} JOIN chunks USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT {K}"
+    + f"SELECT chunk_id, path, round(score, 6) AS score FROM {sql_bm25(SQL_ONE_QUERY)} JOIN chunks USING (chunk_id) ORDER BY round(score, 9) DESC, chunk_id LIMIT {K}"
 )
 def bm25_topk(spark, sf_dir):
     best = lexical.topk(lexical_rows(spark, sf_dir), "chunk_id", F.col("body"), QUERY, K)
@@ -473,12 +473,14 @@ def callees(spark, sf_dir):
 
 @query(
     _with(SQL_SYMBOLS, SQL_CALLS)
-    + ", known AS (SELECT name FROM symbols WHERE start_line <= 7) SELECT DISTINCT callee FROM calls WHERE caller_id IN (SELECT id FROM symbols WHERE name = 'small ring') AND callee NOT IN (SELECT name FROM known)"
+    + """, named AS (SELECT caller_id, CASE WHEN call_id % 3 = 0 THEN callee || ' lib' ELSE callee END AS callee FROM calls)
+    SELECT DISTINCT callee FROM named WHERE caller_id IN (SELECT id FROM symbols WHERE name = 'small ring') AND callee NOT IN (SELECT name FROM symbols)"""
 )
 def callees_external(spark, sf_dir):
+    """A third of the calls are of names that no symbol bears."""
     s = symbol_rows(spark, sf_dir)
-    r = graph.resolve_calls(call_rows(spark, sf_dir), s.where("start_line <= 7"))
-    return graph.external_callees(r, graph.find(s, "small ring"))
+    calls = call_rows(spark, sf_dir).withColumn("callee", F.when(F.col("call_id") % 3 == 0, F.concat("callee", F.lit(" lib"))).otherwise(F.col("callee")))
+    return graph.external_callees(graph.resolve_calls(calls, s), graph.find(s, "small ring"))
 
 
 @query(
@@ -646,12 +648,12 @@ def diff_tests_to_run(spark, sf_dir):
 
 
 def _context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fusion.ranked(lexical.topk(lexical_rows(spark, sf_dir), "chunk_id", F.col("body"), QUERY, K), "chunk_id", F.desc("score"))
+    best = fusion.ranked(lexical.topk(lexical_rows(spark, sf_dir), "chunk_id", F.col("body"), QUERY, K), "chunk_id", F.desc(F.round("score", 9)))
     rows = chunk_rows(spark, sf_dir).join(F.broadcast(best), "chunk_id")
     return rows.select("rank", "score", "path", F.lit(1).alias("start_line"), F.size(T.lines(F.col("text"))).alias("end_line"), "symbol", "text")
 
 
-SQL_HITS = f""", best AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM {sql_bm25(SQL_ONE_QUERY)} QUALIFY rank <= {K}),
+SQL_HITS = f""", best AS (SELECT chunk_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {sql_bm25(SQL_ONE_QUERY)} QUALIFY rank <= {K}),
 hits AS (SELECT rank, score, path, 1 AS start_line, len(l) AS end_line, symbol, text FROM best JOIN chunks USING (chunk_id) JOIN lined USING (chunk_id))"""
 
 

@@ -49,22 +49,23 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
                 if not batch.num_rows:
                     continue
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                score, keys = np.round(q @ x.T, 12), np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(q), 1))
+                score, keys = q @ x.T, np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(q), 1))
                 if best is not None:
                     score, keys = np.hstack((best, score)), np.hstack((names, keys))
-                order = np.lexsort((keys, -score))[:, :k]
+                order = np.lexsort((keys, -np.round(score, 9)))[:, :k]
                 best, names = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
             if best is not None:
                 width = best.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(q)), width))), pa.array(names.ravel()), pa.array(best.ravel())],
-                    names=["query_id", key, "score"],
+                    [ids.take(pa.array(np.repeat(np.arange(len(q)), width))), pa.array(names.ravel()), pa.array(best.ravel()), pa.array(np.round(best.ravel(), 9))],
+                    names=["query_id", key, "score", "_place"],
                 )
 
-        found = vectors.select(key, column).mapInArrow(nearest, f"query_id {kinds[1]}, {key} {kinds[0]}, score double")
+        found = vectors.select(key, column).mapInArrow(nearest, f"query_id {kinds[1]}, {key} {kinds[0]}, score double, _place double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         empty = vectors.select(key).crossJoin(queries.select("query_id")).limit(0)
-        out = empty.select("query_id", key, F.lit(0.0).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = empty.select("query_id", key, F.lit(0.0).alias("score"), F.lit(0.0).alias("_place"))
+    # Rounded in the task: what ties there ties here.
+    order = W.partitionBy("query_id").orderBy(F.desc("_place"), key)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_place")

@@ -173,3 +173,14 @@ def test_token_counts_are_those_of_the_tokens(spark):
     got = rows.select("id", T.tokenize(F.col("t")).alias("tokens"), T.token_counts(F.col("t"), terms).alias("c")).collect()
     for r in got:
         assert r.c["dl"] == len(r.tokens) and [r.c[f"t{i}"] for i in range(len(terms))] == [r.tokens.count(x) for x in terms], texts[r.id]
+
+
+def test_equal_scores_are_ordered_by_key(spark):
+    """Scores that differ in their last digits only tie, on both sides of a task's cut."""
+    rows = [(i, "door key " + " ".join(f"w{(i * 7 + j) % 5}" for j in range(6))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").repartition(7)
+    assert [r.chunk_id for r in lexical.topk(docs, "chunk_id", F.col("text"), "door key", 5).collect()] == [0, 1, 2, 3, 4]
+    near = spark.createDataFrame([(i, [1.0, (7 - i) * 1e-11]) for i in range(8)], "vec_id long, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [0.7, 0.7])], "query_id long, vector array<double>")
+    assert [r.vec_id for r in vectors.batch_topk(near, "vec_id", "v", asked, 3).orderBy("rank").collect()] == [0, 1, 2]
+    assert [r.vec_id for r in vectors.topk(near, "vec_id", "v", [0.7, 0.7], 3).collect()] == [0, 1, 2]
