@@ -116,8 +116,8 @@ def _with(*parts: str) -> str:
 SQL_GRAPH = _with(SQL_SYMBOLS, SQL_CALLS, SQL_RESOLVED, SQL_EDGES)
 
 
-def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(resolved_rows(spark, sf_dir))
+def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linked(call_rows(spark, sf_dir), symbol_rows(spark, sf_dir))
 
 
 def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,12 +463,14 @@ SQL_FOUND = "(SELECT id FROM symbols WHERE name = 'small ring')"
 
 @query(SQL_GRAPH + f"SELECT caller_id, path, line, min(target) AS target FROM edges WHERE target IN {SQL_FOUND} GROUP BY ALL")
 def callers(spark, sf_dir):
-    return graph.callers(edge_rows(spark, sf_dir), graph.find(symbol_rows(spark, sf_dir), "small ring"))
+    s = symbol_rows(spark, sf_dir)
+    return graph.callers(linked_rows(spark, sf_dir), s, graph.find(s, "small ring"))
 
 
 @query(SQL_GRAPH + f"SELECT DISTINCT caller_id, target FROM edges WHERE caller_id IN {SQL_FOUND}")
 def callees(spark, sf_dir):
-    return graph.callees(edge_rows(spark, sf_dir), graph.find(symbol_rows(spark, sf_dir), "small ring"))
+    s = symbol_rows(spark, sf_dir)
+    return graph.callees(linked_rows(spark, sf_dir), s, graph.find(s, "small ring"))
 
 
 @query(
@@ -480,7 +482,7 @@ def callees_external(spark, sf_dir):
     """A third of the calls are of names that no symbol bears."""
     s = symbol_rows(spark, sf_dir)
     calls = call_rows(spark, sf_dir).withColumn("callee", F.when(F.col("call_id") % 3 == 0, F.concat("callee", F.lit(" lib"))).otherwise(F.col("callee")))
-    return graph.external_callees(graph.resolve_calls(calls, s), graph.find(s, "small ring"))
+    return graph.external_callees(graph.linked(calls, s), graph.find(s, "small ring"))
 
 
 @query(
@@ -490,7 +492,7 @@ def callees_external(spark, sf_dir):
     LEFT JOIN (SELECT caller_id AS id, count(DISTINCT target) AS fan_out FROM edges WHERE caller_id >= 0 GROUP BY 1) USING (id)"""
 )
 def call_degree(spark, sf_dir):
-    return graph.degrees(symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir))
+    return graph.degrees(symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir))
 
 
 def sql_impact(roots: str, depth: int) -> str:
@@ -525,19 +527,19 @@ def _root(spark: SparkSession) -> DataFrame:
 
 @query(SQL_GRAPH + sql_impact(SQL_ROOT, 3) + "SELECT root_id, node_key, symbol_id, qualified, path, call_line, depth, uncertain, is_test FROM nodes")
 def impact(spark, sf_dir):
-    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 3)
+    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir), 3)
     return found.select("root_id", "node_key", "symbol_id", "qualified", "path", "call_line", "depth", "uncertain", "is_test")
 
 
 @query(SQL_GRAPH + sql_impact(SQL_ROOT, 3) + "SELECT node_key, depth, array_to_string(chain, ' > ') AS chain FROM nodes")
 def impact_chain(spark, sf_dir):
-    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 3)
+    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir), 3)
     return found.select("node_key", "depth", F.array_join("chain", " > ").alias("chain"))
 
 
 @query(SQL_GRAPH + sql_impact(SQL_ROOT, 4) + "SELECT node_key, qualified, depth, array_to_string(chain, ' > ') AS chain FROM nodes WHERE is_test")
 def tests_for(spark, sf_dir):
-    found = traverse.tests_for(_root(spark), symbol_rows(spark, sf_dir), edge_rows(spark, sf_dir), 4)
+    found = traverse.tests_for(_root(spark), symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir), 4)
     return found.select("node_key", "qualified", "depth", F.array_join("chain", " > ").alias("chain"))
 
 
@@ -578,7 +580,7 @@ def graph_expand(spark, sf_dir):
     s = symbol_rows(spark, sf_dir)
     best = s.orderBy(F.desc(F.col("end_line") - F.col("start_line")), "id").limit(8)
     hits = fusion.ranked(best, "id", F.desc(F.col("end_line") - F.col("start_line"))).select("rank", "path", "start_line", "end_line")
-    found = graph.expand_hits(hits, s, edge_rows(spark, sf_dir), _chunk_symbols(spark, sf_dir))
+    found = graph.expand_hits(hits, s, linked_rows(spark, sf_dir), _chunk_symbols(spark, sf_dir))
     return found.select(F.col("place").cast("long").alias("place"), "path", "start_line", "end_line", "symbol")
 
 
@@ -631,20 +633,20 @@ def unmapped_changes(spark, sf_dir):
 def _diff_nodes(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     s = symbol_rows(spark, sf_dir)
     roots = diff.changed_symbols(diff.hunks(diff_rows(spark, sf_dir)), s)
-    return traverse.impact(roots, s, edge_rows(spark, sf_dir), depth)
+    return traverse.impact(roots, s, linked_rows(spark, sf_dir), depth)
 
 
-SQL_DIFF_GRAPH = _with(SQL_SYMBOLS, SQL_CALLS, SQL_RESOLVED, SQL_EDGES, SQL_HUNKS, SQL_CHANGED) + sql_impact("changed", 1)
+SQL_DIFF_GRAPH = _with(SQL_SYMBOLS, SQL_CALLS, SQL_RESOLVED, SQL_EDGES, SQL_HUNKS, SQL_CHANGED) + sql_impact("changed", 3)
 
 
 @query(SQL_DIFF_GRAPH + "SELECT root_id, node_key, depth, uncertain FROM nodes")
 def diff_impact(spark, sf_dir):
-    return _diff_nodes(spark, sf_dir, 1).select("root_id", "node_key", "depth", "uncertain")
+    return _diff_nodes(spark, sf_dir, 3).select("root_id", "node_key", "depth", "uncertain")
 
 
 @query(SQL_DIFF_GRAPH + "SELECT DISTINCT path || '::' || qualified AS test FROM nodes WHERE is_test")
 def diff_tests_to_run(spark, sf_dir):
-    return diff.tests_to_run(_diff_nodes(spark, sf_dir, 1))
+    return diff.tests_to_run(_diff_nodes(spark, sf_dir, 3))
 
 
 def _context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .spans import overlap
+from .spans import innermost
 
 # Fixed value: a hunk header; its new side is start[,count].
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -42,8 +42,6 @@ def hunks(diffs: DataFrame) -> DataFrame:
 
 def changed_symbols(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct symbols of ``changes(path, start, end)``: of each range, the smallest one it overlaps."""
-    from .spans import innermost
-
     ranges = changes.where("start is not null").select("path", "start", "end").distinct()
     hit = innermost(ranges, symbols, [])
     return symbols.join(hit.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi")
@@ -55,11 +53,8 @@ def unmapped_changes(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     A path with symbols whose hunks only delete is mapped.
     """
     per_path = changes.groupBy("path").agg(F.count("start").alias("ranges"))
-    s = symbols.select("path", "start_line", "end_line")
-    near = changes.join(s, "path").where(
-        F.col("start").isNull() | overlap(F.col("start_line"), F.col("end_line"), F.col("start"), F.col("end"))
-    )
-    hit = near.groupBy("path").agg(F.count_if(F.col("start").isNotNull()).alias("hits"))
+    ranges = changes.where("start is not null").select("path", "start", "end").distinct()
+    hit = innermost(ranges, symbols, []).groupBy("path").agg(F.count("*").alias("hits"))
     known = symbols.select("path").distinct().withColumn("has", F.lit(True))
     out = per_path.join(known, "path", "left").join(hit, "path", "left")
     none = F.coalesce("hits", F.lit(0)) == 0

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def resolve_calls(calls: DataFrame, symbols: DataFrame, same_language: bool = False) -> DataFrame:
     """``calls`` with ``resolved``: ids of the symbols of the callee's name; those of the call's path alone, if any.
 
-    The candidates stay an array until the graph is walked. Names are aggregated once, per name and per name and
-    path, and joined to calls, so a name with many symbols makes one row a call. ``same_language`` asks for a lang
-    column on both sides and keeps candidates to it.
+    The candidates stay an array, for those who want them listed; the graph is walked over ``linked`` calls, without
+    them. Names are aggregated once, per name and per name and path, and joined to calls, so a name with many symbols
+    makes one row a call. ``same_language`` asks for a lang column on both sides and keeps candidates to it.
     """
     scope = ["lang"] if same_language else []
     names = symbols.select(F.col("name").alias("callee"), "path", "id", *scope)
@@ -26,13 +26,45 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, same_language: bool = Fa
     )
 
 
+def linked(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The call graph in factors: ``(call_id, caller_id, callee, path, line, local, candidates)``, a row a call.
+
+    A call reaches all symbols of its callee's name, or those of its own path alone where there are any (local). Both
+    sets are told by (callee) or (callee, path), so calls and symbols meet by way of the name and no row is made for each
+    pair of them: a name with m calls and n symbols is m + n rows, not m * n. candidates: how many symbols there are.
+    """
+    here = symbols.groupBy(F.col("name").alias("callee"), "path").agg(F.count("*").alias("_here"))
+    # Of names few rows are left by then; the second sum is over those.
+    everywhere = here.groupBy("callee").agg(F.sum("_here").alias("_all"))
+    return (
+        calls.select("call_id", "caller_id", "callee", "path", "line")
+        .join(here, ["callee", "path"], "left")
+        .join(everywhere, "callee", "left")
+        .select(
+            "call_id", "caller_id", "callee", "path", "line",
+            F.col("_here").isNotNull().alias("local"), F.coalesce("_here", "_all", F.lit(0)).cast("long").alias("candidates"),
+        )
+    )
+
+
 def edges(resolved: DataFrame) -> DataFrame:
-    """One row per call and candidate: ``(call_id, caller_id, path, line, target, ambiguous)``."""
+    """One row per call and candidate: ``(call_id, caller_id, path, line, target, ambiguous)``: the pairs written out."""
     return resolved.select(
         "call_id", "caller_id", "path", "line", F.explode("resolved").alias("target"), (F.size("resolved") > 1).alias("ambiguous")
     )
 
 
+def reaching(calls: DataFrame, targets: DataFrame, keys: list[str], best: Column) -> DataFrame:
+    """Linked ``calls`` that reach ``targets(*keys, name, path, …)``, with the ``best`` of the targets that each reaches.
+
+    Targets of a name, and of a name and path, are brought down to their best before calls meet them, so a call is one row
+    for each of ``keys`` however many of its candidates are targets.
+    """
+    local = targets.groupBy(*keys, F.col("name").alias("callee"), "path").agg(F.min(best).alias("best"))
+    wide = local.groupBy(*keys, "callee").agg(F.min("best").alias("best"))
+    return calls.where("local").join(local, ["callee", "path"]).unionByName(calls.where("not local").join(wide, "callee"))
+
+
 def find(symbols: DataFrame, query: str) -> DataFrame:
     """Symbols whose qualified name is the query; only if there are none, those of that name or ending in it."""
     exact = F.col("qualified") == query
@@ -41,34 +73,60 @@ def find(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.crossJoin(F.broadcast(some)).where(exact | (~F.col("_some") & loose)).drop("_some")
 
 
-def callers(edge_rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Call sites of ``targets(id)``: ``(caller_id, path, line, target)``, each site once, with its first target."""
-    hit = edge_rows.join(targets.select(F.col("id").alias("target")).distinct(), "target")
-    return hit.groupBy("caller_id", "path", "line").agg(F.min("target").alias("target"))
+def callers(calls: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
+    """Call sites of ``targets(id)`` among linked ``calls``: ``(caller_id, path, line, target)``, each site once, with its
+    first target."""
+    wanted = symbols.join(targets.select("id").distinct(), "id", "left_semi")
+    met = reaching(calls, wanted, [], F.col("id"))
+    return met.groupBy("caller_id", "path", "line").agg(F.min("best").alias("target"))
+
+
+def out_of(calls: DataFrame, symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(call_id, caller_id, target)`` of the linked ``calls`` out of ``sources(id)``: pairs, for the sources alone."""
+    mine = calls.join(sources.select(F.col("id").alias("caller_id")).distinct(), "caller_id", "left_semi").select("call_id", "caller_id", "callee", "path", "local")
+    named = symbols.select(F.col("name").alias("callee"), F.col("path").alias("_at"), F.col("id").alias("target"))
+    near = mine.where("local").join(named.withColumnRenamed("_at", "path"), ["callee", "path"])
+    far = mine.where("not local").join(named.drop("_at"), "callee")
+    columns = ["call_id", "caller_id", "target"]
+    return near.select(columns).unionByName(far.select(columns))
 
 
-def callees(edge_rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Resolved calls out of ``sources(id)``: distinct ``(caller_id, target)``."""
-    return edge_rows.join(sources.select(F.col("id").alias("caller_id")).distinct(), "caller_id").select("caller_id", "target").distinct()
+def callees(calls: DataFrame, symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """What ``sources(id)`` call: distinct ``(caller_id, target)``."""
+    return out_of(calls, symbols, sources).select("caller_id", "target").distinct()
 
 
-def external_callees(resolved: DataFrame, sources: DataFrame) -> DataFrame:
+def external_callees(calls: DataFrame, sources: DataFrame) -> DataFrame:
     """Distinct names that ``sources(id)`` call and no symbol bears."""
-    mine = resolved.join(sources.select(F.col("id").alias("caller_id")).distinct(), "caller_id", "left_semi")
-    return mine.where(F.size("resolved") == 0).select("callee").distinct()
+    mine = calls.join(sources.select(F.col("id").alias("caller_id")).distinct(), "caller_id", "left_semi")
+    return mine.where("candidates = 0").select("callee").distinct()
 
 
-def degrees(symbols: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """``(id, fan_in, call_sites, fan_out)``: calling symbols, call sites, and called symbols of each symbol."""
-    into = edge_rows.groupBy(F.col("target").alias("id")).agg(
-        F.count_distinct("caller_id").alias("fan_in"), F.count("*").alias("call_sites")
+def degrees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(id, fan_in, call_sites, fan_out)``: calling symbols, call sites, and called symbols of each symbol.
+
+    Counted by name and path: the local calls of a symbol are those of its name in its path, the others those of its name
+    in paths without the name, so a caller is among one of both only, but for code outside definitions, which counts once.
+    """
+    counts = [
+        F.count_distinct(F.when(F.col("caller_id") >= 0, F.col("caller_id"))).alias("callers"),
+        F.coalesce(F.bool_or(F.col("caller_id") < 0), F.lit(False)).alias("loose"),
+        F.count("*").alias("sites"),
+    ]
+    near = calls.where("local").groupBy(F.col("callee").alias("name"), "path").agg(*counts)
+    far = calls.where("not local").groupBy(F.col("callee").alias("name")).agg(*counts)
+    far = far.withColumnsRenamed({c: f"far_{c}" for c in ("callers", "loose", "sites")})
+    out = calls.where("caller_id >= 0").select("caller_id", "callee", "candidates").distinct()
+    out = out.groupBy(F.col("caller_id").alias("id")).agg(F.sum("candidates").alias("fan_out"))
+    rows = symbols.select("id", "name", "path").join(near, ["name", "path"], "left").join(far, "name", "left").join(out, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    loose = (F.coalesce("loose", F.lit(False)) | F.coalesce("far_loose", F.lit(False))).cast("long")
+    return rows.select(
+        "id", (zero("callers") + zero("far_callers") + loose).alias("fan_in"), (zero("sites") + zero("far_sites")).alias("call_sites"), zero("fan_out").alias("fan_out")
     )
-    out = edge_rows.where("caller_id >= 0").groupBy(F.col("caller_id").alias("id")).agg(F.count_distinct("target").alias("fan_out"))
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("fan_in", "call_sites", "fan_out")]
-    return symbols.select("id").join(into, "id", "left").join(out, "id", "left").select("id", *zero)
 
 
-def expand_hits(hits: DataFrame, symbols: DataFrame, edge_rows: DataFrame, chunks: DataFrame, k_expand: int = 3, per_callee: int = 2, most: int = 6) -> DataFrame:
+def expand_hits(hits: DataFrame, symbols: DataFrame, calls: DataFrame, chunks: DataFrame, k_expand: int = 3, per_callee: int = 2, most: int = 6) -> DataFrame:
     """Chunks of what the best hits call: ``(place, path, start_line, end_line, symbol, text)``.
 
     ``hits(rank, path, start_line, end_line)``: the first ``k_expand`` are mapped to their innermost symbol; its
@@ -79,11 +137,8 @@ def expand_hits(hits: DataFrame, symbols: DataFrame, edge_rows: DataFrame, chunk
 
     top = hits.where(F.col("rank") <= k_expand).select("rank", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     at = innermost(top, symbols, ["rank"]).select("rank", F.col("symbol_id").alias("caller_id"))
-    called = (
-        at.join(edge_rows.where("caller_id <> target"), "caller_id")
-        .groupBy("rank", "caller_id", "target")
-        .agg(F.min("call_id").alias("call_id"))
-    )
+    pairs = out_of(calls, symbols, at.select(F.col("caller_id").alias("id"))).where("caller_id <> target")
+    called = at.join(pairs, "caller_id").groupBy("rank", "caller_id", "target").agg(F.min("call_id").alias("call_id"))
     named = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("by"))
     spans = (
         called.join(symbols.select(F.col("id").alias("target"), "path", F.col("start_line").alias("start"), F.col("end_line").alias("end")), "target")

@@ -1,43 +1,123 @@
-"""Interval joins over line spans: overlap, innermost, enclosing."""
+"""Interval joins over line spans: overlap, innermost, enclosing.
+
+Lines of a path are cut into bins of 1, 4, 16, … lines. A span is the union of a few whole bins of each level it has room
+for (``cover``); a line lies in one bin of every level (``bins_at``). So a span holds a line if, and only if, one bin of its cover
+is one of the line's, and it starts in a range if one bin of the range's cover is one of its start's. What is asked of a bin
+(its smallest span, its first chunks) is worked out once a bin, by an aggregate with partial results, and then met by
+as many rows a question as there are bins in it: rows grow with spans and questions, each times the logarithm of
+the lines, and never with their pairs, in however large a file.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Highest level of bins; longer spans take several of its bins.
+LEVELS = 10
+
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Whether two spans with inclusive ends share a line."""
     return ~((a_end < b_start) | (a_start > b_end))
 
 
+def bins_at(line: str) -> Column:
+    """The bin of every level that holds a line: ``array<struct<level, bin>>``."""
+    return F.expr(f"transform(sequence(0, {LEVELS}), k -> struct(k AS level, shiftright({line}, 2 * k) AS bin))")
+
+
+def cover(start: str, end: str) -> Column:
+    """The fewest whole bins whose union is the span, none for an empty one.
+
+    Of a level, the bins from l to r that the levels below have left over: those up to the next multiple of four, and those
+    from the last one, are taken, the rest are the next level's.
+    """
+    level = "struct(k AS k, shiftright({s} + shiftleft(1, 2 * k) - 1, 2 * k) AS l, shiftright({e} + 1, 2 * k) AS r)"
+    taken = (
+        "CASE WHEN x.l >= x.r THEN array() "
+        f"WHEN x.k = {LEVELS} OR shiftright(x.l + 3, 2) >= shiftright(x.r, 2) THEN sequence(x.l, x.r - 1) "
+        "ELSE concat(CASE WHEN x.l % 4 = 0 THEN array() ELSE sequence(x.l, shiftleft(shiftright(x.l + 3, 2), 2) - 1) END, "
+        "CASE WHEN x.r % 4 = 0 THEN array() ELSE sequence(shiftleft(shiftright(x.r, 2), 2), x.r - 1) END) END"
+    )
+    # A level is open as long as no level below has taken all.
+    opened = f"filter(transform(sequence(0, {LEVELS}), k -> {level}), x -> x.l < x.r AND (x.k = 0 OR shiftright(shiftright({{s}} + shiftleft(1, 2 * (x.k - 1)) - 1, 2 * (x.k - 1)) + 3, 2) < shiftright(shiftright({{e}} + 1, 2 * (x.k - 1)), 2)))"
+    return F.expr(f"flatten(transform({opened}, x -> transform({taken}, b -> struct(x.k AS level, b AS bin))))".replace("{s}", start).replace("{e}", end))
+
+
+def covers(spans: DataFrame, value: Column, best: Callable[[Column], Column], start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """``(path, level, bin, value)``: the ``best`` value of the spans whose cover has the bin."""
+    rows = spans.select("path", value.alias("value"), F.inline(cover(start, end)))
+    return rows.groupBy("path", "level", "bin").agg(best("value").alias("value"))
+
+
+def starts(spans: DataFrame, value: Column, best: Callable[[Column], Column], start: str = "start_line") -> DataFrame:
+    """``(path, level, bin, value)``: the ``best`` value of the spans that start in the bin."""
+    rows = spans.select("path", value.alias("value"), F.inline(bins_at(start)))
+    return rows.groupBy("path", "level", "bin").agg(best("value").alias("value"))
+
+
+def stabbed(points: DataFrame, bins: DataFrame, at: str) -> DataFrame:
+    """``points`` with the value of every bin of ``covers`` that holds their line ``at``."""
+    return points.select("*", F.inline(bins_at(at))).join(bins, ["path", "level", "bin"]).drop("level", "bin")
+
+
+def begun(ranges: DataFrame, bins: DataFrame, start: str, end: str) -> DataFrame:
+    """``ranges`` with the value of every bin of ``starts`` in the cover of their lines from ``start`` to ``end``."""
+    return ranges.select("*", F.inline(cover(start, end))).join(bins, ["path", "level", "bin"]).drop("level", "bin")
+
+
+def smallest(symbols: DataFrame) -> Column:
+    """What orders symbols around a line: the size, then the place in the file where it is known, then the id."""
+    place = F.col("ordinal").cast("long") if "ordinal" in symbols.columns else F.lit(0).cast("long")
+    return F.struct((F.col("end_line") - F.col("start_line")).alias("size"), place.alias("place"), F.col("id").alias("symbol_id"))
+
+
 def innermost(targets: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """For each row of ``targets(*keys, path, start, end)``, the smallest symbol it overlaps, first id on ties.
+    """For each row of ``targets(*keys, path, start, end)``, the smallest symbol it overlaps, the first on ties.
 
-    Rows: ``(*keys, path, start, end, symbol_id)``; targets that overlap none are left out. The join has the path
-    as an equi key, and the smallest symbol is an aggregate with partial results before its shuffle.
+    Rows: ``(*keys, path, start, end, symbol_id)``; targets that overlap none are left out. A symbol that overlaps a range
+    holds its first line, or starts in what follows.
     """
-    s = symbols.select("path", F.col("id").alias("symbol_id"), "start_line", "end_line")
-    met = targets.join(s, "path").where(overlap(F.col("start_line"), F.col("end_line"), F.col("start"), F.col("end")))
-    size = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "symbol_id")
-    return met.groupBy(*keys, "path", "start", "end").agg(F.min(size).alias("_s")).select(
+    value = smallest(symbols)
+    asked = targets.select(*keys, "path", "start", "end")
+    around = stabbed(asked, covers(symbols, value, F.min), "start")
+    after = begun(asked, starts(symbols, value, F.min), "start + 1", "end")
+    met = around.unionByName(after)
+    return met.groupBy(*keys, "path", "start", "end").agg(F.min("value").alias("_s")).select(
         *keys, "path", "start", "end", F.col("_s.symbol_id").alias("symbol_id")
     )
 
 
 def enclosing(points: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """For each of ``points(*keys, path, at)``, the smallest symbol with ``start_line <= at <= end_line``, or -1."""
-    s = symbols.select("path", F.col("id").alias("symbol_id"), "start_line", "end_line")
-    inside = (F.col("start_line") <= F.col("at")) & (F.col("at") <= F.col("end_line"))
-    size = F.when(inside, F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "symbol_id"))
-    return points.join(s, "path", "left").groupBy(*keys, "path", "at").agg(F.min(size).alias("_s")).select(
+    rows = points.select(*keys, "path", "at")
+    met = stabbed(rows, covers(symbols, smallest(symbols), F.min), "at")
+    found = rows.withColumn("value", F.lit(None).cast(met.schema["value"].dataType)).unionByName(met)
+    return found.groupBy(*keys, "path", "at").agg(F.min("value").alias("_s")).select(
         *keys, "path", "at", F.coalesce("_s.symbol_id", F.lit(-1)).alias("symbol_id")
     )
 
 
 def chunks_in_span(spans: DataFrame, chunks: DataFrame, key: str, limit: int) -> DataFrame:
-    """The first ``limit`` chunks, by start line and chunk_id, that overlap each of ``spans(key, path, start, end)``."""
-    met = spans.join(chunks.withColumnsRenamed({"start_line": "c_start", "end_line": "c_end"}), "path").where(
-        overlap(F.col("c_start"), F.col("c_end"), F.col("start"), F.col("end"))
-    )
+    """The first ``limit`` chunks, by start line, end line and chunk_id, that overlap each of ``spans(key, path, start, end)``.
+
+    A bin keeps its first ``limit`` chunks; attributes are joined to those that remain.
+    """
+    place = F.struct(F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"), "chunk_id")
+    first = lambda v: F.slice(F.array_sort(F.collect_list(v)), 1, limit)
+
+    def of(rows: DataFrame) -> DataFrame:
+        """A bin's first chunks, without its others in one array: ranked, and cut while they are sorted."""
+        order = W.partitionBy("path", "level", "bin").orderBy("value")
+        cut = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+        return cut.groupBy("path", "level", "bin").agg(first("value").alias("value"))
+
+    covered = of(chunks.select("path", place.alias("value"), F.inline(cover("start_line", "end_line"))))
+    started = of(chunks.select("path", place.alias("value"), F.inline(bins_at("start_line"))))
+    met = stabbed(spans, covered, "start").unionByName(begun(spans, started, "start + 1", "end"))
     order = W.partitionBy(key).orderBy("c_start", "c_end", "chunk_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    near = met.select("*", F.inline("value")).drop("value")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return near.join(chunks.drop("path", "start_line", "end_line"), "chunk_id")

@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import is_test_path, looks_like_test
 from ..scratch import stored
+from .graph import reaching
 
 ROWS = "root_id node_key symbol_id qualified path call_line depth uncertain is_test chain".split()
 
 
-def impact(roots: DataFrame, symbols: DataFrame, edge_rows: DataFrame, max_depth: int = 3) -> DataFrame:
+def impact(roots: DataFrame, symbols: DataFrame, calls: DataFrame, max_depth: int = 3) -> DataFrame:
     """Who reaches ``roots(id)``: one row per root and node, at its least depth.
 
     Columns: root_id, node_key ("sym:<id>", or "mod:<path>" for code outside definitions), symbol_id, qualified,
     path, call_line, depth, uncertain, is_test, chain (names from the node down to the root), truncated.
 
-    A level joins the frontier with the reversed edges. Of several ways to a node the one of the least ordinal
+    A level goes from the frontier to its names, and from the names to the ``linked`` calls of them: the pairs of
+    calls and candidates are never written out. Of several ways to a node the one of the least ordinal
     path (edges in the order of call_id and target) wins, which is the one a queue would find first; it fixes
-    depth, parent and chain. A node is uncertain if its edge has several candidates or its parent is uncertain.
+    depth, parent and chain. All ways of a level are equally long, so the least way to a target is kept for each name
+    before calls meet it. A node is uncertain if its call has several candidates or its parent is uncertain.
     The root itself is never reported and module nodes lead nowhere. truncated tells whether the search stopped
-    at max_depth with nodes there. Levels are stored tables, so a level is computed once; the driver only loops
-    over depths and never sees nodes. A hub's edges are joined by key, which adaptive execution may split.
+    at max_depth with nodes there. Calls of one caller to one name are one row, the first. Levels are stored tables, so a
+    level is computed once; the driver only loops over depths and never sees nodes. A hub's calls are joined by key,
+    which adaptive execution may split.
     """
+    first_call = F.min(F.struct("call_id", "line", "candidates")).alias("c")
+    calls = stored(calls.where("candidates > 0").groupBy("caller_id", "callee", "path", "local").agg(first_call).select("caller_id", "callee", "path", "local", "c.*"), "impact-calls")
     ids = roots.select("id").distinct()
     names = symbols.select(F.col("id").alias("root_id"), F.col("qualified").alias("_root"))
     start = ids.select(
@@ -35,24 +41,24 @@ def impact(roots: DataFrame, symbols: DataFrame, edge_rows: DataFrame, max_depth
     frontier = stored(start, "impact-0")
     seen = frontier.select("root_id", "node_key")
     caller = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("_q"), F.col("path").alias("_p"))
+    place = symbols.select(F.col("id").alias("symbol_id"), "name", F.col("path"))
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        up = frontier.where("symbol_id >= 0").select(
-            "root_id", F.col("symbol_id").alias("target"), F.col("uncertain").alias("_u"), F.col("way").alias("_w"), F.col("chain").alias("_c")
-        )
-        met = up.join(edge_rows, "target").withColumn(
+        up = frontier.where("symbol_id >= 0").select("root_id", "symbol_id", "uncertain", "way", "chain").join(place, "symbol_id")
+        met = reaching(calls, up, ["root_id"], F.struct("way", "symbol_id", "uncertain", "chain")).withColumn(
             "node_key",
             F.when(F.col("caller_id") >= 0, F.concat(F.lit("sym:"), F.col("caller_id").cast("string"))).otherwise(
                 F.concat(F.lit("mod:"), "path")
             ),
         )
+        step = F.struct(F.col("call_id").cast("long").alias("c"), F.col("best.symbol_id").cast("long").alias("t"))
         first = F.struct(
-            F.concat("_w", F.array(F.struct(F.col("call_id").cast("long").alias("c"), F.col("target").cast("long").alias("t")))).alias("way"),
+            F.concat("best.way", F.array(step)).alias("way"),
             "caller_id",
             "path",
             "line",
-            (F.col("ambiguous") | F.col("_u")).alias("uncertain"),
-            F.col("_c").alias("chain"),
+            ((F.col("candidates") > 1) | F.col("best.uncertain")).alias("uncertain"),
+            F.col("best.chain").alias("chain"),
         )
         best = met.groupBy("root_id", "node_key").agg(F.min(first).alias("b")).select("root_id", "node_key", "b.*")
         fresh = best.join(seen, ["root_id", "node_key"], "left_anti").join(caller, "caller_id", "left")
@@ -83,6 +89,6 @@ def impact(roots: DataFrame, symbols: DataFrame, edge_rows: DataFrame, max_depth
     return out.join(cut, "root_id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
-def tests_for(roots: DataFrame, symbols: DataFrame, edge_rows: DataFrame, max_depth: int = 4) -> DataFrame:
+def tests_for(roots: DataFrame, symbols: DataFrame, calls: DataFrame, max_depth: int = 4) -> DataFrame:
     """The tests among the nodes of ``impact``; their chains keep the nodes between."""
-    return impact(roots, symbols, edge_rows, max_depth).where("is_test")
+    return impact(roots, symbols, calls, max_depth).where("is_test")

@@ -28,15 +28,31 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.xxhash64("path", "start_line", "end_line", "symbol"))
 
 
+def embedded(chunks: DataFrame, before: DataFrame | None, embedder: Embedder) -> tuple[DataFrame, int]:
+    """``chunks`` with their vectors, and how many were embedded: those whose embedding text is that of a chunk of
+    ``before`` have its vector, since equal texts have equal vectors in one vector space."""
+    text = embedding_text(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("text"))
+    rows = chunks.withColumn("_embed", text)
+    if before is None:
+        fresh = stored(embedder.add(rows, "_embed", "embedding").drop("_embed"), "index-fresh")
+        return fresh, fresh.count()
+    known = before.groupBy(F.sha2(text, 256).alias("_of")).agg(F.first("embedding").alias("embedding"))
+    rows = stored(rows.withColumn("_of", F.sha2("_embed", 256)), "index-rows")
+    kept = rows.join(known, "_of").drop("_embed", "_of")
+    new = stored(embedder.add(rows.join(known.select("_of"), "_of", "left_anti"), "_embed", "embedding").drop("_embed", "_of"), "index-embedded")
+    return stored(kept.select(new.columns).unionByName(new), "index-fresh"), new.count()
+
+
 def build_index(
     spark: SparkSession, repo: str, embedder: Embedder | None = None, full: bool = False, graph: bool = True, progress: Callable[[str], None] = lambda m: None
 ) -> dict[str, int]:
     """Bring the index of ``repo`` up to date; returns counts of files added, changed and deleted, and chunks embedded.
 
-    Only files whose hash differs from the manifest are parsed, once each, chunked, embedded and put into the inverted
-    index; old rows of theirs, and of files that are gone, are left out. A new embedder, or ``full``, starts over. The
-    call graph is made anew from all extracted rows whenever something changed, since a name may resolve anew
-    anywhere. All tables become visible together.
+    Only files whose hash differs from the manifest are parsed, once each, chunked, embedded where a text is new, and put
+    into the inverted index. They make a segment of their own, with tombstones for the earlier rows of changed and
+    deleted files, so what is written follows what has changed and not the size of the index. Ids of symbols and calls
+    depend on their own file alone, and names are resolved when they are asked for, so the graph of other files stays. A
+    new embedder, another layout, or ``full``, starts over. All tables become visible together.
     """
     embedder = embedder or HashEmbedder()
     store = Store(spark, index_dir(repo))
@@ -50,33 +66,30 @@ def build_index(
     status = stored(snapshot_diff(base, manifest), "index-status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     report = {k: counts.get(k, 0) for k in ("added", "changed", "deleted")} | {"embedded": 0}
-    missing = [t for t in ("extracted", "postings", *(("symbols",) if graph else ())) if t not in now.get("tables", {})]
-    if old is not None and not any(report.values()) and not missing:
+    lacking = graph and old is not None and not now.get("graph")
+    if old is not None and not any(report.values()) and not lacking:
         progress("nothing changed")
         return report
-    if missing and missing != ["symbols"]:  # an index of an earlier layout
-        old, status = None, stored(snapshot_diff(manifest.limit(0), manifest), "index-status")
-    changed = files.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
+    touched = status.where("status in ('added', 'changed')").select("path")
+    changed = files.join(touched, "path", "left_semi")
     rows = stored(syntax.extracted(changed), "index-extracted")
     chunks = with_ids(syntax.chunks_of(rows, changed))
-    text = embedding_text(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), F.col("text"))
-    fresh = stored(embedder.add(chunks.withColumn("_embed", text), "_embed", "embedding").drop("_embed"), "index-fresh")
+    gone, stale = None, None
+    if old is not None:
+        paths = status.where("status in ('changed', 'deleted')").select("path")
+        stale = stored(store.require("chunks").join(paths, "path", "left_semi"), "index-stale")
+        gone = {"paths": paths, "chunks": stale}
+    fresh, report["embedded"] = embedded(chunks, stale, embedder)
+    progress(f"{report['embedded']} chunks embedded")
     body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
     postings = stored(lexical.inverted(fresh.withColumn("_body", body), "chunk_id", F.col("_body")), "index-postings")
     fresh = fresh.join(lexical.lengths_of(postings, fresh, "chunk_id"), "chunk_id")
-    report["embedded"] = fresh.count()
-    progress(f"{report['embedded']} chunks embedded")
-    if old is not None:
-        gone = status.where("status in ('changed', 'deleted')").select("path")
-        before = store.require("chunks")
-        dropped = before.join(gone, "path", "left_semi").select("chunk_id")
-        kept = store.require("postings").join(dropped, "chunk_id", "left_anti")
-        postings = kept.select(postings.columns).unionByName(postings)
-        rows = replace_paths(store.require("extracted"), gone, rows)
-        fresh = replace_paths(before, gone, fresh.select(before.columns))
-    tables = {"manifest": manifest, "chunks": fresh, "extracted": rows, "postings": postings}
+    tables = {"manifest": manifest.join(touched, "path", "left_semi"), "chunks": fresh, "extracted": rows, "postings": postings}
+    anew: tuple[str, ...] = ()
     if graph:
+        if lacking:
+            anew, rows = ("symbols", "calls"), replace_paths(store.require("extracted"), gone["paths"], rows)
         tables["symbols"], tables["calls"] = syntax.graph_of(rows)
-    # Written from the published tables, so under new names before the pointer moves.
-    store.publish(tables, embedder.fingerprint(), folders={"postings": "slot"}, order={"postings": ["slot", "term", "chunk_id"]})
+    store.publish(tables, embedder.fingerprint(), gone, anew, graph=graph)
+    store.compact()
     return report

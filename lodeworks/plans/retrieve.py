@@ -64,8 +64,7 @@ def retrieve(
     hits = hits.select(*columns)
     symbols, calls = store.read("symbols"), store.read("calls")
     if expand and symbols is not None and calls is not None:
-        edges = graph.edges(graph.resolve_calls(calls.drop("lang"), symbols))
-        more = graph.expand_hits(hits, symbols, edges, chunks.drop("embedding", "lang", "dl"))
+        more = graph.expand_hits(hits, symbols, graph.linked(calls, symbols), chunks.drop("embedding", "lang", "dl"))
         langs = chunks.select("path", "lang").distinct()
         more = more.join(langs, "path").select(
             (F.col("place") + k).alias("rank"), F.lit(0.0).alias("score"), "path", "lang", "start_line", "end_line", "symbol", "text"

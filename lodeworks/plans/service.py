@@ -42,11 +42,10 @@ class Service:
             return str(e)
         return None
 
-    def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Symbols, resolved calls, and edges."""
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """Symbols, and calls linked to them by name."""
         symbols = self.store.require("symbols")
-        resolved = graph.resolve_calls(self.store.require("calls").drop("lang"), symbols)
-        return symbols, resolved, graph.edges(resolved)
+        return symbols, graph.linked(self.store.require("calls"), symbols)
 
     # Results as DataFrames -------------------------------------------------------
 
@@ -57,34 +56,34 @@ class Service:
         return graph.find(self.store.require("symbols"), name)
 
     def callers(self, name: str) -> DataFrame:
-        symbols, _, edges = self.graph()
-        sites = graph.callers(edges, graph.find(symbols, name))
+        symbols, calls = self.graph()
+        sites = graph.callers(calls, symbols, graph.find(symbols, name))
         by = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("caller"))
         return sites.join(by, "caller_id", "left").withColumn("caller", F.coalesce("caller", F.lit("<module>"))).orderBy("path", "line")
 
     def callees(self, name: str) -> tuple[DataFrame, DataFrame]:
         """Called symbols, and names that no symbol bears."""
-        symbols, resolved, edges = self.graph()
+        symbols, calls = self.graph()
         found = graph.find(symbols, name)
-        inside = symbols.join(graph.callees(edges, found).select(F.col("target").alias("id")).distinct(), "id", "left_semi")
-        return inside.orderBy("path", "start_line"), graph.external_callees(resolved, found).orderBy("callee")
+        inside = symbols.join(graph.callees(calls, symbols, found).select(F.col("target").alias("id")).distinct(), "id", "left_semi")
+        return inside.orderBy("path", "start_line"), graph.external_callees(calls, found).orderBy("callee")
 
     def impact(self, name: str, depth: int = 3) -> DataFrame:
-        symbols, _, edges = self.graph()
-        return traverse.impact(graph.find(symbols, name), symbols, edges, depth)
+        symbols, calls = self.graph()
+        return traverse.impact(graph.find(symbols, name), symbols, calls, depth)
 
     def tests(self, name: str, depth: int = 4) -> DataFrame:
-        symbols, _, edges = self.graph()
-        return traverse.tests_for(graph.find(symbols, name), symbols, edges, depth)
+        symbols, calls = self.graph()
+        return traverse.tests_for(graph.find(symbols, name), symbols, calls, depth)
 
     def diff_impact(self, rev: str | None = None, staged: bool = False, depth: int = 3) -> dict[str, DataFrame]:
         """What a diff reaches: changed, stale, unmapped, symbols, nodes and tests. Stale files make the rest doubtful."""
         changed = git.changes(self.spark, self.repo, rev, staged)
-        symbols, _, edges = self.graph()
+        symbols, calls = self.graph()
         indexable = changed.where(language(F.col("path")).isNotNull())
         disk = source_files(self.spark, self.repo, with_content=False).select("path", "hash")
         hit = diff.changed_symbols(changed, symbols)
-        nodes = traverse.impact(hit, symbols, edges, depth)
+        nodes = traverse.impact(hit, symbols, calls, depth)
         return {
             "changed": changed,
             "stale": diff.stale_files(indexable, disk, self.store.require("manifest")),

@@ -1,17 +1,39 @@
-"""Snapshots of an index: Parquet tables in a folder of their own, published by numbered pointer files."""
+"""An index as immutable segments of Parquet tables, published by numbered pointer files.
+
+A refresh adds one segment: the rows of the files it read, and tombstones for the files whose earlier rows no longer hold.
+Nothing written before is touched, so what a refresh writes is in proportion to what has changed. Readers see the union
+of all segments less what a later segment has tombstoned. Segments of one size are merged into one of the next, so a row
+is rewritten once a tier, and a read unites as many segments as there are tiers, times the fan-out.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .files import read_text
 
 TABLES = ("manifest", "chunks", "extracted", "postings", "symbols", "calls")
+#: Tables whose rows belong to a chunk; those of the others belong to a path.
+BY_CHUNK = {"postings"}
+#: How the rows of a table are ordered in a segment, where not by path.
+ORDER = {"postings": ["slot", "term", "chunk_id"]}
+#: Large segments lay a table out in folders of this column.
+FOLDERS = {"postings": "slot"}
+#: Rows of a table from which on a segment has folders.
+FOLDER_ROWS = 200_000
+#: So many segments of a tier, or smaller, are merged; a tier is this many times the one before.
+FAN_OUT = 8
+#: Bytes of the smallest tier.
+LEAST_TIER = 1 << 20
 #: Pointer files are numbered; the highest number is what is published.
 POINTER = "CURRENT-"
+#: Of what is written; an index of another layout is built anew.
+LAYOUT = 3
 
 
 class NotIndexed(RuntimeError):
@@ -35,10 +57,30 @@ def _write_new(spark: SparkSession, path: str, text: str) -> None:
         raise RuntimeError(f"{path} was published by someone else meanwhile")
 
 
+def tier(size: int) -> int:
+    return 0 if size <= LEAST_TIER else 1 + int(math.log(size / LEAST_TIER, FAN_OUT))
+
+
+def to_merge(sizes: list[int]) -> int:
+    """How many of the newest segments to merge: as soon as FAN_OUT of one tier follow the last larger one, these and the
+    smaller ones after them."""
+    for t in sorted({tier(s) for s in sizes}):
+        run = equal = 0
+        for s in reversed(sizes):
+            if tier(s) > t:
+                break
+            run, equal = run + 1, equal + (tier(s) == t)
+        if equal >= FAN_OUT:
+            return run
+    return 0
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    # Pointers ------------------------------------------------------------------
+
     def _pointers(self) -> list[tuple[int, str]]:
         """Numbered pointer files, the newest first."""
         fs, p = _fs(self.spark, self.root)
@@ -55,9 +97,33 @@ class Store:
                 continue
         return {}
 
+    def segments(self) -> list[dict]:
+        """Published segments, the oldest first: folder, bytes, tables with their rows, tombstones."""
+        now = self.pointer()
+        return now.get("segments", []) if now.get("layout") == LAYOUT else []
+
+    # Reading -------------------------------------------------------------------
+
+    def _table(self, segment: dict, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{segment['folder']}/{table}")
+
+    def _live(self, segments: list[dict], table: str) -> DataFrame | None:
+        """Rows of a table in ``segments`` that no later one of them has tombstoned."""
+        key, tombs = ("chunk_id", "gone_chunks") if table in BY_CHUNK else ("path", "gone_paths")
+        parts = [self._table(s, table).withColumn("_segment", F.lit(i)) for i, s in enumerate(segments) if table in s["tables"]]
+        if not parts:
+            return None
+        rows = reduce(lambda a, b: a.unionByName(b), parts)
+        first = next(i for i, s in enumerate(segments) if table in s["tables"])
+        dead = [self._table(s, tombs).withColumn("_until", F.lit(i)) for i, s in enumerate(segments) if i > first and s["tables"].get(tombs)]
+        if not dead:
+            return rows.drop("_segment")
+        until = reduce(lambda a, b: a.unionByName(b), dead).groupBy(key).agg(F.max("_until").alias("_until"))
+        kept = rows.join(until, key, "left").where(F.col("_until").isNull() | (F.col("_segment") >= F.col("_until")))
+        return kept.select([c for c in rows.columns if c != "_segment"])
+
     def read(self, table: str) -> DataFrame | None:
-        where = self.pointer().get("tables", {}).get(table)
-        return self.spark.read.parquet(f"{self.root}/{where}") if where else None
+        return self._live(self.segments(), table)
 
     def require(self, table: str) -> DataFrame:
         found = self.read(table)
@@ -65,30 +131,74 @@ class Store:
             raise NotIndexed(f"no {table} in {self.root}: build the index first")
         return found
 
-    def publish(
-        self, tables: dict[str, DataFrame], fingerprint: str, folders: dict[str, str] | None = None, order: dict[str, list[str]] | None = None
-    ) -> None:
-        """Write all tables under new names, then a pointer of the next number; tables not given stay as published.
+    # Writing -------------------------------------------------------------------
 
-        The pointer is never overwritten, so a reader finds the old state or the new one. The state before stays for
-        those who read it still; older ones are deleted. ``folders``: the column by which a table is dealt into folders.
-        """
-        numbered, now, stamp = self._pointers(), self.pointer(), uuid.uuid4().hex
-        placed = dict(now.get("tables", {}))
+    def _write(self, tables: dict[str, DataFrame], rows: int) -> dict:
+        """A segment of ``tables``, which is nothing until a pointer names it."""
+        folder, counts = f"segment-{uuid.uuid4().hex}", None
         for name, df in tables.items():
-            by = (order or {}).get(name, ["path"] if "path" in df.columns else [])
-            folder = (folders or {}).get(name)
-            # Ranges of the whole order, so that neither a folder nor a frequent key is one task's.
-            ordered = (df.repartitionByRange(*by) if folder else df).sortWithinPartitions(*by) if by else df
-            writer = ordered.write.partitionBy(folder) if folder else ordered.write
-            writer.parquet(f"{self.root}/{name}-{stamp}")
-            placed[name] = f"{name}-{stamp}"
+            by = ORDER.get(name, [c for c in ("path", "chunk_id") if c in df.columns][:1])
+            path = f"{self.root}/{folder}/{name}"
+            if rows < FOLDER_ROWS:
+                # A small segment: a file a table, sorted, so that row groups tell what they hold.
+                df.coalesce(1).sortWithinPartitions(*by).write.parquet(path)
+            elif name in FOLDERS:
+                # Ranges of the whole order, so that neither a folder nor a frequent key is one task's.
+                df.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(FOLDERS[name]).parquet(path)
+            else:
+                df.sortWithinPartitions(*by).write.parquet(path)
+            counted = self.spark.read.parquet(path).agg(F.lit(name).alias("t"), F.count("*").alias("n"))
+            counts = counted if counts is None else counts.unionByName(counted)
+        fs, p = _fs(self.spark, f"{self.root}/{folder}")
+        return {"folder": folder, "bytes": int(fs.getContentSummary(p).getLength()), "tables": {r["t"]: r["n"] for r in counts.collect()}}
+
+    def _publish(self, segments: list[dict], facts: dict) -> None:
+        """Write a pointer of the next number. It is never overwritten, so a reader finds the old state or the new one. The
+        state before stays for those who read it still; folders that only older ones name are deleted."""
+        numbered, now = self._pointers(), self.pointer()
+        folders = lambda p: {s["folder"] for s in p.get("segments", [])} | {*p.get("tables", {}).values()}
+        was = folders(now)
         number = numbered[0][0] + 1 if numbered else 1
-        _write_new(self.spark, f"{self.root}/{POINTER}{number:08d}", json.dumps({"fingerprint": fingerprint, "tables": placed, "before": now.get("tables", {})}))
-        held = {*placed.values(), *now.get("tables", {}).values()}
-        for name in {*now.get("before", {}).values()} - held:
+        told = facts | {"layout": LAYOUT, "segments": segments, "before": sorted(was)}
+        _write_new(self.spark, f"{self.root}/{POINTER}{number:08d}", json.dumps(told))
+        before = now.get("before", [])
+        for name in {*(before.values() if isinstance(before, dict) else before)} - folders(told) - was:
             fs, p = _fs(self.spark, f"{self.root}/{name}")
             fs.delete(p, True)
         for _, name in numbered[1:]:
             fs, p = _fs(self.spark, f"{self.root}/{name}")
             fs.delete(p, False)
+
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str, gone: dict[str, DataFrame] | None = None, anew: tuple[str, ...] = (), **facts) -> dict:
+        """Add a segment of ``tables``, with the tombstones ``gone(paths, chunks)`` for what earlier segments hold; without
+        ``gone`` it is all there is. Tables of ``anew`` are dropped from the earlier segments. Returns the segment."""
+        segments = [] if gone is None else [s | {"tables": {t: n for t, n in s["tables"].items() if t not in anew}} for s in self.segments()]
+        if gone is not None:
+            tables = tables | {"gone_paths": gone["paths"].select("path").distinct(), "gone_chunks": gone["chunks"].select("chunk_id").distinct()}
+        rows = tables["postings"].count() if "postings" in tables else 0
+        added = self._write(tables, rows)
+        self._publish([*segments, added], facts | {"fingerprint": fingerprint})
+        return added
+
+    def compact(self, everything: bool = False) -> int:
+        """Merge the newest segments while a tier is full, or all of them if more than half of the chunks are tombstoned;
+        returns how many segments were merged. Tombstones stay as long as there are older segments they speak of."""
+        merged = 0
+        while True:
+            segments, now = self.segments(), self.pointer()
+            dead = sum(s["tables"].get("gone_chunks", 0) for s in segments)
+            chunks = sum(s["tables"].get("chunks", 0) for s in segments)
+            n = len(segments) if (everything or 2 * dead > chunks) and len(segments) > 1 else to_merge([s["bytes"] for s in segments])
+            if not n:
+                return merged
+            older, newest = segments[:-n], segments[-n:]
+            tables = {t: rows for t in TABLES if (rows := self._live(newest, t)) is not None}
+            if older:
+                for name, key in (("gone_paths", "path"), ("gone_chunks", "chunk_id")):
+                    parts = [self._table(s, name) for s in newest if name in s["tables"]]
+                    tables[name] = reduce(lambda a, b: a.unionByName(b), parts).select(key).distinct()
+            one = self._write(tables, sum(s["tables"].get("postings", 0) for s in newest))
+            facts = {k: v for k, v in now.items() if k not in ("layout", "segments", "before", "tables")}
+            self._publish([*older, one], facts)
+            merged += n
+            everything = False

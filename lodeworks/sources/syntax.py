@@ -11,7 +11,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.chunking import MAX_LINES, OVERLAP, WINDOW, heuristic_chunks
 from ..scratch import stored
@@ -190,24 +190,17 @@ def symbols_and_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols with dense ids in a fixed order of files and places, and the calls of ``operators.graph``, from
-    extracted ``rows``.
+    """Symbols and calls of ``operators.graph`` from extracted ``rows``.
 
-    An id is the number of definitions in earlier files plus the place in its own. Files are ordered by the MD5 of
-    their path: running totals over 4,096 cells of it, then within each cell, so no task orders all files.
+    An id is a hash of the path and the place in the file, so it is told by the file alone: other files may come and go,
+    and nothing is numbered across them. ``ordinal`` keeps the order within the file.
     """
-    from pyspark.sql import Window as W
-
-    defs = definitions(rows)
-    per_file = defs.groupBy("path").agg(F.count("*").alias("n")).withColumn("cell", F.substring(F.md5("path"), 1, 3))
-    cells = per_file.groupBy("cell").agg(F.sum("n").alias("in_cell"))
-    starts = cells.select("cell", (F.sum("in_cell").over(W.orderBy("cell")) - F.col("in_cell")).alias("start"))
-    inside = W.partitionBy("cell").orderBy(F.md5("path"), "path")
-    before = per_file.join(F.broadcast(starts), "cell").select(
-        "path", (F.col("start") + F.sum("n").over(inside) - F.col("n")).alias("base")
-    )
-    symbols = defs.join(before, "path").select(
-        (F.col("base") + F.col("ordinal")).alias("id"),
+
+    def symbol_id(ordinal: Column) -> Column:
+        return F.xxhash64("path", ordinal.cast("int")).bitwiseAND(F.lit((1 << 63) - 1))
+
+    symbols = definitions(rows).select(
+        symbol_id(F.col("ordinal")).alias("id"),
         F.element_at(F.split("qualified", "\\."), -1).alias("name"),
         "qualified",
         "kind",
@@ -215,10 +208,11 @@ def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "start_line",
         "end_line",
         "lang",
+        "ordinal",
     )
-    calls = call_sites(rows).join(before, "path", "left").select(
+    calls = call_sites(rows).select(
         F.xxhash64("path", "ordinal").alias("call_id"),
-        F.when(F.col("caller") >= 0, F.col("base") + F.col("caller")).otherwise(-1).cast("long").alias("caller_id"),
+        F.when(F.col("caller") >= 0, symbol_id(F.col("caller"))).otherwise(-1).cast("long").alias("caller_id"),
         "callee",
         "path",
         "line",

@@ -1,7 +1,9 @@
 import random
 from collections import deque
 
-from lodeworks.operators import budget, diff, graph, snapshot, traverse
+from pyspark.sql import functions as F
+
+from lodeworks.operators import budget, diff, graph, snapshot, spans, traverse
 
 SYMBOLS = "id long, name string, qualified string, kind string, path string, start_line int, end_line int"
 CALLS = "call_id long, caller_id long, callee string, path string, line int"
@@ -45,7 +47,7 @@ def test_impact_is_a_breadth_first_search(spark):
         assert {r.call_id: r.resolved for r in resolved.collect()} == {k: ids for k, _, _, ids in plain}
         edges = sorted((k, caller, path, t, len(ids) > 1) for k, caller, path, ids in plain for t in ids)
         roots, depth = [0, n - 1], rng.randrange(1, 5)
-        found = traverse.impact(spark.createDataFrame([(r,) for r in roots], "id long"), s, graph.edges(resolved), depth).collect()
+        found = traverse.impact(spark.createDataFrame([(r,) for r in roots], "id long"), s, graph.linked(c, s), depth).collect()
         for root in set(roots):
             want, cut = plain_impact([x[2] for x in symbols], [(k, c_, p, t, a) for k, c_, p, t, a in edges], root, depth)
             got = sorted((r.node_key, r.depth, r.uncertain, r.chain) for r in found if r.root_id == root)
@@ -66,7 +68,7 @@ def small(spark):
     calls = [(0, 2, "mint", "svc.py", 5), (1, 3, "enter", "api.py", 2), (2, 4, "serve", "tests/test_api.py", 2), (3, 3, "print", "api.py", 3), (4, -1, "serve", "main.py", 1), (5, 3, "save", "api.py", 4), (6, 5, "save", "a.py", 2)]
     s, c = spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(calls, CALLS)
     r = graph.resolve_calls(c, s)
-    return s, r, graph.edges(r)
+    return s, r, graph.linked(c, s)
 
 
 def test_lookups(spark):
@@ -74,9 +76,9 @@ def test_lookups(spark):
     assert {x.id: x.resolved for x in r.select("call_id", "resolved").withColumnRenamed("call_id", "id").collect()} == {0: [0], 1: [2], 2: [3], 3: [], 4: [3], 5: [5, 6], 6: [5]}
     assert [x.id for x in graph.find(s, "enter").collect()] == [2] == [x.id for x in graph.find(s, "Login.enter").collect()]
     assert sorted(x.id for x in graph.find(s, "save").collect()) == [5, 6]
-    assert [(x.caller_id, x.path, x.line) for x in graph.callers(e, graph.find(s, "mint")).collect()] == [(2, "svc.py", 5)]
-    assert sorted(x.target for x in graph.callees(e, graph.find(s, "serve")).collect()) == [2, 5, 6]
-    assert [x.callee for x in graph.external_callees(r, graph.find(s, "serve")).collect()] == ["print"]
+    assert [(x.caller_id, x.path, x.line) for x in graph.callers(e, s, graph.find(s, "mint")).collect()] == [(2, "svc.py", 5)]
+    assert sorted(x.target for x in graph.callees(e, s, graph.find(s, "serve")).collect()) == [2, 5, 6]
+    assert [x.callee for x in graph.external_callees(e, graph.find(s, "serve")).collect()] == ["print"]
     deg = {x.id: (x.fan_in, x.call_sites, x.fan_out) for x in graph.degrees(s, e).collect()}
     assert deg[3] == (2, 2, 3) and deg[0] == (1, 1, 0) and deg[5] == (2, 2, 1)
     tests = traverse.tests_for(graph.find(s, "mint"), s, e).collect()
@@ -87,6 +89,37 @@ def test_lookups(spark):
     assert traverse.impact(graph.find(s, "Login"), s, e, 3).count() == 0
 
 
+def test_linked_calls_are_the_pairs(spark):
+    """Callers, callees, degrees and sites over linked calls are those of the pairs written out, and no pair is made."""
+    rng = random.Random(11)
+    symbols = [(i, f"s{rng.randrange(6)}", f"q{i}", "callable", f"p{rng.randrange(4)}", 1, 2) for i in range(40)]
+    calls = [(k, c, f"s{rng.randrange(8)}", f"p{rng.randrange(5)}" if c < 0 else symbols[c][4], k) for k in range(200) for c in [rng.randrange(-4, 40) if rng.random() < 0.9 else -1]]
+    calls = [(k, max(c, -1), n, p, line) for k, c, n, p, line in calls]
+    s, c = spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(calls, CALLS)
+    links = graph.linked(c, s)
+    pairs = [r for r in graph.edges(graph.resolve_calls(c, s)).collect()]
+    assert links.count() == len(calls) < len(pairs)
+    for root in (0, 17):
+        one = spark.createDataFrame([(root,)], "id long")
+        assert {(x.caller_id, x.path, x.line, x.target) for x in graph.callers(links, s, one).collect()} == {(e.caller_id, e.path, e.line, root) for e in pairs if e.target == root}
+        assert {x.target for x in graph.callees(links, s, one).collect()} == {e.target for e in pairs if e.caller_id == root}
+    for x in graph.degrees(s, links).collect():
+        into = [e for e in pairs if e.target == x.id]
+        assert (x.fan_in, x.call_sites) == (len({e.caller_id for e in into}), len(into))
+        assert x.fan_out == len({e.target for e in pairs if e.caller_id == x.id})
+
+
+def test_a_common_name_makes_no_pairs(spark):
+    """3,000 calls of a name with 2,000 symbols: the search moves rows in proportion to the calls and symbols."""
+    s = spark.range(2000).select("id", F.lit("get").alias("name"), F.concat(F.lit("q"), "id").alias("qualified"), F.lit("callable").alias("kind"), F.concat(F.lit("p"), "id").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    c = spark.range(3000).select(F.col("id").alias("call_id"), (F.col("id") % 2000).alias("caller_id"), F.lit("get").alias("callee"), F.concat(F.lit("x"), F.col("id") % 50).alias("path"), F.lit(1).alias("line"))
+    links = graph.linked(c, s).cache()
+    met = graph.reaching(links, s, [], F.col("id"))
+    assert met.count() == 3000
+    found = traverse.impact(s.where("id < 30").select("id"), s, links, 2)
+    assert found.groupBy("root_id").count().where("count <> 1999").isEmpty() and found.where("not uncertain").isEmpty()
+
+
 def test_diff_parsing_and_mapping(spark):
     s, _, _ = small(spark)
     text = "diff --git a/svc.py b/svc.py\n--- a/svc.py\n+++ b/svc.py\n@@ -4 +4,2 @@ class\n+x\n+y\n@@ -9,2 +10,0 @@\n-z\ndiff --git a/conf.ini b/conf.ini\n+++ b/conf.ini\n@@ -1 +1 @@\n+@@ -1 +1 @@ not a header\ndiff --git a/gone b/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
@@ -118,3 +151,49 @@ def test_budget(spark):
     got = budget.blocks(df, 10, context_chars=3000).orderBy("rank").collect()
     assert [r.shown for r in got] == [True, True, False, False]
     assert budget.context(df).first()[0].startswith("--- f1.py:1-9 (s)  [score=1.000] ---\nxxx")
+
+
+def random_spans(rng, n, paths=3, deep=400):
+    out = []
+    for i in range(n):
+        a = rng.randrange(1, deep)
+        out.append((i, f"n{i}", f"q{i}", "callable", f"p{rng.randrange(paths)}", a, a + rng.choice([0, 0, 1, 3, 10, 70, 400, 5000])))
+    return out
+
+
+def test_interval_joins_against_every_pair(spark):
+    rng = random.Random(5)
+    rows = random_spans(rng, 250)
+    s = spark.createDataFrame(rows, SYMBOLS)
+    asked = [(i, f"p{rng.randrange(4)}", a, a + rng.choice([0, 0, 2, 16, 300])) for i in range(120) for a in [rng.randrange(1, 6000 if i % 9 == 0 else 420)]]
+    asked += [(500, "p0", 3_000_000, 3_000_001), (501, "p1", 1, 5_000_000)]
+    t = spark.createDataFrame(asked, "k int, path string, start int, end int")
+    over = {k: [r for r in rows if r[4] == p and not (r[6] < a or r[5] > b)] for k, p, a, b in asked}
+    want = {k: min((r[6] - r[5], r[0]) for r in v)[1] for k, v in over.items() if v}
+    assert {r.k: r.symbol_id for r in spans.innermost(t, s, ["k"]).collect()} == want
+    points = t.select("k", "path", F.col("start").alias("at"))
+    inside = {k: min(((r[6] - r[5], r[0]) for r in rows if r[4] == p and r[5] <= a <= r[6]), default=(0, -1))[1] for k, p, a, _ in asked}
+    assert {r.k: r.symbol_id for r in spans.enclosing(points, s, ["k"]).collect()} == inside
+    chunks = s.select(F.col("id").alias("chunk_id"), "path", "start_line", "end_line", F.col("name").alias("text"))
+    first = {(k, n + 1): (r[0], r[1]) for k, v in over.items() for n, r in enumerate(sorted(v, key=lambda r: (r[5], r[6], r[0]))[:3])}
+    assert {(r.k, r.rank): (r.chunk_id, r.text) for r in spans.chunks_in_span(t, chunks, "k", 3).collect()} == first
+    # Equal sizes in one file: the first of the file, where its order is given.
+    twins = spark.createDataFrame([(9, "p", 1, 2, 0), (4, "p", 1, 2, 1)], "id long, path string, start_line int, end_line int, ordinal int")
+    one = spark.createDataFrame([(1, "p", 2, 2)], "k int, path string, start int, end int")
+    assert spans.innermost(one, twins, ["k"]).first().symbol_id == 9 and spans.innermost(one, twins.drop("ordinal"), ["k"]).first().symbol_id == 4
+
+
+def test_joined_rows_stay_linear_in_one_large_file(spark):
+    """100,000 symbols of one path, half of them around every point: rows that meet grow with the points, not with the pairs."""
+    n, m = 100_000, 5_000
+    wide = F.col("id") % 2 == 0
+    s = spark.range(n).select(
+        "id", F.lit("p").alias("path"), F.when(wide, 1 + F.col("id") % 999).otherwise(F.col("id") * 3).cast("int").alias("start_line"),
+        F.when(wide, 400_000 + F.col("id") % 777).otherwise(F.col("id") * 3 + 2).cast("int").alias("end_line"),
+    )
+    points = spark.range(m).select(F.col("id").alias("k"), F.lit("p").alias("path"), (F.col("id") * 59 + 1000).cast("int").alias("at"))
+    assert spans.enclosing(points, s, ["k"]).where("symbol_id < 0").isEmpty()
+    met = spans.stabbed(points.select("k", "path", "at"), spans.covers(s, spans.smallest(s), F.min), "at")
+    assert met.count() <= m * (spans.LEVELS + 1)
+    ranges = points.select("k", "path", F.col("at").alias("start"), (F.col("at") + 40).alias("end"))
+    assert spans.innermost(ranges, s, ["k"]).count() == m
