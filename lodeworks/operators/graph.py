@@ -77,6 +77,8 @@ def callers(calls: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFra
     """Call sites of ``targets(id)`` among linked ``calls``: ``(caller_id, path, line, target)``, each site once, with its
     first target."""
     wanted = symbols.join(targets.select("id").distinct(), "id", "left_semi")
+    # Of all calls, those of the wanted names are linked.
+    calls = calls.join(wanted.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
     met = reaching(calls, wanted, [], F.col("id"))
     return met.groupBy("caller_id", "path", "line").agg(F.min("best").alias("target"))
 

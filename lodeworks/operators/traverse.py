@@ -23,14 +23,13 @@ def impact(roots: DataFrame, symbols: DataFrame, calls: DataFrame, max_depth: in
     depth, parent and chain. All ways of a level are equally long, so the least way to a target is kept for each name
     before calls meet it. A node is uncertain if its call has several candidates or its parent is uncertain.
     The root itself is never reported and module nodes lead nowhere. truncated tells whether the search stopped
-    at max_depth with nodes there. Calls of one caller to one name are one row, the first. Levels are stored tables, so a
-    level is computed once; the driver only loops over depths and never sees nodes. A hub's calls are joined by key,
+    at max_depth with nodes there. Levels are stored tables, so a level is
+    computed once; the driver only loops over depths and never sees nodes. A hub's calls are joined by key,
     which adaptive execution may split.
     """
-    first_call = F.min(F.struct("call_id", "line", "candidates")).alias("c")
-    calls = stored(calls.where("candidates > 0").groupBy("caller_id", "callee", "path", "local").agg(first_call).select("caller_id", "callee", "path", "local", "c.*"), "impact-calls")
+    calls = stored(calls.where("candidates > 0"), "impact-calls")
     ids = roots.select("id").distinct()
-    names = symbols.select(F.col("id").alias("root_id"), F.col("qualified").alias("_root"))
+    names = symbols.select(F.col("id").alias("root_id"), F.col("qualified").alias("_root"), "name", "path")
     start = ids.select(
         F.col("id").alias("root_id"),
         F.concat(F.lit("sym:"), F.col("id").cast("string")).alias("node_key"),
@@ -40,11 +39,10 @@ def impact(roots: DataFrame, symbols: DataFrame, calls: DataFrame, max_depth: in
     ).join(names, "root_id").withColumn("chain", F.array("_root")).drop("_root")
     frontier = stored(start, "impact-0")
     seen = frontier.select("root_id", "node_key")
-    caller = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("_q"), F.col("path").alias("_p"))
-    place = symbols.select(F.col("id").alias("symbol_id"), "name", F.col("path"))
+    caller = symbols.select(F.col("id").alias("caller_id"), F.col("qualified").alias("_q"), F.col("path").alias("_p"), "name")
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        up = frontier.where("symbol_id >= 0").select("root_id", "symbol_id", "uncertain", "way", "chain").join(place, "symbol_id")
+        up = frontier.where("symbol_id >= 0").select("root_id", "symbol_id", "name", "path", "uncertain", "way", "chain")
         met = reaching(calls, up, ["root_id"], F.struct("way", "symbol_id", "uncertain", "chain")).withColumn(
             "node_key",
             F.when(F.col("caller_id") >= 0, F.concat(F.lit("sym:"), F.col("caller_id").cast("string"))).otherwise(
@@ -67,6 +65,7 @@ def impact(roots: DataFrame, symbols: DataFrame, calls: DataFrame, max_depth: in
         level = fresh.select(
             "root_id",
             "node_key",
+            "name",
             F.when(F.col("caller_id") >= 0, F.col("caller_id")).otherwise(-1).cast("long").alias("symbol_id"),
             qualified.alias("qualified"),
             path.alias("path"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +13,16 @@ from ..operators import lexical
 from ..operators.snapshot import replace_paths, snapshot_diff
 from ..scratch import stored
 from ..sources import syntax
-from ..sources.files import INDEX_DIR, source_files
+from ..sources.files import INDEX_DIR, listed_files, named_files, source_files
 from ..sources.store import Store
 
 
+#: Files named one by one, at most, when they are read again.
+NAMED = 10_000
+#: Microseconds that a file's last change must lie before it was read, for its length and time to vouch for it.
+SETTLED = 1_500_000
+
+
 class NoSources(RuntimeError):
     """The tree has nothing to index."""
 
@@ -28,6 +35,30 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.xxhash64("path", "start_line", "end_line", "symbol"))
 
 
+def _manifest(spark: SparkSession, repo: str, listed: DataFrame, old: DataFrame | None, seen: int) -> tuple[DataFrame, DataFrame]:
+    """``(path, hash, size, modified, seen)`` of the files that have to be read, and their rows with content: all of them
+    without an old manifest, else those that the listing does not vouch for."""
+    if old is None:
+        files = source_files(spark, repo)
+        suspects = listed
+    else:
+        was = old.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("seen").alias("_seen"))
+        same = F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")) & (F.col("modified") < F.col("_seen") - SETTLED)
+        suspects = stored(listed.join(was, "path", "left").where(~F.coalesce(same, F.lit(False))).select(listed.columns), "index-suspects")
+        names = [r["path"] for r in suspects.select("path").limit(NAMED + 1).collect()]
+        # So many that they are cheaper to pick from the tree than to name one by one.
+        files = named_files(spark, repo, names) if len(names) <= NAMED else source_files(spark, repo).join(suspects, "path", "left_semi")
+    read = stored(files.select("path", "hash"), "index-hashes")
+    return stored(read.join(suspects, "path").select("path", "hash", "size", "modified", F.lit(seen).alias("seen")), "index-manifest"), files
+
+
+def _status(old: DataFrame, listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(path, status)`` of files that were read, and of those that are gone."""
+    gone = old.join(listed, "path", "left_anti")
+    known = old.join(manifest, "path", "left_semi").unionByName(gone)
+    return snapshot_diff(known, manifest)
+
+
 def embedded(chunks: DataFrame, before: DataFrame | None, embedder: Embedder) -> tuple[DataFrame, int]:
     """``chunks`` with their vectors, and how many were embedded: those whose embedding text is that of a chunk of
     ``before`` have its vector, since equal texts have equal vectors in one vector space."""
@@ -48,43 +79,47 @@ def build_index(
 ) -> dict[str, int]:
     """Bring the index of ``repo`` up to date; returns counts of files added, changed and deleted, and chunks embedded.
 
-    Only files whose hash differs from the manifest are parsed, once each, chunked, embedded where a text is new, and put
+    The listing is compared to the manifest first: a file whose length and time of change are those of when it was read,
+    and whose time lay safely before that, is not opened again. Only files whose hash differs are parsed, once each, chunked, embedded where a text is new, and put
     into the inverted index. They make a segment of their own, with tombstones for the earlier rows of changed and
     deleted files, so what is written follows what has changed and not the size of the index. Ids of symbols and calls
     depend on their own file alone, and names are resolved when they are asked for, so the graph of other files stays. A
     new embedder, another layout, or ``full``, starts over. All tables become visible together.
     """
     embedder = embedder or HashEmbedder()
-    store = Store(spark, index_dir(repo))
-    files = source_files(spark, repo)
-    manifest = stored(files.select("path", "hash"), "index-manifest")
-    if manifest.isEmpty():
+    store, seen = Store(spark, index_dir(repo)), time.time_ns() // 1000
+    listed = stored(listed_files(spark, repo), "index-listed")
+    if listed.isEmpty():
         raise NoSources(f"no source files in {repo}")
     now = store.pointer()
     old = None if full or now.get("fingerprint") != embedder.fingerprint() else store.read("manifest")
+    manifest, files = _manifest(spark, repo, listed, old, seen)
     base = old if old is not None else manifest.limit(0)
-    status = stored(snapshot_diff(base, manifest), "index-status")
+    status = stored(_status(base, listed, manifest), "index-status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     report = {k: counts.get(k, 0) for k in ("added", "changed", "deleted")} | {"embedded": 0}
     lacking = graph and old is not None and not now.get("graph")
     if old is not None and not any(report.values()) and not lacking:
+        if counts.get("unchanged"):
+            # Read, and found as it was: from now on its new length and time tell that.
+            store.publish({"manifest": manifest}, embedder.fingerprint(), {"stats": manifest}, graph=now.get("graph"))
+            store.compact()
         progress("nothing changed")
         return report
-    touched = status.where("status in ('added', 'changed')").select("path")
-    changed = files.join(touched, "path", "left_semi")
+    changed = files.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
     rows = stored(syntax.extracted(changed), "index-extracted")
     chunks = with_ids(syntax.chunks_of(rows, changed))
     gone, stale = None, None
     if old is not None:
         paths = status.where("status in ('changed', 'deleted')").select("path")
         stale = stored(store.require("chunks").join(paths, "path", "left_semi"), "index-stale")
-        gone = {"paths": paths, "chunks": stale}
+        gone = {"paths": paths, "chunks": stale, "stats": status.select("path")}
     fresh, report["embedded"] = embedded(chunks, stale, embedder)
     progress(f"{report['embedded']} chunks embedded")
     body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
     postings = stored(lexical.inverted(fresh.withColumn("_body", body), "chunk_id", F.col("_body")), "index-postings")
     fresh = fresh.join(lexical.lengths_of(postings, fresh, "chunk_id"), "chunk_id")
-    tables = {"manifest": manifest.join(touched, "path", "left_semi"), "chunks": fresh, "extracted": rows, "postings": postings}
+    tables = {"manifest": manifest, "chunks": fresh, "extracted": rows, "postings": postings}
     anew: tuple[str, ...] = ()
     if graph:
         if lacking:

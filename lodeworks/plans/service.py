@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.models import Embedder
 from ..operators import budget, diff, graph, traverse
 from ..sources import git
-from ..sources.files import language, source_files
+from ..sources.files import language, named_files
 from ..sources.store import Store
 from .index import NoSources, build_index, index_dir
 from .retrieve import retrieve
@@ -81,7 +81,8 @@ class Service:
         changed = git.changes(self.spark, self.repo, rev, staged)
         symbols, calls = self.graph()
         indexable = changed.where(language(F.col("path")).isNotNull())
-        disk = source_files(self.spark, self.repo, with_content=False).select("path", "hash")
+        # A diff's files are named by the driver already.
+        disk = named_files(self.spark, self.repo, [r["path"] for r in indexable.select("path").distinct().collect()]).select("path", "hash")
         hit = diff.changed_symbols(changed, symbols)
         nodes = traverse.impact(hit, symbols, calls, depth)
         return {

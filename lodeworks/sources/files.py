@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -120,21 +120,9 @@ def read_ignore(spark: SparkSession, root: str) -> list[str]:
     return ignore_patterns(read_text(spark, f"{root.rstrip('/')}/{IGNORE_FILE}") or "")
 
 
-def _set_apart(spark: SparkSession, base: str) -> DataFrame | None:
-    """``(path, length, content)`` of the source files whose path has a part that begins with "_" or ".".
-
-    Spark's listing passes over them, so the driver reads them through the file system and hands them on in
-    blocks of ``BLOCK_BYTES``, written to the shared folder: package markers and settings, of 1 MB at most each.
-    """
-    jvm, out, rows, held = spark.sparkContext._jvm, None, [], 0
-
-    def flush(out: DataFrame | None) -> DataFrame:
-        part = spark.createDataFrame(rows, "path string, length long, content binary")
-        if out is None and held < BLOCK_BYTES:
-            return part
-        part = stored(part, "files-apart")
-        return part if out is None else out.unionByName(part)
-
+def _apart(spark: SparkSession, base: str) -> Iterator[tuple]:
+    """Statuses of the source files whose path has a part that begins with "_" or ".", which Spark's listing passes over."""
+    jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(base)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     todo = [(top, False)]
@@ -147,16 +135,47 @@ def _set_apart(spark: SparkSession, base: str) -> DataFrame | None:
                 if name not in SKIPPED:
                     todo.append((status.getPath(), here))
             elif here and name.rpartition(".")[2].lower() in LANGUAGES and status.getLen() <= MAX_BYTES:
-                stream = fs.open(status.getPath())
-                content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                stream.close()
-                rows.append((status.getPath().toString(), len(content), bytearray(content)))
-                held += len(content)
-                if held >= BLOCK_BYTES:
-                    out, rows, held = flush(out), [], 0
+                yield fs, status
+
+
+def _set_apart(spark: SparkSession, base: str) -> DataFrame | None:
+    """``(path, length, content)`` of the files of ``_apart``.
+
+    The driver reads them through the file system and hands them on in blocks of ``BLOCK_BYTES``, written to the shared
+    folder: package markers and settings, of 1 MB at most each.
+    """
+    jvm, out, rows, held = spark.sparkContext._jvm, None, [], 0
+
+    def flush(out: DataFrame | None) -> DataFrame:
+        part = spark.createDataFrame(rows, "path string, length long, content binary")
+        if out is None and held < BLOCK_BYTES:
+            return part
+        part = stored(part, "files-apart")
+        return part if out is None else out.unionByName(part)
+
+    for fs, status in _apart(spark, base):
+        stream = fs.open(status.getPath())
+        content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        stream.close()
+        rows.append((status.getPath().toString(), len(content), bytearray(content)))
+        held += len(content)
+        if held >= BLOCK_BYTES:
+            out, rows, held = flush(out), [], 0
     return flush(out) if rows else out
 
 
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, size, modified)`` of the source files below ``root``, modified in microseconds: from the listing, no file is
+    opened."""
+    base = _qualified(spark, root)
+    columns = ["path", "length", F.unix_micros("modificationTime").alias("modified")]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(*columns)
+    rows = [(x.getPath().toString(), x.getLen(), x.getModificationTime() * 1000) for _, x in _apart(spark, base)]
+    if rows:
+        raw = raw.unionByName(spark.createDataFrame(rows, "path string, length long, modified long"))
+    return _wanted(spark, base, raw).select("path", "size", "modified")
+
+
 def source_files(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """``(path, lang, size, hash, content)`` of the source files below ``root``, on any file system Spark reads.
 
@@ -198,15 +217,19 @@ def _read_bytes(spark: SparkSession, path: str) -> bytes | None:
         stream.close()
 
 
-def _sources(spark: SparkSession, base: str, raw: DataFrame, with_content: bool) -> DataFrame:
+def _wanted(spark: SparkSession, base: str, raw: DataFrame) -> DataFrame:
+    """Of ``raw(path, length, …)`` the source files, with relative paths, size and lang."""
     path = F.regexp_replace(F.expr(f"substring(path, {len(base) + 2})"), "^/+", "")
-    found = raw.where(F.col("length") <= MAX_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content")
+    found = raw.where(F.col("length") <= MAX_BYTES).withColumn("path", path).withColumnRenamed("length", "size")
     dirs = F.split("path", "/")
     found = found.where(~F.arrays_overlap(F.slice(dirs, 1, F.size(dirs) - 1), F.array(*map(F.lit, SKIPPED))))
     found = found.withColumn("lang", language(F.col("path"))).where(F.col("lang").isNotNull())
     patterns = read_ignore(spark, base)
-    if patterns:
-        found = found.where(~ignored(F.col("path"), patterns))
+    return found.where(~ignored(F.col("path"), patterns)) if patterns else found
+
+
+def _sources(spark: SparkSession, base: str, raw: DataFrame, with_content: bool) -> DataFrame:
+    found = _wanted(spark, base, raw)
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     content = [text.alias("content")] if with_content else []
     return found.select("path", "lang", "size", F.sha2("content", 256).alias("hash"), *content)

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .files import read_text
 
 TABLES = ("manifest", "chunks", "extracted", "postings", "symbols", "calls")
-#: Tables whose rows belong to a chunk; those of the others belong to a path.
-BY_CHUNK = {"postings"}
+#: Which tombstones speak of a table's rows, and by what key; those of the others are paths.
+TOMBS = {"postings": ("chunk_id", "gone_chunks"), "manifest": ("path", "gone_stats")}
+KEYS = {"gone_paths": "path", "gone_chunks": "chunk_id", "gone_stats": "path"}
 #: How the rows of a table are ordered in a segment, where not by path.
 ORDER = {"postings": ["slot", "term", "chunk_id"]}
 #: Large segments lay a table out in folders of this column.
@@ -33,7 +34,7 @@ LEAST_TIER = 1 << 20
 #: Pointer files are numbered; the highest number is what is published.
 POINTER = "CURRENT-"
 #: Of what is written; an index of another layout is built anew.
-LAYOUT = 3
+LAYOUT = 4
 
 
 class NotIndexed(RuntimeError):
@@ -109,7 +110,7 @@ class Store:
 
     def _live(self, segments: list[dict], table: str) -> DataFrame | None:
         """Rows of a table in ``segments`` that no later one of them has tombstoned."""
-        key, tombs = ("chunk_id", "gone_chunks") if table in BY_CHUNK else ("path", "gone_paths")
+        key, tombs = TOMBS.get(table, ("path", "gone_paths"))
         parts = [self._table(s, table).withColumn("_segment", F.lit(i)) for i, s in enumerate(segments) if table in s["tables"]]
         if not parts:
             return None
@@ -170,11 +171,12 @@ class Store:
             fs.delete(p, False)
 
     def publish(self, tables: dict[str, DataFrame], fingerprint: str, gone: dict[str, DataFrame] | None = None, anew: tuple[str, ...] = (), **facts) -> dict:
-        """Add a segment of ``tables``, with the tombstones ``gone(paths, chunks)`` for what earlier segments hold; without
-        ``gone`` it is all there is. Tables of ``anew`` are dropped from the earlier segments. Returns the segment."""
+        """Add a segment of ``tables``, with the tombstones ``gone(paths, chunks, stats)`` for what earlier segments hold of
+        files, their chunks and their manifest rows; without ``gone`` it is all there is. Tables of ``anew`` are dropped from
+        the earlier segments. Returns the segment."""
         segments = [] if gone is None else [s | {"tables": {t: n for t, n in s["tables"].items() if t not in anew}} for s in self.segments()]
         if gone is not None:
-            tables = tables | {"gone_paths": gone["paths"].select("path").distinct(), "gone_chunks": gone["chunks"].select("chunk_id").distinct()}
+            tables = tables | {name: gone[name[5:]].select(key).distinct() for name, key in KEYS.items() if name[5:] in gone}
         rows = tables["postings"].count() if "postings" in tables else 0
         added = self._write(tables, rows)
         self._publish([*segments, added], facts | {"fingerprint": fingerprint})
@@ -194,9 +196,9 @@ class Store:
             older, newest = segments[:-n], segments[-n:]
             tables = {t: rows for t in TABLES if (rows := self._live(newest, t)) is not None}
             if older:
-                for name, key in (("gone_paths", "path"), ("gone_chunks", "chunk_id")):
-                    parts = [self._table(s, name) for s in newest if name in s["tables"]]
-                    tables[name] = reduce(lambda a, b: a.unionByName(b), parts).select(key).distinct()
+                for name, key in KEYS.items():
+                    if parts := [self._table(s, name) for s in newest if name in s["tables"]]:
+                        tables[name] = reduce(lambda a, b: a.unionByName(b), parts).select(key).distinct()
             one = self._write(tables, sum(s["tables"].get("postings", 0) for s in newest))
             facts = {k: v for k, v in now.items() if k not in ("layout", "segments", "before", "tables")}
             self._publish([*older, one], facts)

@@ -21,9 +21,16 @@ def tree(root, n):
     root.mkdir(parents=True)
     for i in range(n):
         (root / f"m{i:03d}.py").write_text(module(i))
+        settle(root / f"m{i:03d}.py")
     return str(root)
 
 
+def settle(path, seconds=60):
+    """As if written a while ago."""
+    at = os.stat(path).st_mtime_ns - seconds * 10**9
+    os.utime(path, ns=(at, at))
+
+
 def contents(store):
     return {t: sorted(map(str, store.require(t).select(c).collect())) for t, c in TABLE.items()}
 
@@ -121,3 +128,32 @@ def test_an_index_of_another_layout_is_built_anew(spark, tmp_path):
     open(path, "w").write(text.replace(f'"layout": {S.LAYOUT}', '"layout": 1'))
     assert Store(spark, index_dir(repo)).read("chunks") is None
     assert build_index(spark, repo)["added"] == 2
+
+
+def test_a_refresh_of_an_unchanged_tree_opens_nothing(spark, tmp_path):
+    repo = tree(tmp_path / "r", 3)
+    (tmp_path / "r" / "_private.py").write_text("def hidden():\n    return 1\n")
+    settle(tmp_path / "r" / "_private.py")
+    none = {"added": 0, "changed": 0, "deleted": 0, "embedded": 0}
+    assert build_index(spark, repo)["added"] == 4
+    store = Store(spark, index_dir(repo))
+    first, grown = folders(repo), contents(store)
+    # Other contents of the same length and time: whoever opened the files would see it.
+    for name in ("m001.py", "_private.py"):
+        path = tmp_path / "r" / name
+        at, text = os.stat(path).st_mtime_ns, path.read_text()
+        path.write_text(text.replace("return", "retrun"))
+        os.utime(path, ns=(at, at))
+        assert build_index(spark, repo) == none and folders(repo) == first
+        path.write_text(text)
+        os.utime(path, ns=(at, at))
+    for name in ("m001.py", "_private.py"):
+        settle(tmp_path / "r" / name, 30)
+    # Touched, with equal bytes: read once, nothing but the manifest is written, and then vouched for.
+    assert build_index(spark, repo) == none
+    assert len(store.segments()) == 2 and store.segments()[-1]["tables"] == {"manifest": 2, "gone_stats": 2}
+    assert contents(store) == grown and build_index(spark, repo) == none and len(store.segments()) == 2
+    (tmp_path / "r" / "m001.py").write_text(module(1, 5))
+    assert build_index(spark, repo)["changed"] == 1
+    build_index(spark, repo)  # written a moment ago: read again, and then vouched for
+    assert len(store.segments()) in (3, 4)
