@@ -12,6 +12,9 @@ from .common import SPACE, discard, drop_run, fresh, ordered_buckets, sorted_run
 _STRIP = SPACE.encode()
 #: Keys that every document must be held against are broadcast up to this many (16 bytes each), else joined.
 BROADCAST_KEYS = 200_000
+#: Hashes that a bucket of a run holds at most, in the mean; a merge join of buckets is never split, so their number
+#: follows the input.
+BUCKET_ROWS = 2_000_000
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -39,9 +42,10 @@ class LineRuns:
     frequent lines cost nothing more.
     """
 
-    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 2) -> None:
+    def __init__(self, spark: SparkSession, threshold: int, fanout: int = 2, rows: int = 0, bucket_rows: int = BUCKET_ROWS) -> None:
+        """``rows``: how many hashes all batches have together, by which the number of buckets is chosen."""
         self.spark, self.threshold, self.fanout, self.levels = spark, threshold, fanout, [[]]
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
         self.compactions = 0
 
     def _run(self, counts: DataFrame, level: int) -> DataFrame:
@@ -126,17 +130,19 @@ def line_counts(docs: DataFrame, batches: int, least: int = 1) -> DataFrame:
     return rows.groupBy("batch", "h").agg(F.count("*").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, threshold: int = 10, batches: int = 8, fanout: int = 2, least: int = 1) -> DataFrame:
+def frequent_lines(docs: DataFrame, threshold: int = 10, batches: int = 8, fanout: int = 2, least: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(h)`` of the line keys found in ``threshold`` documents of ``docs`` or more, through ``LineRuns``."""
     staged = stored(line_counts(docs, batches, least), "line-batches", ["batch"])
-    runs = LineRuns(docs.sparkSession, threshold, fanout)
-    for k in range(batches):
-        runs.add(staged.where(F.col("batch") == k).select("h", "n"))
-    with ordered_buckets(docs.sparkSession):
-        out = stored(runs.frequent(), "line-frequent")
-    discard(staged)
-    runs.drop()
-    return out
+    runs = LineRuns(docs.sparkSession, threshold, fanout, staged.count(), bucket_rows)
+    try:
+        for k in range(batches):
+            runs.add(staged.where(F.col("batch") == k).select("h", "n"))
+        with ordered_buckets(docs.sparkSession):
+            return stored(runs.frequent(), "line-frequent")
+    finally:
+        # Runs are tables of the catalog: none stays, whatever happened.
+        discard(staged)
+        runs.drop()
 
 
 def drop_frequent_lines(
@@ -149,8 +155,9 @@ def drop_frequent_lines(
     ``least`` code points found in ``threshold`` documents or more lose all their lines everywhere; the other lines
     stay as they were, joined by newlines. Keys are compared by 128-bit hashes.
 
-    While the frequent keys are few they go to every task; beyond ``broadcast_keys`` each document's own
-    frequent keys are found by a join and travel to it as an array, no longer than its lines.
+    While the frequent keys are few they go to every task; beyond ``broadcast_keys`` each text's own frequent keys are
+    found by a join and travel to it as an array, no longer than its lines. A text is known there by its MD5, so rows
+    without a doc_id, or of one doc_id, are as many keys as they have texts.
 
     Defined results: a null or empty text is one empty line, which is never dropped, and comes out empty; a
     document whose lines all go comes out with an empty text; rows with the same doc_id, repeated rows among them,
@@ -204,8 +211,8 @@ def drop_frequent_lines(
                     [b.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.binary())], names=[owner, "h"]
                 )
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        own = binary.select("doc_id", "text").mapInArrow(hashed, f"{owner} {kind}, h binary").join(frequent, "h", "left_semi")
+        name = F.md5(F.coalesce("text", F.lit(b"")))
+        own = binary.select(name.alias(owner), "text").mapInArrow(hashed, f"{owner} string, h binary").join(frequent, "h", "left_semi")
         own = own.groupBy(owner).agg(F.collect_set("h").alias(gone_name))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +220,6 @@ def drop_frequent_lines(
                 gone = b.column(len(columns))
                 yield output(b, lambda i: frozenset(gone[i].as_py() or ()))
 
-        joined = binary.join(own, F.col("doc_id").eqNullSafe(F.col(owner)), "left").select(*columns, gone_name)
+        joined = binary.withColumn(owner, name).join(own, owner, "left").select(*columns, gone_name)
         out = joined.mapInArrow(run, schema)
     return out.withColumn("text", F.col("text").cast("string"))

@@ -101,5 +101,35 @@ def test_clashing_columns(spark, broadcast):
     assert sorted(map(tuple, got.collect())) == [(i, f"own {i}", i, "g", 7, 8, 2, 1) for i in range(12)]
 
 
+def test_ten_thousand_rows_without_an_id_are_many_groups(spark):
+    """On the join path a text is the key, so no array holds the hashes of all rows without a doc_id."""
+    rows = [(None, f"line {i % 1500}\nown {i}") for i in range(10_000)] + [(5, f"line {i}\nfive {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = lines.drop_frequent_lines(docs, threshold=6, broadcast_keys=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan.split("Join LeftOuter")[1].split("\n")[0]
+    found = out.collect()
+    assert len(found) == len(rows) and all(r.text == r.text.split("\n")[-1] and r._n_dropped == 1 for r in found)
+
+
+@pytest.mark.parametrize("bucket_rows", [5, lines.BUCKET_ROWS])
+def test_buckets_follow_the_input(spark, bucket_rows):
+    docs = spark.createDataFrame([(i, f"common {i % 4}\nown {i}") for i in range(60)], "doc_id long, text string")
+    runs = lines.LineRuns(spark, 10, rows=64, bucket_rows=bucket_rows)
+    assert runs.buckets == (13 if bucket_rows == 5 else 4)
+    assert lines.frequent_lines(docs, bucket_rows=bucket_rows).count() == 4
+
+
+def test_a_failure_leaves_no_runs_behind(spark, monkeypatch):
+    def fail(self):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(lines.LineRuns, "frequent", fail)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError, match="lost"):
+        lines.frequent_lines(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_empty(nothing):
     assert lines.drop_frequent_lines(nothing).count() == 0
