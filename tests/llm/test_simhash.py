@@ -68,7 +68,6 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "fp", "node"]
 
 
 def signed(x):
@@ -91,23 +90,6 @@ def test_links_connect_what_brute_force_connects(spark):
         assert got == want, dense
 
 
-def test_keep_one_keeps_the_smallest_and_rows_without_id(spark):
-    text = "one two three four five six"
-    rows = [(3, text, "a", 1), (1, text, "b", 2), (None, text, "c", 3), (9, "quite another text of its own here", None, None)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id or -1) for r in kept) == [-1, 1, 9]
-
-
-def test_keep_one_judges_rows_by_their_own_text(spark):
-    text, other = "one two three four five six", "nothing at all like it, this one stays on"
-    rows = [(1, text, "a", 1), (5, text, "b", 2), (5, other, "c", 3), (5, text, "d", 4), (1, text, "e", 5), (6, None, "f", 6), (7, "", "g", 7)]
-    clash = spark.createDataFrame([(i, t, a, b, 9) for i, t, a, b in rows], "doc_id long, text string, fp string, _own int, component_id int")
-    kept = simhash.keep_one(clash)
-    assert kept.columns == clash.columns
-    assert sorted((r.doc_id, r.text, r.fp) for r in kept.collect() if r.text) == [(1, text, "a"), (1, text, "e"), (5, other, "c")]
-    assert [r.doc_id for r in kept.collect() if not r.text] == [6]
-
-
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
