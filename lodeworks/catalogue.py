@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import text as T, vectors as V
-from .operators import budget, chunking, diff, evaluate, fusion, graph, lexical, snapshot, spans, traverse, vectors
+from .operators import budget, chunking, diff, evaluate, fusion, graph, ivf, lexical, snapshot, spans, traverse, vectors
 from .scratch import spread, stored
 
 QUERY = "Therein that andThe station of 1984 antiHTTPIn reon"
@@ -274,6 +274,20 @@ def bm25_topk(spark, sf_dir):
     return chunk_rows(spark, sf_dir).select("chunk_id", "path").join(F.broadcast(best), "chunk_id").select("chunk_id", "path", _round("score").alias("score"))
 
 
+@query(ORACLES["bm25_topk"].replace("SELECT chunk_id, path, round(score, 6)", "SELECT chunk_id, round(score, 6)"))
+def bm25_blocks(spark, sf_dir):
+    """The same over posting blocks, of which only those that can hold one of the best are opened."""
+    rows = lexical_rows(spark, sf_dir)
+    postings = stored(lexical.inverted(rows, "chunk_id", F.col("body")), "postings")
+    lengths = stored(lexical.lengths_of(postings, rows, "chunk_id"), "lengths")
+    n, average = lengths.agg(F.count("*"), F.avg("dl")).first()
+    blocks = stored(lexical.blocked(postings.join(lengths, "chunk_id"), "chunk_id", lexical.cell_bits(n)), "blocks")
+    mine = lexical.of_terms(postings, lexical.query_terms(QUERY))
+    dfs = {r["term"]: r["df"] for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row a query term
+    best, _ = lexical.blocks_topk(blocks, dfs, n, average, "chunk_id", QUERY, K, ["cell"])
+    return best.select("chunk_id", _round("score").alias("score"))
+
+
 SQL_ITEM_TERMS = f"(SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark)"
 
 
@@ -318,6 +332,15 @@ def vector_batch_topk(spark, sf_dir):
     return found.select("query_id", "vec_id", _round("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def vector_ivf_topk(spark, sf_dir):
+    """The ten nearest through an inverted file; its recall against the exact search is tested."""
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ivf.batch_topk(ivf.build(e, "vec_id", "embedding"), q, K)
+    return found.select("query_id", "vec_id", _round("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"SELECT vec_id, {SQL_LISTS.format(v=sql_unit('embedding'))} AS unit FROM embeddings")
 def l2_normalize(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
@@ -943,3 +966,19 @@ def incremental_refresh(spark, sf_dir):
     grown = rows.unionByName(rows.withColumn("path", F.concat("path", F.lit(".new"))))
     fresh = grown.join(status.where("status in ('added', 'changed')"), "path", "left_semi").withColumn("state", F.lit("fresh"))
     return snapshot.replace_paths(old, status.where("status in ('changed', 'deleted')"), fresh).select("chunk_id", "path", "state")
+
+
+@query(_with(SQL_MANIFESTS) + "SELECT path, hash FROM after")
+def segmented_store(spark, sf_dir):
+    """A manifest in segments: the state before, then one segment of what differs, with tombstones; read as one table."""
+    from .scratch import new_path
+    from .sources.store import Store
+
+    before, after = manifests(spark, sf_dir)
+    status = stored(snapshot.snapshot_diff(before, after), "status")
+    store = Store(spark, new_path(spark, "store"))
+    store.publish({"manifest": before}, "f")
+    gone = status.where("status in ('changed', 'deleted')").select("path")
+    fresh = after.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
+    store.publish({"manifest": fresh}, "f", {"paths": gone, "stats": gone})
+    return store.require("manifest")

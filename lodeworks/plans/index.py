@@ -118,13 +118,24 @@ def build_index(
     progress(f"{report['embedded']} chunks embedded")
     body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
     postings = stored(lexical.inverted(fresh.withColumn("_body", body), "chunk_id", F.col("_body")), "index-postings")
-    fresh = fresh.join(lexical.lengths_of(postings, fresh, "chunk_id"), "chunk_id")
-    tables = {"manifest": manifest, "chunks": fresh, "extracted": rows, "postings": postings}
+    fresh = stored(fresh.join(lexical.lengths_of(postings, fresh, "chunk_id"), "chunk_id"), "index-chunks")
+    lengths, bits = fresh.select("chunk_id", "dl"), lexical.cell_bits(fresh.count())
+    blocks = lexical.blocked(postings.join(lengths, "chunk_id"), "chunk_id", bits)
+    # Statistics are kept as what a segment adds, less what it takes away.
+    counts, total = postings.select("slot", "term", F.lit(1).alias("df")), lengths
+    sign = F.lit(1)
+    if stale is not None:
+        lost = lexical.inverted(stale.withColumn("_body", body), "chunk_id", F.col("_body"))
+        counts = counts.unionByName(lost.select("slot", "term", F.lit(-1).alias("df")))
+        total, sign = lengths.withColumn("_sign", sign).unionByName(stale.select("chunk_id", "dl", F.lit(-1).alias("_sign"))), F.col("_sign")
+    terms = counts.groupBy("slot", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+    corpus = tuple(int(v or 0) for v in total.agg(F.sum(sign), F.sum(sign * F.col("dl"))).first())
+    tables = {"manifest": manifest, "chunks": fresh, "extracted": rows, "blocks": blocks, "terms": terms}
     anew: tuple[str, ...] = ()
     if graph:
         if lacking:
             anew, rows = ("symbols", "calls"), replace_paths(store.require("extracted"), gone["paths"], rows)
         tables["symbols"], tables["calls"] = syntax.graph_of(rows)
-    store.publish(tables, embedder.fingerprint(), gone, anew, graph=graph)
+    store.publish(tables, embedder.fingerprint(), gone, anew, corpus, graph=graph)
     store.compact()
     return report

@@ -20,7 +20,7 @@ def report(service: Service, items: DataFrame, k: int) -> DataFrame:
     spark, store, embedder = service.spark, service.store, service.embedder or HashEmbedder()
     chunks, items = store.require("chunks"), stored(items, "eval-items")
     depth, pool = fusion.evaluation_pools(k, service.reranker is not None)
-    lex = lexical.batch_topk(store.require("postings"), chunks.select("chunk_id", "dl"), items, "chunk_id", depth)
+    lex = lexical.batch_topk(store.require("postings").drop("dl"), chunks.select("chunk_id", "dl"), items, "chunk_id", depth)
     asked = embedder.add(items.select(F.col("item_id").alias("query_id"), "query"), "query", "vector")
     vec = vectors.batch_topk(chunks, "chunk_id", "embedding", asked, depth).withColumnRenamed("query_id", "item_id")
     ids = ["item_id", "chunk_id", "rank"]

@@ -14,8 +14,8 @@ from ..sources.store import Store
 MODES = ("hybrid", "vector", "lexical")
 
 
-def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None, mode: str, depth: int, postings: DataFrame | None = None) -> DataFrame:
-    """``(chunk_id, score, fused_rank)`` of the ``depth`` best chunks in one mode: by stored postings, where given."""
+def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None, mode: str, depth: int, store: Store | None = None) -> DataFrame:
+    """``(chunk_id, score, fused_rank)`` of the ``depth`` best chunks in one mode: by the posting blocks of a store, where given."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     by = F.desc(F.round("score", 9))
@@ -23,8 +23,8 @@ def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None,
     if mode != "lexical":
         lists.append(fusion.ranked(vectors.topk(chunks, "chunk_id", "embedding", query_vector, depth), "chunk_id", by))
     if mode != "vector":
-        if postings is not None:
-            found = lexical.postings_topk(postings, chunks.select("chunk_id", "dl"), "chunk_id", query, depth)
+        if store is not None:
+            found, _ = store.bm25(query, depth)
         else:
             found = lexical.topk(chunks, "chunk_id", lexical_text(F.col("path"), F.col("symbol"), F.col("text")), query, depth)
         lists.append(fusion.ranked(found, "chunk_id", by))
@@ -52,7 +52,7 @@ def retrieve(
     embedder = embedder or HashEmbedder()
     depth, pool = fusion.pools(k, reranker is not None)
     vector = embedder.query(spark, query) if mode != "lexical" else None
-    best = first_stage(chunks, query, vector, mode, depth, store.read("postings"))
+    best = first_stage(chunks, query, vector, mode, depth, store)
     columns = ["rank", "score", "path", "lang", "start_line", "end_line", "symbol", "text"]
     if reranker is None:
         best = best.where(F.col("fused_rank") <= k).withColumnRenamed("fused_rank", "rank")

@@ -15,17 +15,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import lexical
 from .files import read_text
 
-TABLES = ("manifest", "chunks", "extracted", "postings", "symbols", "calls")
+TABLES = ("manifest", "chunks", "extracted", "symbols", "calls")
 #: Which tombstones speak of a table's rows, and by what key; those of the others are paths.
-TOMBS = {"postings": ("chunk_id", "gone_chunks"), "manifest": ("path", "gone_stats")}
+TOMBS = {"blocks": ("chunk_id", "gone_chunks"), "manifest": ("path", "gone_stats")}
 KEYS = {"gone_paths": "path", "gone_chunks": "chunk_id", "gone_stats": "path"}
 #: How the rows of a table are ordered in a segment, where not by path.
-ORDER = {"postings": ["slot", "term", "chunk_id"]}
+ORDER = {"blocks": ["slot", "term", "cell"], "terms": ["slot", "term"]}
 #: Large segments lay a table out in folders of this column.
-FOLDERS = {"postings": "slot"}
-#: Rows of a table from which on a segment has folders.
+FOLDERS = {"blocks": "slot", "terms": "slot"}
+#: Postings from which on a segment has folders.
 FOLDER_ROWS = 200_000
 #: So many segments of a tier, or smaller, are merged; a tier is this many times the one before.
 FAN_OUT = 8
@@ -34,7 +35,7 @@ LEAST_TIER = 1 << 20
 #: Pointer files are numbered; the highest number is what is published.
 POINTER = "CURRENT-"
 #: Of what is written; an index of another layout is built anew.
-LAYOUT = 4
+LAYOUT = 5
 
 
 class NotIndexed(RuntimeError):
@@ -108,24 +109,48 @@ class Store:
     def _table(self, segment: dict, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{segment['folder']}/{table}")
 
-    def _live(self, segments: list[dict], table: str) -> DataFrame | None:
-        """Rows of a table in ``segments`` that no later one of them has tombstoned."""
-        key, tombs = TOMBS.get(table, ("path", "gone_paths"))
+    def _all(self, segments: list[dict], table: str) -> DataFrame | None:
+        """Rows of a table in all of ``segments``, with the place of their segment."""
         parts = [self._table(s, table).withColumn("_segment", F.lit(i)) for i, s in enumerate(segments) if table in s["tables"]]
-        if not parts:
-            return None
-        rows = reduce(lambda a, b: a.unionByName(b), parts)
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+    def _alive(self, segments: list[dict], table: str, rows: DataFrame) -> DataFrame:
+        """Of ``rows`` of a table, those that no later segment has tombstoned."""
+        key, tombs = TOMBS.get(table, ("path", "gone_paths"))
         first = next(i for i, s in enumerate(segments) if table in s["tables"])
-        dead = [self._table(s, tombs).withColumn("_until", F.lit(i)) for i, s in enumerate(segments) if i > first and s["tables"].get(tombs)]
-        if not dead:
+        dead = self._all([s if i > first and s["tables"].get(tombs) else s | {"tables": {}} for i, s in enumerate(segments)], tombs)
+        if dead is None:
             return rows.drop("_segment")
-        until = reduce(lambda a, b: a.unionByName(b), dead).groupBy(key).agg(F.max("_until").alias("_until"))
+        until = dead.groupBy(key).agg(F.max("_segment").alias("_until"))
         kept = rows.join(until, key, "left").where(F.col("_until").isNull() | (F.col("_segment") >= F.col("_until")))
         return kept.select([c for c in rows.columns if c != "_segment"])
 
+    def _live(self, segments: list[dict], table: str) -> DataFrame | None:
+        """Rows of a table in ``segments`` that no later one of them has tombstoned."""
+        if table == "postings":
+            blocks = self._all(segments, "blocks")
+            return None if blocks is None else self._alive(segments, "blocks", lexical.opened(blocks.drop("cell"), "chunk_id"))
+        rows = self._all(segments, table)
+        return None if rows is None else self._alive(segments, table, rows)
+
     def read(self, table: str) -> DataFrame | None:
+        """A published table; ``postings`` are those of the stored blocks."""
         return self._live(self.segments(), table)
 
+    def bm25(self, query: str, k: int) -> tuple[DataFrame, DataFrame]:
+        """``(chunk_id, score)`` of the k best chunks, and the posting blocks that were opened for it.
+
+        Statistics are sums over the segments of what each has added and taken away, so they are exact without a look at
+        a posting."""
+        segments = self.segments()
+        blocks, terms = self._all(segments, "blocks"), self._all(segments, "terms")
+        if blocks is None:
+            raise NotIndexed(f"no postings in {self.root}: build the index first")
+        kinds = list(dict.fromkeys(lexical.query_terms(query)))
+        dfs = {r["term"]: r["df"] for r in lexical.of_terms(terms, kinds).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        n, length = (sum(s.get("corpus", (0, 0))[i] for s in segments) for i in (0, 1))
+        return lexical.blocks_topk(blocks, dfs, n, length / max(n, 1), "chunk_id", query, k, ["_segment", "cell"], lambda d: self._alive(segments, "blocks", d))
+
     def require(self, table: str) -> DataFrame:
         found = self.read(table)
         if found is None:
@@ -134,8 +159,9 @@ class Store:
 
     # Writing -------------------------------------------------------------------
 
-    def _write(self, tables: dict[str, DataFrame], rows: int) -> dict:
-        """A segment of ``tables``, which is nothing until a pointer names it."""
+    def _write(self, tables: dict[str, DataFrame], rows: int, corpus: tuple[int, int]) -> dict:
+        """A segment of ``tables``, which is nothing until a pointer names it. ``corpus``: chunks and tokens it adds, less
+        those it takes away."""
         folder, counts = f"segment-{uuid.uuid4().hex}", None
         for name, df in tables.items():
             by = ORDER.get(name, [c for c in ("path", "chunk_id") if c in df.columns][:1])
@@ -151,7 +177,7 @@ class Store:
             counted = self.spark.read.parquet(path).agg(F.lit(name).alias("t"), F.count("*").alias("n"))
             counts = counted if counts is None else counts.unionByName(counted)
         fs, p = _fs(self.spark, f"{self.root}/{folder}")
-        return {"folder": folder, "bytes": int(fs.getContentSummary(p).getLength()), "tables": {r["t"]: r["n"] for r in counts.collect()}}
+        return {"folder": folder, "corpus": corpus, "bytes": int(fs.getContentSummary(p).getLength()), "tables": {r["t"]: r["n"] for r in counts.collect()}}
 
     def _publish(self, segments: list[dict], facts: dict) -> None:
         """Write a pointer of the next number. It is never overwritten, so a reader finds the old state or the new one. The
@@ -170,15 +196,15 @@ class Store:
             fs, p = _fs(self.spark, f"{self.root}/{name}")
             fs.delete(p, False)
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str, gone: dict[str, DataFrame] | None = None, anew: tuple[str, ...] = (), **facts) -> dict:
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str, gone: dict[str, DataFrame] | None = None, anew: tuple[str, ...] = (), corpus: tuple[int, int] = (0, 0), **facts) -> dict:
         """Add a segment of ``tables``, with the tombstones ``gone(paths, chunks, stats)`` for what earlier segments hold of
         files, their chunks and their manifest rows; without ``gone`` it is all there is. Tables of ``anew`` are dropped from
         the earlier segments. Returns the segment."""
         segments = [] if gone is None else [s | {"tables": {t: n for t, n in s["tables"].items() if t not in anew}} for s in self.segments()]
         if gone is not None:
             tables = tables | {name: gone[name[5:]].select(key).distinct() for name, key in KEYS.items() if name[5:] in gone}
-        rows = tables["postings"].count() if "postings" in tables else 0
-        added = self._write(tables, rows)
+        rows = tables["blocks"].agg(F.sum("n")).first()[0] or 0 if "blocks" in tables else 0
+        added = self._write(tables, rows, corpus)
         self._publish([*segments, added], facts | {"fingerprint": fingerprint})
         return added
 
@@ -195,11 +221,17 @@ class Store:
                 return merged
             older, newest = segments[:-n], segments[-n:]
             tables = {t: rows for t in TABLES if (rows := self._live(newest, t)) is not None}
+            corpus = tuple(sum(s["corpus"][i] for s in newest) for i in (0, 1))
+            if (postings := self._live(newest, "postings")) is not None:
+                tables["blocks"] = lexical.blocked(postings, "chunk_id", lexical.cell_bits(sum(s["tables"].get("chunks", 0) for s in newest)))
+                sums = self._all(newest, "terms").groupBy("slot", "term").agg(F.sum("df").alias("df"))
+                tables["terms"] = sums.where("df <> 0")
             if older:
                 for name, key in KEYS.items():
                     if parts := [self._table(s, name) for s in newest if name in s["tables"]]:
                         tables[name] = reduce(lambda a, b: a.unionByName(b), parts).select(key).distinct()
-            one = self._write(tables, sum(s["tables"].get("postings", 0) for s in newest))
+            rows = sum(s["corpus"][1] for s in newest)
+            one = self._write(tables, rows, corpus)
             facts = {k: v for k, v in now.items() if k not in ("layout", "segments", "before", "tables")}
             self._publish([*older, one], facts)
             merged += n

@@ -212,6 +212,9 @@ def test_catalogue_against_sql(spark):
 
     for name, f in catalogue.QUERIES.items():
         df = f(spark, DATA)
+        if name not in catalogue.ORACLES:
+            assert name == "vector_ivf_topk" and df.count() == 100
+            continue
         cols = sorted(df.columns)
         got = sorted("|".join(norm(r[c]) for c in cols) for r in df.collect())
         cur = con.execute(catalogue.ORACLES[name])

@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions.models import ModelEmbedder
+from lodeworks.functions.text import lexical_text
+from lodeworks.operators import lexical
 from lodeworks.plans.index import build_index, index_dir
 from lodeworks.sources import store as S
 from lodeworks.sources.store import Store
 
-TABLE = {"manifest": ["path", "hash"], "chunks": ["path", "start_line", "end_line", "symbol", "text", "embedding", "dl"], "postings": ["chunk_id", "term", "tf"],
+TABLE = {"manifest": ["path", "hash"], "chunks": ["path", "start_line", "end_line", "symbol", "text", "embedding", "dl"], "postings": ["chunk_id", "term", "tf", "dl"],
          "extracted": ["path"], "symbols": ["id", "qualified", "path", "start_line", "ordinal"], "calls": ["call_id", "caller_id", "callee", "line"]}
 
 
@@ -35,6 +37,16 @@ def contents(store):
     return {t: sorted(map(str, store.require(t).select(c).collect())) for t, c in TABLE.items()}
 
 
+def ranked(store, query, k=6):
+    return [(r.chunk_id, round(r.score, 8)) for r in store.bm25(query, k)[0].collect()]
+
+
+def plainly(store, query, k=6):
+    """The same from texts, without blocks or stored statistics."""
+    body = lexical_text(F.col("path"), F.col("symbol"), F.col("text"))
+    return [(r.chunk_id, round(r.score, 8)) for r in lexical.topk(store.require("chunks"), "chunk_id", body, query, k).collect()]
+
+
 def folders(repo):
     return {x for x in os.listdir(index_dir(repo)) if x.startswith("segment-")}
 
@@ -77,12 +89,13 @@ def test_any_series_of_edits_equals_a_full_build(spark, tmp_path, monkeypatch):
                 path.write_text(module(i, rng.randrange(100)))
         build_index(spark, repo)
         assert len(store.segments()) <= 3 * 3
+        assert ranked(store, "work helper return 7") == plainly(store, "work helper return 7")
     grown = contents(store)
     assert any(merges) and not all(merges)
     store.compact(everything=True)
     assert len(store.segments()) == 1 and "gone_paths" not in store.segments()[0]["tables"] and contents(store) == grown
     build_index(spark, repo, full=True)
-    assert contents(store) == grown
+    assert contents(store) == grown and ranked(store, "x return") == plainly(store, "x return")
     # The state before the last stays for its readers, and no older one.
     assert len(folders(repo)) == 2 and len([x for x in os.listdir(index_dir(repo)) if x.startswith(S.POINTER) and not x.endswith(".crc")]) == 2
 

@@ -184,3 +184,24 @@ def test_equal_scores_are_ordered_by_key(spark):
     asked = spark.createDataFrame([(1, [0.7, 0.7])], "query_id long, vector array<double>")
     assert [r.vec_id for r in vectors.batch_topk(near, "vec_id", "v", asked, 3).orderBy("rank").collect()] == [0, 1, 2]
     assert [r.vec_id for r in vectors.topk(near, "vec_id", "v", [0.7, 0.7], 3).collect()] == [0, 1, 2]
+
+
+def test_posting_blocks_are_passed_over(spark):
+    """20,000 texts with a common term, a few with a rare one: same ids and scores, and few blocks of the common term are opened."""
+    rows = spark.range(20_000).select(
+        F.xxhash64("id").alias("chunk_id"),
+        F.concat(F.lit("common "), F.when(F.col("id") % 1000 == 7, "rare ").otherwise(""), F.expr("repeat('pad ', int(id % 5))")).alias("body"),
+    )
+    postings = lexical.inverted(rows, "chunk_id", F.col("body"))
+    lengths = lexical.lengths_of(postings, rows, "chunk_id")
+    blocks = lexical.blocked(postings.join(lengths, "chunk_id"), "chunk_id", lexical.cell_bits(20_000)).cache()
+    assert blocks.agg(F.max("n")).first()[0] < 2 * lexical.CELL
+    dfs = {r.term: r.df for r in postings.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    avg = lengths.agg(F.avg("dl")).first()[0]
+    for query in ("common rare", "rare rare common nothing", "common", "pad common", "absent"):
+        found, read = lexical.blocks_topk(blocks, dfs, 20_000, avg, "chunk_id", query, 10, ["cell"])
+        want = lexical.topk(rows, "chunk_id", F.col("body"), query, 10)
+        assert [(r.chunk_id, round(r.score, 8)) for r in found.collect()] == [(r.chunk_id, round(r.score, 8)) for r in want.collect()], query
+        if query == "common rare":
+            assert read.where("term = 'common'").agg(F.sum("n")).first()[0] < 20_000 / 3
+            assert read.agg(F.sum("n")).first()[0] < dfs["common"]
