@@ -58,7 +58,7 @@ def made(rng, n, deep=9, kinds=3):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "block", "run"), [(1, 1024, 256), (2, 4, 256), (3, 3, 2), (4, 2, 3), (5, 8, 2)])
+@pytest.mark.parametrize(("seed", "block", "run"), [(2, 4, 256), (3, 3, 2), (5, 8, 2)])
 def test_random_conversations(spark, monkeypatch, seed, block, run):
     """Small blocks make all levels of block minima work, short runs all levels of names."""
     monkeypatch.setattr(P, "BLOCK", block)
