@@ -35,19 +35,21 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.xxhash64("path", "start_line", "end_line", "symbol"))
 
 
-def _manifest(spark: SparkSession, repo: str, listed: DataFrame, old: DataFrame | None, seen: int) -> tuple[DataFrame, DataFrame]:
-    """``(path, hash, size, modified, seen)`` of the files that have to be read, and their rows with content: all of them
-    without an old manifest, else those that the listing does not vouch for."""
-    if old is None:
-        files = source_files(spark, repo)
-        suspects = listed
+def _suspects(listed: DataFrame, old: DataFrame) -> DataFrame:
+    """The listed files that their length and time of change do not vouch for."""
+    was = old.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("seen").alias("_seen"))
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")) & (F.col("modified") < F.col("_seen") - SETTLED)
+    return stored(listed.join(was, "path", "left").where(~F.coalesce(same, F.lit(False))).select(listed.columns), "index-suspects")
+
+
+def _read(spark: SparkSession, repo: str, suspects: DataFrame, names: list[str] | None, seen: int) -> tuple[DataFrame, DataFrame]:
+    """``(path, hash, size, modified, seen)`` of ``suspects``, and their rows with content: read by ``names``, or, where there
+    are none or so many that they are cheaper to pick from it, from the whole tree."""
+    if names is not None and len(names) <= NAMED:
+        files = named_files(spark, repo, names)
     else:
-        was = old.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("seen").alias("_seen"))
-        same = F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")) & (F.col("modified") < F.col("_seen") - SETTLED)
-        suspects = stored(listed.join(was, "path", "left").where(~F.coalesce(same, F.lit(False))).select(listed.columns), "index-suspects")
-        names = [r["path"] for r in suspects.select("path").limit(NAMED + 1).collect()]
-        # So many that they are cheaper to pick from the tree than to name one by one.
-        files = named_files(spark, repo, names) if len(names) <= NAMED else source_files(spark, repo).join(suspects, "path", "left_semi")
+        files = source_files(spark, repo)
+        files = files if names is None else files.join(suspects, "path", "left_semi")
     read = stored(files.select("path", "hash"), "index-hashes")
     return stored(read.join(suspects, "path").select("path", "hash", "size", "modified", F.lit(seen).alias("seen")), "index-manifest"), files
 
@@ -93,12 +95,19 @@ def build_index(
         raise NoSources(f"no source files in {repo}")
     now = store.pointer()
     old = None if full or now.get("fingerprint") != embedder.fingerprint() else store.read("manifest")
-    manifest, files = _manifest(spark, repo, listed, old, seen)
+    lacking = graph and old is not None and not now.get("graph")
+    suspects, names = listed, None
+    if old is not None:
+        suspects = _suspects(listed, old)
+        names = [r["path"] for r in suspects.select("path").limit(NAMED + 1).collect()]
+        if not names and not lacking and old.join(listed, "path", "left_anti").isEmpty():
+            progress("nothing changed")
+            return {"added": 0, "changed": 0, "deleted": 0, "embedded": 0}
+    manifest, files = _read(spark, repo, suspects, names, seen)
     base = old if old is not None else manifest.limit(0)
     status = stored(_status(base, listed, manifest), "index-status")
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     report = {k: counts.get(k, 0) for k in ("added", "changed", "deleted")} | {"embedded": 0}
-    lacking = graph and old is not None and not now.get("graph")
     if old is not None and not any(report.values()) and not lacking:
         if counts.get("unchanged"):
             # Read, and found as it was: from now on its new length and time tell that.

@@ -80,7 +80,7 @@ def test_any_series_of_edits_equals_a_full_build(spark, tmp_path, monkeypatch):
     store, merges = Store(spark, index_dir(repo)), []
     inner = Store.compact
     monkeypatch.setattr(Store, "compact", lambda self, everything=False: merges.append(inner(self, everything)) or merges[-1])
-    for _ in range(4):
+    for _ in range(3):
         for i in rng.sample(range(10), 2):
             path = root / f"m{i:03d}.py"
             if path.exists() and rng.random() < 0.4:
