@@ -982,3 +982,92 @@ def segmented_store(spark, sf_dir):
     fresh = after.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
     store.publish({"manifest": fresh}, "f", {"paths": gone, "stats": gone})
     return store.require("manifest")
+
+
+# Orders, counts and texts of the surfaces ------------------------------------------
+
+
+@query(
+    SQL_GRAPH
+    + f"""SELECT row_number() OVER (ORDER BY path, line, caller_id) AS place, coalesce(qualified, '<module>') AS caller, e.path, e.line
+    FROM (SELECT DISTINCT caller_id, path, line FROM edges WHERE target IN {SQL_FOUND}) e LEFT JOIN (SELECT id AS caller_id, qualified FROM symbols) s USING (caller_id)"""
+)
+def callers_listed(spark, sf_dir):
+    """Call sites in the order in which they are listed."""
+    from pyspark.sql import Window as W
+
+    s = symbol_rows(spark, sf_dir)
+    sites = graph.callers(linked_rows(spark, sf_dir), s, graph.find(s, "small ring"))
+    named = sites.join(s.select(F.col("id").alias("caller_id"), "qualified"), "caller_id", "left")
+    place = F.row_number().over(W.orderBy("path", "line", "caller_id")).cast("long")
+    return named.select(place.alias("place"), F.coalesce("qualified", F.lit("<module>")).alias("caller"), "path", "line")
+
+
+@query(SQL_GRAPH + sql_impact(SQL_ROOT, 3) + "SELECT row_number() OVER (ORDER BY depth, path, call_line, node_key) AS place, node_key, depth FROM nodes")
+def impact_listed(spark, sf_dir):
+    """Impact rows in the order in which they are listed."""
+    from pyspark.sql import Window as W
+
+    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir), 3)
+    place = F.row_number().over(W.orderBy("depth", "path", "call_line", "node_key")).cast("long")
+    return found.select(place.alias("place"), "node_key", "depth")
+
+
+@query(
+    SQL_GRAPH
+    + sql_impact(SQL_ROOT, 3)
+    + "SELECT depth, count(*) AS nodes, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (is_test) AS tests FROM nodes GROUP BY depth"
+)
+def impact_counts(spark, sf_dir):
+    """Nodes, uncertain ones and tests at each depth."""
+    found = traverse.impact(_root(spark), symbol_rows(spark, sf_dir), linked_rows(spark, sf_dir), 3)
+    return found.groupBy("depth").agg(F.count("*").alias("nodes"), F.count_if("uncertain").alias("uncertain"), F.count_if("is_test").alias("tests"))
+
+
+@query(SQL_FUSED + "SELECT 'lexical' AS mode, chunk_id, rank FROM lex UNION ALL SELECT 'vector', chunk_id, rank FROM vec UNION ALL SELECT 'hybrid', chunk_id, fused_rank FROM placed WHERE fused_rank <= 100")
+def first_stages(spark, sf_dir):
+    """The first stage of a retrieval in each of its modes, to its depth."""
+    from .plans.retrieve import MODES, first_stage
+
+    depth, _ = fusion.pools(K, rerank=True)
+    chunks = chunk_rows(spark, sf_dir).withColumn("embedding", V.hash_embedding(F.col("text")))
+    one = spark.range(1).select(V.hash_embedding(F.lit(QUERY)).alias("q")).first()[0]
+    out = None
+    for mode in MODES:
+        found = first_stage(chunks, QUERY, list(one), mode, depth).select(F.lit(mode).alias("mode"), "chunk_id", F.col("fused_rank").cast("long").alias("rank"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    _with(SQL_LINES, SQL_INDEX)
+    + SQL_HITS
+    + "SELECT rank, round(score, 6) AS score, path || ':' || start_line || '-' || end_line || ' (' || symbol || ')' AS locator FROM hits"
+)
+def hits_listed(spark, sf_dir):
+    """Hits as they are shown: rounded scores and locators."""
+    at = T.locator(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"))
+    return _context_hits(spark, sf_dir).select(F.col("rank").cast("long").alias("rank"), _round("score").alias("score"), at.alias("locator"))
+
+
+@query("""SELECT repo, arg_min(prefix, (-mrr, place)) AS prefix, max(mrr) AS mrr FROM (
+      SELECT p_brand AS repo, p_partkey AS place, p_type AS prefix, p_size / 50.0::DOUBLE AS mrr FROM part) GROUP BY repo""")
+def best_prefix(spark, sf_dir):
+    """Each brand's type of the largest size stands for each tree's prefix of the highest MRR: first on ties."""
+    p = read(spark, sf_dir, "part")
+    reports = p.select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("place"), F.col("p_type").alias("prefix"), (F.col("p_size") / 50.0).alias("mrr"))
+    return evaluate.best_prefix(reports)
+
+
+@query(
+    _with(SQL_LINES)
+    + f"""SELECT chunk_id, scheme, md5(before || path || ':1-' || len(l) || ' (' || symbol || ')' || chr(10) || text) AS digest
+    FROM chunks JOIN lined USING (chunk_id) CROSS JOIN (VALUES {", ".join(f"('{k}', '{p}')" for k, (_, p) in T.PREFIXES.items())}) s(scheme, before)"""
+)
+def prefixed_texts(spark, sf_dir):
+    """What an embedder is given of each chunk under each prefix scheme."""
+    rows = chunk_rows(spark, sf_dir)
+    text = T.embedding_text(F.col("path"), F.lit(1), F.size(T.lines(F.col("text"))), F.col("symbol"), F.col("text"))
+    schemes = F.array(*[F.struct(F.lit(k).alias("scheme"), F.lit(p).alias("before")) for k, (_, p) in T.PREFIXES.items()])
+    given = rows.select("chunk_id", text.alias("t"), F.inline(schemes))
+    return given.select("chunk_id", "scheme", F.md5(F.concat("before", "t")).alias("digest"))
