@@ -197,3 +197,26 @@ def test_joined_rows_stay_linear_in_one_large_file(spark):
     assert met.count() <= m * (spans.LEVELS + 1)
     ranges = points.select("k", "path", F.col("at").alias("start"), (F.col("at") + 40).alias("end"))
     assert spans.innermost(ranges, s, ["k"]).count() == m
+
+
+def test_questions_and_bins_are_not_broadcast(spark):
+    """Rows in bins are many times what their files are, so no side of their joins is sent to every task; equal questions and
+    equal spans are one each before they are put into bins."""
+    s = spark.range(4000).select(
+        "id", F.lit("p").alias("path"), (F.col("id") % 5 * 7).cast("int").alias("start_line"), (F.col("id") % 5 * 7 + 3).cast("int").alias("end_line"), F.lit("t").alias("text")
+    )
+    ranges = s.select(F.col("id").alias("k"), "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    found = {
+        "innermost": spans.innermost(ranges, s, ["k"]),
+        "enclosing": spans.enclosing(ranges.select("k", "path", F.col("start").alias("at")), s, ["k"]),
+        "chunks": spans.chunks_in_span(ranges, s.withColumnRenamed("id", "chunk_id"), "k", 2),
+    }
+    for name, df in found.items():
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert {(r.k % 5, r.symbol_id) for r in found["innermost"].collect()} == {(i, i) for i in range(5)} == {(r.k % 5, r.symbol_id) for r in found["enclosing"].collect()}
+    assert {(r.k % 5, r.rank, r.chunk_id) for r in found["chunks"].collect()} == {(i, n, i + 5 * n - 5) for i in range(5) for n in (1, 2)}
+    assert spans.one_a_span(s).count() == 5
+    # One key with two spans: ranked over both.
+    two = spark.createDataFrame([(1, "p", 7, 8), (1, "p", 0, 1)], "k int, path string, start int, end int")
+    got = spans.chunks_in_span(two, s.withColumnRenamed("id", "chunk_id"), "k", 3).collect()
+    assert sorted((r.rank, r.chunk_id) for r in got) == [(1, 0), (2, 5), (3, 10)]
