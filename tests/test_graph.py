@@ -220,3 +220,24 @@ def test_questions_and_bins_are_not_broadcast(spark):
     two = spark.createDataFrame([(1, "p", 7, 8), (1, "p", 0, 1)], "k int, path string, start int, end int")
     got = spans.chunks_in_span(two, s.withColumnRenamed("id", "chunk_id"), "k", 3).collect()
     assert sorted((r.rank, r.chunk_id) for r in got) == [(1, 0), (2, 5), (3, 10)]
+
+
+def test_what_is_told_of_candidates_is_worked_out_once_a_name(spark):
+    """Calls carry the number and digest of their candidates, not the candidates; pairs of callers and symbols are not shuffled."""
+    s = spark.range(300).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("name"), F.lit("q").alias("qualified"), F.concat(F.lit("p"), F.col("id") % 4).alias("path"))
+    # One id under two names.
+    s = s.unionByName(s.where("id = 0").withColumn("name", F.lit("s1")))
+    c = spark.range(90).select(F.col("id").alias("call_id"), (F.col("id") % 7).alias("caller_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("callee"), F.concat(F.lit("p"), F.col("id") % 5).alias("path"), F.lit(1).alias("line"))
+    whole = {r.call_id: r.resolved for r in graph.resolve_calls(c, s).collect()}
+    told = graph.resolve_calls(c, s, told=lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("all")))
+    assert {r.call_id: (r.resolved.n, r.resolved["all"]) for r in told.collect()} == {k: (len(v), ",".join(map(str, v))) for k, v in whole.items()}
+    sources = spark.createDataFrame([(1,), (3,), (6,)], "id long")
+    found = graph.callees(graph.linked(c, s), s, sources).collect()
+    want = {(r.caller_id, t) for r in c.collect() if r.caller_id in (1, 3, 6) for t in whole[r.call_id]}
+    assert len(found) == len(want) and {(r.caller_id, r.target) for r in found} == want
+    pairs = {(r.caller_id, r.target): r.call_id for r in graph.out_of(graph.linked(c, s), s, sources).groupBy("caller_id", "target").agg(F.min("call_id").alias("call_id")).collect()}
+    least = {}
+    for r in c.collect():
+        for t in whole[r.call_id] if r.caller_id in (1, 3, 6) else []:
+            least[r.caller_id, t] = min(least.get((r.caller_id, t), r.call_id), r.call_id)
+    assert pairs == least
