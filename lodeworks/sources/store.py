@@ -203,7 +203,8 @@ class Store:
         segments = [] if gone is None else [s | {"tables": {t: n for t, n in s["tables"].items() if t not in anew}} for s in self.segments()]
         if gone is not None:
             tables = tables | {name: gone[name[5:]].select(key).distinct() for name, key in KEYS.items() if name[5:] in gone}
-        rows = tables["blocks"].agg(F.sum("n")).first()[0] or 0 if "blocks" in tables else 0
+        # Without postings, the rows of the largest table tell whether one task may write one.
+        rows = tables["blocks"].agg(F.sum("n")).first()[0] or 0 if "blocks" in tables else max((df.count() for df in tables.values()), default=0)
         added = self._write(tables, rows, corpus)
         self._publish([*segments, added], facts | {"fingerprint": fingerprint})
         return added
