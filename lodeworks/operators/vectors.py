@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.vectors import dot
@@ -48,10 +49,17 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                if len(pc.unique(pc.list_value_length(batch.column(1)))) > 1:
+                    raise ValueError("vectors of different lengths")
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 score, keys = q @ x.T, np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(q), 1))
                 if best is not None:
                     score, keys = np.hstack((best, score)), np.hstack((names, keys))
+                if score.shape[1] > 4 * k:
+                    # Columns that are among the k best of some query, those that tie with its last one included, are sorted.
+                    last = -np.partition(-np.round(score, 9), k - 1, axis=1)[:, k - 1 : k]
+                    able = np.flatnonzero((np.round(score, 9) >= last).any(axis=0)) if np.isfinite(score).all() else np.arange(score.shape[1])
+                    score, keys = score[:, able], keys[:, able]
                 order = np.lexsort((keys, -np.round(score, 9)))[:, :k]
                 best, names = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
             if best is not None:
