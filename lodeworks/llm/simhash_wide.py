@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import connected_components, fresh, stored
 from .simhash import SEED
@@ -20,8 +20,10 @@ WORDS, SEGMENT, SEGMENTS = 8, 24, 21
 BITS = 64 * WORDS
 #: Shingles that are turned into bits at once.
 ROWS = 1 << 12
-#: Leaders of a crowded key.
+#: Leaders of a crowded key, which its rows are held against first.
 LEADERS = 4
+#: Rows of a crowded key that meet as many others in one part of a join.
+CELL = 4096
 #: Of the 64 bits that candidates carry, so many may differ at most: four standard deviations above the mean at 0.8.
 SHORT = 22
 _STEPS = (np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -85,8 +87,10 @@ def links(vertices: DataFrame, most: int, dense: int = 64) -> DataFrame:
     Multi-index hashing: the table has each fingerprint under its segments; a fingerprint looks up each segment's value,
     and the values with one more bit set, of which one of two values a bit apart reaches the other. Candidates carry 64 of
     their bits, which rules out nearly all that met by chance; complete distances decide. In a key that more than
-    ``dense`` fingerprints share, each is held against LEADERS of them, the least by as many hashes, which aggregates find
-    before any row meets another: the rows of a group of near copies grow with its size.
+    ``dense`` fingerprints share, each is held against LEADERS of them first, the least by as many hashes, which aggregates
+    find before any row meets another. That joins most of a group of near copies by as many rows as it has; what it leaves
+    apart is compared in full (``_apart``). So the components are those of all pairs that meet under a key, while of the
+    pairs within a component of a crowded key only some are listed.
     """
     key = lambda x, i: F.shiftleft(i.cast("long"), SEGMENT).bitwiseOR(x)
     masks = F.array(*[F.lit(1 << i).cast("long") for i in range(SEGMENT)])
@@ -110,10 +114,45 @@ def links(vertices: DataFrame, most: int, dense: int = 64) -> DataFrame:
     if not none:
         many = table.unionByName(probes).join(crowd, "key").select("v", "c", F.explode("leaders").alias("l"))
         found = found.unionByName(pairs(many.select("v", "c", F.col("l.v").alias("w"), F.col("l.c").alias("d"))))
-    found = stored(found.distinct(), "wide-candidates")
+    found = _verified(stored(found.distinct(), "wide-candidates"), vertices, most)
+    if none:
+        return found
+    found = stored(found, "wide-links")
+    return found.unionByName(_verified(_apart(table, probes, crowd.select("key"), found, near), vertices, most))
+
+
+def _verified(pairs: DataFrame, vertices: DataFrame, most: int) -> DataFrame:
+    """Of ``pairs(src, dst)``, those whose complete fingerprints differ in ``most`` bits or fewer."""
     a, b = (vertices.select(F.col("v").alias(end), F.col("fp").alias(f"_{end}")) for end in ("src", "dst"))
     bits = F.aggregate(F.zip_with("_src", "_dst", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return found.join(a, "src").join(b, "dst").where(bits <= most).select("src", "dst")
+    return pairs.join(a, "src").join(b, "dst").where(bits <= most).select("src", "dst")
+
+
+def _apart(table: DataFrame, probes: DataFrame, crowd: DataFrame, found: DataFrame, near: Column) -> DataFrame:
+    """Candidates ``(src, dst)`` of all pairs that meet under a crowded key and that the links ``found`` leave in two components.
+
+    A key whose rows are all in one component is done. Of the others, each row outside the key's largest component meets the
+    rows of the table there, and each row of the table outside it all rows; pairs within a component are passed over by the
+    join itself. Both sides of a key are dealt into cells of ``CELL`` rows, so no task gets a whole one.
+    """
+    member = stored(connected_components(found, "wide-first"), "wide-first-members").withColumnsRenamed({"node": "v"})
+    rows = table.withColumn("own", F.lit(True)).unionByName(probes.withColumn("own", F.lit(False)))
+    rows = rows.join(crowd, "key", "left_semi").join(member, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    rows = stored(rows, "wide-crowd")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    left = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    across = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    left = left.where("components > 1").select("key", "main", across(F.col("n") - F.col("most")).alias("down"), across(F.col("n")).alias("along"))
+    rows = rows.join(left, "key")
+    place = lambda n: F.pmod(F.xxhash64("v", F.lit(7)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    out = rows.where("component <> main").withColumn("i", place(F.col("down"))).select("key", "v", "c", "own", "component", "i", every(F.col("along")).alias("j"))
+    all_ = rows.withColumn("j", place(F.col("along"))).select(
+        "key", F.col("v").alias("w"), F.col("c").alias("d"), F.col("own").alias("theirs"), F.col("component").alias("other"), "j", every(F.col("down")).alias("i")
+    )
+    # Two flipped values that are equal are two bits apart, or met under their own.
+    met = out.join(all_, ["key", "i", "j"]).where(F.col("own") | F.col("theirs")).where(F.col("component") != F.col("other")).where(near)
+    return met.select(F.least("v", "w").alias("src"), F.greatest("v", "w").alias("dst")).distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, dense: int = 64) -> DataFrame:

@@ -2,6 +2,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lodeworks.llm import simhash_wide as wide
@@ -70,6 +71,24 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
         assert [r.doc_id for r in wide.keep_one(frame(spark, rows), dense=dense).collect()] == [0]
 
 
+def test_a_crowded_key_loses_no_link_whoever_its_leaders_are(spark):
+    """Unlike fingerprints under one value of a segment, ten pairs of near ones among them that meet nowhere else."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (300, wide.BITS), dtype=np.uint8)
+    bits[:, : wide.SEGMENT] = bits[0, : wide.SEGMENT]
+    for i in range(10):
+        bits[2 * i + 1] = bits[2 * i]
+        for s in range(1, wide.SEGMENTS):
+            bits[2 * i + 1, wide.SEGMENT * s + rng.permutation(wide.SEGMENT)[:3]] ^= 1
+    bits[0, 5] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    cut = bits[:, : wide.SEGMENT * wide.SEGMENTS].reshape(-1, wide.SEGMENTS, wide.SEGMENT) @ (1 << np.arange(wide.SEGMENT, dtype=np.int64))
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(fp, cut))]
+    vertices = spark.createDataFrame(rows, "v long, fp array<long>, segments array<long>").repartition(3)
+    for dense in (8, 10_000):
+        assert {(r.src, r.dst) for r in wide.links(vertices, 82, dense).collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
 def test_odd_rows(spark, odd, odd_documents, nothing):
     kept = wide.keep_one(odd)
     assert kept.columns == odd.columns and wide.keep_one(nothing).count() == 0 and wide.keep_one(nothing).columns == nothing.columns
