@@ -120,6 +120,16 @@ def test_a_common_name_makes_no_pairs(spark):
     assert found.groupBy("root_id").count().where("count <> 1999").isEmpty() and found.where("not uncertain").isEmpty()
 
 
+def test_calls_of_a_node_are_one_row_before_known_nodes_are_left_out(spark, monkeypatch):
+    """An anti-join with the known nodes goes beneath the aggregate, where it shuffles every call once for each root."""
+    s, c, plans = small(spark)[0], spark.range(90).select(F.col("id").alias("call_id"), (F.col("id") % 3).alias("caller_id"), F.lit("mint").alias("callee"), F.lit("api.py").alias("path"), F.lit(1).alias("line")), {}
+    keep = traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, name))
+    found = traverse.impact(graph.find(s, "mint"), s, graph.linked(c, s), 2, chains=False)
+    assert {r.node_key for r in found.collect()} == {"sym:1", "sym:2"} and found.where("chain is not null").isEmpty()
+    assert all("LeftAnti" not in plans[f"impact-{d}"] for d in (1, 2))
+
+
 def test_diff_parsing_and_mapping(spark):
     s, _, _ = small(spark)
     text = "diff --git a/svc.py b/svc.py\n--- a/svc.py\n+++ b/svc.py\n@@ -4 +4,2 @@ class\n+x\n+y\n@@ -9,2 +10,0 @@\n-z\ndiff --git a/conf.ini b/conf.ini\n+++ b/conf.ini\n@@ -1 +1 @@\n+@@ -1 +1 @@ not a header\ndiff --git a/gone b/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
