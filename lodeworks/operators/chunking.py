@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import lines
+from ..functions.text import let, lines
 
 MAX_LINES, WINDOW, OVERLAP = 120, 80, 15
 
@@ -74,23 +74,34 @@ def heuristic_chunks(files: DataFrame, python_pattern: str = PYTHON_DEF, brace_p
     """Chunks of ``files(path, lang, content)`` without a parser: ``(path, lang, start_line, end_line, symbol, text)``.
 
     Blocks between definitions; blocks of over 120 lines as windows named "… (part)"; files without definitions as
-    windows; blank pieces are dropped.
+    windows; blank pieces are dropped. All pieces of a file are cut within its row, from lines split and matched once, so what
+    is made of a file follows its length, not its length times its blocks.
     """
-    split = files.select("path", "lang", lines(F.col("content")).alias("lines"))
     pattern = F.when(F.col("lang") == "python", python_pattern).otherwise(brace_pattern)
-    blocks = definition_blocks(split, pattern)
-    body = F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    blocks = blocks.withColumn("lines", body)
-    long = F.size("lines") > MAX_LINES
-    short = blocks.where(~long).select("path", "lang", "start_line", "end_line", "symbol", F.array_join("lines", "\n").alias("text"))
-    parts = windows(blocks.where(long).select("path", "lang", F.col("start_line").alias("_base"), "symbol", "lines")).select(
-        "path",
-        "lang",
-        (F.col("_base") + F.col("start_line") - 1).alias("start_line"),
-        (F.col("_base") + F.col("end_line") - 1).alias("end_line"),
-        F.concat("symbol", F.lit(PART)).alias("symbol"),
-        "text",
-    )
-    none = F.size(F.filter("lines", lambda x: F.regexp_like(x, pattern))) == 0
-    plain = windows(split.where(none)).select("path", "lang", "start_line", "end_line", F.lit(WHOLE).alias("symbol"), "text")
-    return short.unionByName(parts).unionByName(plain).where(F.length(F.trim(F.regexp_replace("text", "\\s+", ""))) > 0)
+
+    def piece(all_: Column, at: Column, end: Column, symbol: Column) -> Column:
+        text = F.array_join(F.slice(all_, at + 1, end - at), "\n")
+        return F.struct((at + 1).alias("start_line"), end.alias("end_line"), symbol.alias("symbol"), text.alias("text"))
+
+    def cut(all_: Column, at: Column, end: Column, symbol: Column) -> Column:
+        starts = F.sequence(at, end - 1, F.lit(WINDOW - OVERLAP))
+        return F.transform(starts, lambda i: piece(all_, i, F.least(i + WINDOW, end), symbol))
+
+    def blocks(all_: Column, defs: Column, starts: Column) -> Column:
+        def block(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(all_))
+            named = F.when((k == 0) & (F.get(defs, F.lit(0)) > 0), PREAMBLE).otherwise(symbol_name(F.get(all_, at)))
+            whole = lambda b: F.array(piece(all_, at, b["end"], b["symbol"]))
+            parts = lambda b: cut(all_, at, b["end"], F.concat(b["symbol"], F.lit(PART)))
+            return let(F.struct(end.alias("end"), named.alias("symbol")), lambda b: F.when(b["end"] - at > MAX_LINES, parts(b)).otherwise(whole(b)))
+
+        return F.flatten(F.transform(starts, block))
+
+    def pieces(all_: Column) -> Column:
+        found = F.filter(F.transform(all_, lambda x, i: F.when(F.regexp_like(x, pattern), i)), lambda i: i.isNotNull())
+        begun = lambda d: F.when(F.get(d, F.lit(0)) > 0, F.concat(F.array(F.lit(0)), d)).otherwise(d)
+        some = lambda d: let(begun(d), lambda starts: blocks(all_, d, starts))
+        split = let(found, lambda d: F.when(F.size(d) > 0, some(d)).otherwise(cut(all_, F.lit(0), F.size(all_), F.lit(WHOLE))))
+        return F.when(F.size(all_) > 0, split)
+
+    return files.select("path", "lang", F.inline(let(lines(F.col("content")), pieces))).where(F.col("text").rlike(r"\S"))

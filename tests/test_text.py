@@ -205,3 +205,14 @@ def test_posting_blocks_are_passed_over(spark):
         if query == "common rare":
             assert read.where("term = 'common'").agg(F.sum("n")).first()[0] < 20_000 / 3
             assert read.agg(F.sum("n")).first()[0] < dfs["common"]
+
+
+def test_pieces_of_a_file_are_cut_within_its_row(spark):
+    """No row holds a whole file's lines beside one of its blocks: of 300 definitions, rows carry what they are cut to."""
+    body = "".join(f"function f{i}(x) {{\n  step;\n}}\n" for i in range(300))
+    found = chunking.heuristic_chunks(spark.createDataFrame([("a.php", "php", "<?php\n" + body), ("b.php", "php", None), ("c.php", "php", " \n")], "path string, lang string, content string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
+    rows = sorted((r.start_line, r.end_line, r.symbol, r.text) for r in found.collect())
+    assert rows[0] == (1, 1, "<module-preamble>", "<?php")
+    assert rows[1:] == [(3 * i + 2, 3 * i + 4, f"function f{i}", f"function f{i}(x) {{\n  step;\n}}") for i in range(300)]
