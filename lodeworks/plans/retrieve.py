@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.models import Embedder, HashEmbedder
 from ..functions.text import lexical_text
 from ..operators import fusion, graph, lexical, vectors
+from ..scratch import stored
 from ..sources.store import Store
 
 MODES = ("hybrid", "vector", "lexical")
@@ -18,19 +19,31 @@ def first_stage(chunks: DataFrame, query: str, query_vector: list[float] | None,
     """``(chunk_id, score, fused_rank)`` of the ``depth`` best chunks in one mode: by the posting blocks of a store, where given."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    by = F.desc(F.round("score", 9))
-    lists = []
+    lists = {}
     if mode != "lexical":
-        lists.append(fusion.ranked(vectors.topk(chunks, "chunk_id", "embedding", query_vector, depth), "chunk_id", by))
+        lists["vector"] = vectors.topk(chunks, "chunk_id", "embedding", query_vector, depth)
     if mode != "vector":
-        if store is not None:
-            found, _ = store.bm25(query, depth)
-        else:
-            found = lexical.topk(chunks, "chunk_id", lexical_text(F.col("path"), F.col("symbol"), F.col("text")), query, depth)
-        lists.append(fusion.ranked(found, "chunk_id", by))
-    if len(lists) == 1:
-        return lists[0].withColumnRenamed("rank", "fused_rank")
-    return fusion.rrf(lists, "chunk_id")
+        lists["lexical"] = _lexical(chunks, query, depth, store)
+    return _combined(lists, mode)
+
+
+def _lexical(chunks: DataFrame, query: str, depth: int, store: Store | None = None) -> DataFrame:
+    if store is not None:
+        return store.bm25(query, depth)[0]
+    return lexical.topk(chunks, "chunk_id", lexical_text(F.col("path"), F.col("symbol"), F.col("text")), query, depth)
+
+
+def _combined(lists: dict[str, DataFrame], mode: str) -> DataFrame:
+    by = F.desc(F.round("score", 9))
+    found = [fusion.ranked(lists[name], "chunk_id", by) for name in ("vector", "lexical") if mode in (name, "hybrid")]
+    return found[0].withColumnRenamed("rank", "fused_rank") if len(found) == 1 else fusion.rrf(found, "chunk_id")
+
+
+def first_stages(chunks: DataFrame, query: str, query_vector: list[float], depth: int, store: Store | None = None) -> dict[str, DataFrame]:
+    """The ``first_stage`` in each mode: chunks are scored once for each kind of list, and the lists, of ``depth`` rows, are kept."""
+    lists = {"vector": vectors.topk(chunks, "chunk_id", "embedding", query_vector, depth), "lexical": _lexical(chunks, query, depth, store)}
+    lists = {name: stored(found, f"first-{name}") for name, found in lists.items()}
+    return {mode: _combined(lists, mode) for mode in MODES}
 
 
 def retrieve(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T, vectors as V
 from lodeworks.operators import chunking, evaluate, fusion, lexical, vectors
+from lodeworks.plans import retrieve
 
 GOLDEN = {
     "refreshToken": ["refreshtoken", "refresh", "token"],
@@ -232,3 +233,17 @@ def test_blocks_straight_from_texts_are_those_of_postings(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     tokens, dfs = lexical.statistics(got, ["w1", "camelcase0", "none"])
     assert tokens == lengths.agg(F.sum("dl")).first()[0] and dfs == {t: postings.where(F.col("term") == t).count() for t in ("w1", "camelcase0")}
+
+
+def test_stages_of_all_modes_score_the_chunks_once(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, f"a/{i}", "f", " ".join(f"w{rng.randrange(30)}" for _ in range(20))) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, symbol string, text string").withColumn("embedding", V.hash_embedding(F.col("text")))
+    vector = list(spark.range(1).select(V.hash_embedding(F.lit("w1 w2"))).first()[0])
+    listed = lambda df: sorted((r.fused_rank, r.chunk_id) for r in df.collect())
+    want = {mode: listed(retrieve.first_stage(chunks, "w1 w2", vector, mode, 10)) for mode in retrieve.MODES}
+    seen = []
+    for module in (lexical, vectors):
+        monkeypatch.setattr(module, "topk", lambda *a, _keep=module.topk, _name=module.__name__: seen.append(_name) or _keep(*a))
+    found = retrieve.first_stages(chunks, "w1 w2", vector, 10)
+    assert {mode: listed(df) for mode, df in found.items()} == want and len(seen) == 2
