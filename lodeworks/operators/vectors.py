@@ -10,9 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.vectors import dot
+from ..scratch import for_pairs
+from .best import QUERIES, ROWS, Best
 
-#: Queries that one task multiplies with a batch of vectors at once.
-BLOCK = 1024
+#: Queries that one task holds.
+BLOCK = 8192
 
 
 def topk(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:
@@ -26,8 +28,9 @@ def topk(vectors: DataFrame, key: str, column: str, query: list[float], k: int)
 def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, key, score, rank)`` of the k vectors nearest to each of ``queries(query_id, vector)``.
 
-    The queries go to the tasks in blocks of ``BLOCK``; a task keeps its k best of each by a matrix product per
-    Arrow batch, so what is shuffled is k rows a query and task, not a row a pair. Null vectors are passed over.
+    The queries go to the tasks in blocks of ``BLOCK``; a task keeps its k best of each over matrix products of some
+    hundred queries and vectors, so what is shuffled is k rows a query and task, not a row a pair. Null vectors are
+    passed over.
     """
     spark, out = vectors.sparkSession, None
     queries = queries.where("vector is not null")
@@ -35,41 +38,28 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
     blocks = max(1, -(-n // BLOCK))
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     kinds = vectors.select(key).dtypes[0][1], queries.select("query_id").dtypes[0][1]
+    rows_of = for_pairs(vectors.select(key, column))
     for b in range(blocks):
-        rows = queries.where(part == b).select("query_id", "vector").toArrow()
+        rows = queries.where(part == b).select("query_id", "vector").toArrow().combine_chunks()
         if not rows.num_rows:
             continue
-        matrix = np.array(rows["vector"].to_pylist(), np.float64)
-        held = spark.sparkContext.broadcast((rows["query_id"].combine_chunks(), matrix))
+        held = spark.sparkContext.broadcast((rows["query_id"].combine_chunks(), _matrix(rows["vector"].combine_chunks())))
 
         def nearest(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            best, names = None, None
+            best = Best(len(q), k)
             for batch in it:
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
-                if len(pc.unique(pc.list_value_length(batch.column(1)))) > 1:
-                    raise ValueError("vectors of different lengths")
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                score, keys = q @ x.T, np.tile(batch.column(0).to_numpy(zero_copy_only=False), (len(q), 1))
-                if best is not None:
-                    score, keys = np.hstack((best, score)), np.hstack((names, keys))
-                if score.shape[1] > 4 * k:
-                    # Columns that are among the k best of some query, those that tie with its last one included, are sorted.
-                    last = -np.partition(-np.round(score, 9), k - 1, axis=1)[:, k - 1 : k]
-                    able = np.flatnonzero((np.round(score, 9) >= last).any(axis=0)) if np.isfinite(score).all() else np.arange(score.shape[1])
-                    score, keys = score[:, able], keys[:, able]
-                order = np.lexsort((keys, -np.round(score, 9)))[:, :k]
-                best, names = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
-            if best is not None:
-                width = best.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(q)), width))), pa.array(names.ravel()), pa.array(best.ravel()), pa.array(np.round(best.ravel(), 9))],
-                    names=["query_id", key, "score", "_place"],
-                )
+                x, keys = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, len(x), ROWS):
+                    some = np.ascontiguousarray(x[at : at + ROWS].T)
+                    for first in range(0, len(q), QUERIES):
+                        best.add(first, q[first : first + QUERIES] @ some, keys[at : at + ROWS])
+            yield from best.batches(ids, ["query_id", key, "score", "_place"])
 
-        found = vectors.select(key, column).mapInArrow(nearest, f"query_id {kinds[1]}, {key} {kinds[0]}, score double, _place double")
+        found = rows_of.mapInArrow(nearest, f"query_id {kinds[1]}, {key} {kinds[0]}, score double, _place double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         empty = vectors.select(key).crossJoin(queries.select("query_id")).limit(0)
@@ -77,3 +67,9 @@ def batch_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
     # Rounded in the task: what ties there ties here.
     order = W.partitionBy("query_id").orderBy(F.desc("_place"), key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_place")
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    if len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors of different lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
