@@ -58,7 +58,7 @@ class Best:
         row, key, value, place = (np.concatenate(c) for c in zip(*self.kept))
         by_key = np.unique(key, return_inverse=True)[1] if key.dtype == object else key
         odd = np.isnan(place)
-        order = np.lexsort((by_key, -np.where(odd, 0.0, place), ~odd, row))
+        order = np.lexsort((by_key, -np.where(odd, 0.0, place), ~odd, row) if odd.any() else (by_key, -place, row))
         row = row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         order, row, rank = order[rank < self.k], row[rank < self.k], rank[rank < self.k]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.functions import vectors as V
 from lodeworks.operators import best, lexical, vectors
 
 
@@ -107,3 +108,10 @@ def test_best_of_blocks(kind):
         for q in range(n):
             order = sorted(range(m), key=lambda i: (not math.isnan(place[q, i]), 0 if math.isnan(place[q, i]) else -place[q, i], keys[i]))
             assert got[q] == [keys[i] for i in order[:k]]
+
+
+def test_words_are_hashed_as_the_column_does(spark):
+    texts = ["refresh token Refresh_card", "", None, " \n ", "É é_É x ÇA", "a b " * 500, "_"] * 50
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(3)
+    got = V.hash_embeddings(d, "id", F.col("t"), "v").join(d, "id").select("v", V.hash_embedding(F.col("t")).alias("w")).collect()
+    assert len(got) == len(texts) and all(r.v == r.w for r in got)
