@@ -14,7 +14,7 @@ from .text import let
 
 BUCKETS = 256
 #: Texts whose different words are hashed at once.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
